@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,9 @@ NULL_WORDS = ("nan", "none", "null")
 
 @F.arrow_udf(T.StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    # Arrow's own utf8_normalize leaves accented letters taken apart for this form.
+    texts = values.to_pylist()
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
 def is_ascii(c: Column) -> Column:

@@ -6,11 +6,12 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+import numpy as np
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
     VectorAssembler,
@@ -33,6 +34,11 @@ CHAR_VOCABULARY = 300_000
 WORD_VOCABULARY = 200_000
 INVERSE_REGULARIZATION = 1.5
 MAX_ITERATIONS = 2_000
+TOLERANCE = 1e-4
+
+# Each task of the optimizer ships a gradient as long as the vocabulary, so a task should hold
+# at least this many rows.
+ROWS_PER_GRADIENT = 2_000
 
 
 def vocab_topk(df: DataFrame, grams: Column, k: int, min_df: int = 1) -> DataFrame:
@@ -66,17 +72,36 @@ def add_grams(df: DataFrame) -> DataFrame:
     )
 
 
-def _fit_block(df: DataFrame, grams: str, out: str, vocabulary: int, min_df: int) -> list:
-    """Counts, smooth idf and unit length for one kind of n-gram."""
-    counter = CountVectorizer(
-        inputCol=grams, outputCol=f"{out}_tf", vocabSize=vocabulary, minDF=float(min_df)
-    ).fit(df)
-    idf = IDF(inputCol=f"{out}_tf", outputCol=f"{out}_idf").fit(counter.transform(df))
-    # Spark's idf lacks the + 1 of the smooth form.
-    weights = Vectors.dense(idf.idf.toArray() + 1.0)
-    scale = ElementwiseProduct(scalingVec=weights, inputCol=f"{out}_tf", outputCol=f"{out}_raw")
-    unit = Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)
-    return [counter, scale, unit]
+def _fit_block(
+    df: DataFrame, grams: str, out: str, vocabulary: int, min_df: int, n_docs: int
+) -> list[Transformer]:
+    """Counts, smooth idf and unit length for one kind of n-gram, fitted in one pass.
+
+    The vocabulary query yields document frequencies too, so idf needs no pass of its own.  What
+    reaches the driver is at most ``vocabulary`` terms.
+    """
+    top = vocab_topk(df, F.col(grams), vocabulary, min_df).collect()
+    if not top:
+        raise ValueError(f"no term occurs in {min_df} or more rows")
+    counter = _counter([r["term"] for r in top]).setInputCol(grams).setOutputCol(f"{out}_tf")
+    idf = np.log((n_docs + 1.0) / (np.array([r["df"] for r in top]) + 1.0)) + 1.0
+    scale = ElementwiseProduct(
+        scalingVec=Vectors.dense(idf), inputCol=f"{out}_tf", outputCol=f"{out}_raw"
+    )
+    return [counter, scale, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)]
+
+
+def _counter(terms: list[str]) -> CountVectorizerModel:
+    """Vectorizer for a given vocabulary.
+
+    ``from_vocabulary`` makes one call to the JVM per term, which takes minutes for a full-size
+    vocabulary; splitting one long string there takes one call.  No term holds a line break.
+    """
+    jvm = SparkContext._active_spark_context._jvm
+    array = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(terms))
+    return CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", array
+    )
 
 
 def fit_tfidf(
@@ -86,12 +111,43 @@ def fit_tfidf(
     word_vocabulary: int = WORD_VOCABULARY,
 ) -> PipelineModel:
     """Vectorizer for rows with ``_char_grams`` and ``_word_grams``; its output is ``tfidf``."""
-    char = _fit_block(df, "_char_grams", "_char", char_vocabulary, min_df)
-    word = _fit_block(df, "_word_grams", "_word", word_vocabulary, min_df)
+    n_docs = df.count()
+    char = _fit_block(df, "_char_grams", "_char", char_vocabulary, min_df, n_docs)
+    word = _fit_block(df, "_word_grams", "_word", word_vocabulary, min_df, n_docs)
     join = VectorAssembler(inputCols=["_char", "_word"], outputCol="tfidf")
     return PipelineModel([*char, *word, join])
 
 
+def apply_stages(df: DataFrame, stages: Sequence[Transformer], sizes: Mapping[str, int]) -> DataFrame:
+    """Run fitted stages, keeping only the length of each vector as column metadata.
+
+    By default every dimension is described by name; with hundreds of thousands of them these
+    descriptions, shipped with each task, cost far more than the work itself.
+    """
+    for stage in stages:
+        out = stage.getOutputCol()
+        df = stage.transform(df).withMetadata(out, _only_length(sizes[out]))
+    return df
+
+
+def _only_length(n: int) -> dict:
+    return {"ml_attr": {"num_attrs": n}}
+
+
+def vector_sizes(stages: Sequence[Transformer]) -> dict[str, int]:
+    """Length of every vector that the stages make, told by the idf weights."""
+    sizes: dict[str, int] = {}
+    for stage in stages:
+        if isinstance(stage, ElementwiseProduct):
+            size = len(stage.getScalingVec())
+            sizes[stage.getInputCol()] = sizes[stage.getOutputCol()] = size
+        elif isinstance(stage, Normalizer):
+            sizes[stage.getOutputCol()] = sizes[stage.getInputCol()]
+        elif isinstance(stage, VectorAssembler):
+            sizes[stage.getOutputCol()] = sum(sizes[c] for c in stage.getInputCols())
+    return sizes
+
+
 def column_scales(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Population standard deviation of each column; 1 where it is 0."""
     row = df.agg(*[F.stddev_pop(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in columns]).first()
@@ -111,7 +167,7 @@ def fit_lr(
     features: str,
     c: float = INVERSE_REGULARIZATION,
     max_iter: int = MAX_ITERATIONS,
-    tol: float = 1e-6,
+    tol: float = TOLERANCE,
 ) -> LogisticRegressionModel:
     """Class-balanced logistic regression for one label.
 
@@ -125,6 +181,7 @@ def fit_lr(
         F.col(features), F.col(label).cast("double").alias(label), weight.alias("_weight")
     )
     n = df.count()
+    weighted = weighted.coalesce(1 + n // ROWS_PER_GRADIENT)
     return LogisticRegression(
         featuresCol=features,
         labelCol=label,
@@ -150,8 +207,9 @@ class ReviewScorer:
         return "features" if self.scales else "tfidf"
 
     def vectorize(self, df: DataFrame) -> DataFrame:
-        wide = self.tfidf.transform(df)
-        return assemble_features(wide, self.scales) if self.scales else wide
+        sizes = vector_sizes(self.tfidf.stages)
+        wide = apply_stages(df, self.tfidf.stages, sizes)
+        return assemble_features(wide, self.scales, sizes["tfidf"]) if self.scales else wide
 
     def score(self, df: DataFrame) -> DataFrame:
         """Input columns plus ``ads_p, irrelevant_p, rant_no_visit_p``; not trained means 0."""
@@ -200,10 +258,11 @@ def add_keep(df: DataFrame) -> DataFrame:
     )
 
 
-def assemble_features(df: DataFrame, scales: Mapping[str, float]) -> DataFrame:
+def assemble_features(df: DataFrame, scales: Mapping[str, float], tfidf_size: int) -> DataFrame:
     """``features``: the TF-IDF vector followed by the scaled meta features."""
-    scaled = scale_features(df, scales)
-    return VectorAssembler(inputCols=["tfidf", *scales], outputCol="features").transform(scaled)
+    join = VectorAssembler(inputCols=["tfidf", *scales], outputCol="features")
+    sizes = {"features": tfidf_size + len(scales)}
+    return apply_stages(scale_features(df, scales), [join], sizes)
 
 
 def train_scorer(
@@ -212,6 +271,7 @@ def train_scorer(
     min_df: int = 1,
     with_meta: bool = False,
     max_iter: int = MAX_ITERATIONS,
+    tol: float = TOLERANCE,
     char_vocabulary: int = CHAR_VOCABULARY,
     word_vocabulary: int = WORD_VOCABULARY,
 ) -> ReviewScorer:
@@ -221,12 +281,12 @@ def train_scorer(
     tfidf = fit_tfidf(rows, min_df, char_vocabulary, word_vocabulary)
     scales = column_scales(rows, meta) if with_meta else {}
     scorer = ReviewScorer(tfidf, {}, scales)
-    vectors = scorer.vectorize(rows).select(scorer.features, *labels).persist()
-    try:
-        for label in labels:
-            scorer.classifiers[label] = fit_lr(vectors, label, scorer.features, max_iter=max_iter)
-    finally:
-        vectors.unpersist()
+    # Written, not cached: every step of the optimizer is a job that ships its whole lineage.
+    vectors = materialize(scorer.vectorize(rows).select(scorer.features, *labels), "vectors")
+    for label in labels:
+        scorer.classifiers[label] = fit_lr(
+            vectors, label, scorer.features, max_iter=max_iter, tol=tol
+        )
     return scorer
 
 

@@ -622,22 +622,25 @@ def _training(spark, sf):
     return views.reviews(spark, sf).join(views.truth(spark, sf), "review_id")
 
 
+def _nonzero(df, column):
+    nnz = F.size(F.filter(modeling.vector_to_array(column), lambda x: x != 0))
+    return df.select("review_id", nnz.alias("nonzero"))
+
+
 @query
 def tfidf_features(spark, sf):
     rows = modeling.add_grams(_texts(spark, sf))
-    vectors = modeling.fit_tfidf(rows).transform(rows)
-    nnz = F.size(F.filter(modeling.vector_to_array("tfidf"), lambda x: x != 0))
-    return vectors.select("review_id", nnz.alias("nonzero"))
+    scorer = modeling.ReviewScorer(modeling.fit_tfidf(rows), {}, {})
+    return _nonzero(scorer.vectorize(rows), "tfidf")
 
 
 @query
 def assemble_features(spark, sf):
     rows = modeling.add_grams(modeling.add_keep(_texts(spark, sf)))
     meta = [c for c in rows.columns if c.startswith("_meta_")]
-    wide = modeling.fit_tfidf(rows, min_df=2).transform(rows)
-    out = modeling.assemble_features(wide, modeling.column_scales(rows, meta))
-    nnz = F.size(F.filter(modeling.vector_to_array("features"), lambda x: x != 0))
-    return out.select("review_id", nnz.alias("nonzero"))
+    scales = modeling.column_scales(rows, meta)
+    scorer = modeling.ReviewScorer(modeling.fit_tfidf(rows, min_df=2), {}, scales)
+    return _nonzero(scorer.vectorize(rows), "features")
 
 
 @query

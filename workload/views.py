@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import spread
+
 # A zero-width space, and a ligature that compatibility composition spells out.
 HIDDEN, LIGATURE = "​", "ﬁ"
 
@@ -74,6 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     tables = {t: table(spark, sf_dir, t) for t in TABLES if t in sql}
+    tables["documents"] = spread(tables["documents"])
     for name in tables:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(
             f"JOIN {name}", f"JOIN {{{name}}}"
