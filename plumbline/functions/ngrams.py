@@ -13,7 +13,7 @@ _TOKEN = WORD + "{2,}"
 _MARK = "\x01"
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """Bind ``value`` once for use in ``body``; the optimizer cannot inline it into inner loops."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -36,7 +36,7 @@ def word_ngrams(text: Column) -> Column:
         # zip_with pads the shorter side with null, so the last pair is null.
         return F.concat(tokens, F.array_compact(pairs))
 
-    return _let(words(text), with_pairs)
+    return let(words(text), with_pairs)
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -64,66 +64,79 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(tokens, grams))
 
 
-def _run_starts(ordered: Column, same) -> Column:
-    """Positions in a sorted array where a new value begins."""
-    positions = F.sequence(F.lit(0), F.size(ordered) - 1)
-    return F.filter(
-        positions,
-        lambda i: (i == 0) | ~same(F.get(ordered, i), F.get(ordered, i - 1)),
-    )
-
+def tally(terms: Column) -> Column:
+    """``struct<terms, counts>``: the distinct terms in order, and how often each occurs.
 
-def _runs(ordered: Column, same) -> Column:
-    """``(start, length)`` of each run of equal values in a sorted array."""
+    Sorting makes equal terms neighbours; the length of each run is its count.  Takes time
+    n log n and no shuffle, however long the array is.
+    """
 
-    def lengths(starts: Column) -> Column:
-        ends = F.concat(_rest(starts), F.array(F.size(ordered)))
-        return F.zip_with(
-            starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("len"))
+    def run_lengths(ordered: Column) -> Column:
+        positions = F.sequence(F.lit(0), F.size(ordered) - 1)
+        starts = F.filter(
+            positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
         )
+        ends = let(starts, lambda s: F.zip_with(
+            s, F.concat(_rest(s), F.array(F.size(ordered))), lambda a, b: b - a
+        ))
+        return F.struct(F.array_distinct(ordered).alias("terms"), ends.alias("counts"))
 
-    return _let(_run_starts(ordered, same), lengths)
-
+    none = F.struct(
+        F.array().cast("array<string>").alias("terms"), F.array().cast("array<int>").alias("counts")
+    )
+    return F.when(F.size(terms) > 0, let(F.sort_array(terms), run_lengths)).otherwise(none)
 
-def count_terms(terms: Column) -> Column:
-    """``array<struct<term, cnt>>`` of an array of terms, in time n log n and with no shuffle."""
 
-    def tally(ordered: Column) -> Column:
-        return F.transform(
-            _runs(ordered, lambda a, b: a == b),
-            lambda r: F.struct(F.get(ordered, r["start"]).alias("term"), r["len"].alias("cnt")),
-        )
+def mark_right(terms: Column) -> Column:
+    """Mark terms of the right-hand text; the mark sorts right behind the bare term."""
+    return F.transform(terms, lambda t: F.concat(t, F.lit(_MARK)))
 
-    counted = _let(F.sort_array(terms), tally)
-    return F.when(F.size(terms) > 0, counted).otherwise(F.filter(counted, lambda _: F.lit(False)))
 
+def is_marked(term: Column) -> Column:
+    return term.endswith(_MARK)
 
-def count_terms_pair(left: Column, right: Column) -> Column:
-    """``array<struct<term, cl, cr>>``: how often each term occurs in either array.
 
-    Terms of the right array get a mark that sorts right behind the bare term, so after counting
-    the two entries of a shared term are neighbours.
-    """
-    marked = F.transform(right, lambda t: F.concat(t, F.lit(_MARK)))
-
-    def merge(entries: Column) -> Column:
-        def one(entry: Column, i: Column) -> Column:
-            term, before, after = entry["term"], F.get(entries, i - 1), F.get(entries, i + 1)
-            bare = F.substring(term, F.lit(1), F.length(term) - 1)
-            right_only = F.when(
-                (i == 0) | (F.concat(before["term"], F.lit(_MARK)) != term),
-                _pair_entry(bare, F.lit(0), entry["cnt"]),
-            )
-            shared = after["term"] == F.concat(term, F.lit(_MARK))
-            in_left = _pair_entry(
-                term, entry["cnt"], F.when(shared, after["cnt"]).otherwise(F.lit(0))
-            )
-            return F.when(term.endswith(_MARK), right_only).otherwise(in_left)
+def bare(term: Column) -> Column:
+    return F.when(is_marked(term), F.substring(term, F.lit(1), F.length(term) - 1)).otherwise(term)
 
-        return F.array_compact(F.transform(entries, one))
 
-    return _let(count_terms(F.concat(left, marked)), merge)
+def left_count(terms: Column, counts: Column, i: Column) -> Column:
+    """Count of the same term in the left-hand text, for the marked term at position ``i``.
 
+    If the left text has the term, it is the entry just before.
+    """
+    same = F.concat(F.get(terms, i - 1), F.lit(_MARK)) == F.get(terms, i)
+    return F.when((i > 0) & same, F.get(counts, i - 1)).otherwise(F.lit(0))
+
+
+def tally_pair(left: Column, right: Column) -> Column:
+    """``tally`` of two arrays in one sorted list, terms of the right one marked."""
+    return tally(F.concat(left, mark_right(right)))
+
+
+def pair_sums(pair: Column) -> Column:
+    """Of a ``tally_pair``: squared counts per side, those of shared terms, and the dot product."""
+    terms, counts = pair["terms"], pair["counts"]
+    positions = F.sequence(F.lit(0), F.size(terms) - 1)
+    marked = F.filter(positions, lambda i: is_marked(F.get(terms, i)))
+
+    def add(acc: Column, i: Column) -> Column:
+        r = F.get(counts, i).cast("long")
+        cl = left_count(terms, counts, i).cast("long")
+        shared = F.when(cl > 0, r * r).otherwise(F.lit(0))
+        return F.struct(
+            (acc["rr"] + r * r).alias("rr"),
+            (acc["shared_ll"] + cl * cl).alias("shared_ll"),
+            (acc["shared_rr"] + shared).alias("shared_rr"),
+            (acc["dot"] + cl * r).alias("dot"),
+        )
 
-def _pair_entry(term: Column, cl: Column, cr: Column) -> Column:
-    return F.struct(term.alias("term"), cl.alias("cl"), cr.alias("cr"))
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("rr", "shared_ll", "shared_rr", "dot")])
+    all_squares = F.aggregate(
+        counts, F.lit(0).cast("long"), lambda acc, c: acc + c.cast("long") * c.cast("long")
+    )
+    sums = let(F.aggregate(marked, zero, add), lambda s: F.struct(
+        (all_squares - s["rr"]).alias("ll"), *[s[c].alias(c) for c in
+                                               ("rr", "shared_ll", "shared_rr", "dot")]
+    ))
+    return F.when(F.size(terms) > 0, sums)

@@ -21,11 +21,12 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.ngrams import char_ngrams, count_terms, word_ngrams
+from plumbline.functions.ngrams import char_ngrams, word_ngrams
 from plumbline.operators.clean import text_template
 from plumbline.operators.features import META_FEATURES, add_meta_features
 from plumbline.operators.metrics import Pair, avg_report, fold_macro, label_report
 from plumbline.operators.sampling import class_weights
+from plumbline.operators.similarity import term_rows
 from plumbline.schemas import LABELS, SCORES
 from plumbline.session import materialize
 
@@ -47,8 +48,7 @@ def vocab_topk(df: DataFrame, grams: Column, k: int, min_df: int = 1) -> DataFra
     A histogram of counts (at most about a thousand bins) gives a cut that at least ``k`` terms
     reach, so the final ordering sees little more than ``k`` rows, not the whole vocabulary.
     """
-    entries = df.select(F.explode(count_terms(grams)).alias("e")).select("e.term", "e.cnt")
-    totals = entries.groupBy("term").agg(
+    totals = term_rows(df, grams).groupBy("term").agg(
         F.sum("cnt").cast("long").alias("cnt"), F.count(F.lit(1)).alias("df")
     )
     totals = materialize(totals.filter(F.col("df") >= min_df), "vocabulary")

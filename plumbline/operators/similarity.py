@@ -15,7 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ngrams import count_terms, count_terms_pair, word_ngrams
+from plumbline.functions.ngrams import (
+    bare,
+    is_marked,
+    left_count,
+    let,
+    pair_sums,
+    tally,
+    tally_pair,
+    word_ngrams,
+)
 from plumbline.session import materialize
 
 # Term tables of at most this many rows are broadcast whole (about 100 bytes each).
@@ -23,10 +32,16 @@ BROADCAST_TERMS = 1_000_000
 HOT_TERMS = 100_000
 
 
+def term_rows(df: DataFrame, terms: Column, *carry: str) -> DataFrame:
+    """One row per row and distinct term: ``(carry..., term, cnt)``."""
+    counted = df.select(*carry, tally(terms).alias("t"))
+    rows = counted.select(*carry, F.col("t.counts").alias("_counts"), F.posexplode("t.terms"))
+    return rows.select(*carry, F.col("col").alias("term"), F.get("_counts", "pos").alias("cnt"))
+
+
 def ngram_counts(df: DataFrame, text: str, key: str = "review_id") -> DataFrame:
-    """One row per document and term: ``(key, term, cnt)``."""
-    entry = F.explode(count_terms(word_ngrams(F.col(text)))).alias("e")
-    return df.select(key, entry).select(key, "e.term", "e.cnt")
+    """One row per document and word n-gram: ``(key, term, cnt)``."""
+    return term_rows(df, word_ngrams(F.col(text)), key)
 
 
 def doc_freq(df: DataFrame, *texts: str) -> DataFrame:
@@ -76,9 +91,7 @@ def corpus_cosine(
     elif n_docs is None:
         raise ValueError("a frozen term table needs the number of documents it was fitted on")
 
-    pair = count_terms_pair(word_ngrams(F.col(left)), word_ngrams(F.col(right)))
-    postings = df.select(key, F.explode(pair).alias("p")).select(key, "p.term", "p.cl", "p.cr")
-
+    postings = pair_postings(df, left, right, key)
     if terms.count() <= broadcast_terms:
         parts = _weigh(postings.join(F.broadcast(terms), "term", "left"), key, n_docs)
         return _as_cosine(parts, key)
@@ -94,13 +107,32 @@ def corpus_cosine(
     return _as_cosine(on_hot.unionByName(on_cold).groupBy(key).agg(*sums), key)
 
 
+def pair_postings(df: DataFrame, left: str, right: str, key: str) -> DataFrame:
+    """``(key, term, cl, cr, both)``: one row per term and side, ``both`` being the product of the
+    two counts, on the right-hand row of a shared term."""
+    pair = tally_pair(word_ngrams(F.col(left)), word_ngrams(F.col(right)))
+    rows = df.select(key, pair.alias("t")).select(
+        key, F.col("t.terms").alias("_terms"), F.col("t.counts").alias("_counts"),
+        F.posexplode("t.terms").alias("_i", "_term"),
+    )
+    cnt, right_side = F.get("_counts", "_i"), is_marked(F.col("_term"))
+    other = left_count(F.col("_terms"), F.col("_counts"), F.col("_i"))
+    return rows.select(
+        key,
+        bare(F.col("_term")).alias("term"),
+        F.when(right_side, F.lit(0)).otherwise(cnt).cast("double").alias("cl"),
+        F.when(right_side, cnt).otherwise(F.lit(0)).cast("double").alias("cr"),
+        F.when(right_side, cnt * other).otherwise(F.lit(0)).cast("double").alias("both"),
+    )
+
+
 def _weigh(postings: DataFrame, key: str, n_docs: int) -> DataFrame:
     idf = smooth_idf(F.coalesce("df", F.lit(1)), n_docs)
-    w = idf * idf
-    return postings.groupBy(key).agg(
-        F.sum(F.col("cl") * F.col("cr") * w).alias("dot"),
-        F.sum(F.col("cl") * F.col("cl") * w).alias("ll"),
-        F.sum(F.col("cr") * F.col("cr") * w).alias("rr"),
+    weighted = postings.select(key, "cl", "cr", "both", (idf * idf).alias("w"))
+    return weighted.groupBy(key).agg(
+        F.sum(F.col("both") * F.col("w")).alias("dot"),
+        F.sum(F.col("cl") * F.col("cl") * F.col("w")).alias("ll"),
+        F.sum(F.col("cr") * F.col("cr") * F.col("w")).alias("rr"),
     )
 
 
@@ -113,23 +145,13 @@ def _as_cosine(parts: DataFrame, key: str) -> DataFrame:
 def pair_cosine(left: Column, right: Column) -> Column:
     """Cosine with idf fitted on just these two texts: a shared term weighs 1, any other
     ``ln(3/2) + 1``.  Row-local: no shuffle, so it also serves streams."""
-    entries = count_terms_pair(word_ngrams(left), word_ngrams(right))
-    lone = F.log(F.lit(1.5)) + 1.0
-
-    def add(acc: Column, e: Column) -> Column:
-        shared = (e["cl"] > 0) & (e["cr"] > 0)
-        w = F.when(shared, F.lit(1.0)).otherwise(lone * lone)
-        return F.struct(
-            (acc["dot"] + e["cl"] * e["cr"]).cast("double").alias("dot"),
-            (acc["ll"] + e["cl"] * e["cl"] * w).alias("ll"),
-            (acc["rr"] + e["cr"] * e["cr"] * w).alias("rr"),
-        )
-
-    def finish(acc: Column) -> Column:
-        norm = F.sqrt(acc["ll"]) * F.sqrt(acc["rr"])
-        return F.when(norm > 0, acc["dot"] / norm).otherwise(F.lit(0.0))
-
-    zero = F.struct(
-        F.lit(0.0).alias("dot"), F.lit(0.0).alias("ll"), F.lit(0.0).alias("rr")
-    )
-    return F.aggregate(entries, zero, add, finish)
+    lone = (F.log(F.lit(1.5)) + 1.0) * (F.log(F.lit(1.5)) + 1.0)
+
+    def finish(s: Column) -> Column:
+        ll = (s["ll"] - s["shared_ll"]) * lone + s["shared_ll"]
+        rr = (s["rr"] - s["shared_rr"]) * lone + s["shared_rr"]
+        norm = F.sqrt(ll) * F.sqrt(rr)
+        return F.when(norm > 0, s["dot"] / norm).otherwise(F.lit(0.0))
+
+    pair = tally_pair(word_ngrams(left), word_ngrams(right))
+    return F.coalesce(let(let(pair, pair_sums), finish), F.lit(0.0))

@@ -529,9 +529,9 @@ def pair_cosine(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    entries = F.explode(ngrams.count_terms(ngrams.char_ngrams(F.col("norm_text")))).alias("e")
-    return _norm(spark, sf).select(entries).groupBy("e.term").agg(
-        F.sum("e.cnt").cast("long").alias("cnt"), F.count("*").alias("df"))
+    rows = similarity.term_rows(_norm(spark, sf), ngrams.char_ngrams(F.col("norm_text")))
+    return rows.groupBy("term").agg(
+        F.sum("cnt").cast("long").alias("cnt"), F.count("*").alias("df"))
 
 
 @query
