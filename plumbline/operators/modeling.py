@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
@@ -40,6 +42,7 @@ TOLERANCE = 1e-4
 # Each task of the optimizer ships a gradient as long as the vocabulary, so a task should hold
 # at least this many rows.
 ROWS_PER_GRADIENT = 2_000
+FITS_AT_ONCE = 4
 
 
 def vocab_topk(df: DataFrame, grams: Column, k: int, min_df: int = 1) -> DataFrame:
@@ -283,13 +286,20 @@ def train_scorer(
     scorer = ReviewScorer(tfidf, {}, scales)
     # Written, not cached: every step of the optimizer is a job that ships its whole lineage.
     vectors = materialize(scorer.vectorize(rows).select(scorer.features, *labels), "vectors")
-    for label in labels:
-        scorer.classifiers[label] = fit_lr(
-            vectors, label, scorer.features, max_iter=max_iter, tol=tol
-        )
+
+    def fit(label: str) -> LogisticRegressionModel:
+        return fit_lr(vectors, label, scorer.features, max_iter=max_iter, tol=tol)
+
+    scorer.classifiers.update(zip(labels, _at_once(df.sparkSession, fit, labels)))
     return scorer
 
 
+def _at_once(session: SparkSession, task: Callable, items: Sequence) -> list:
+    """Run independent fits side by side; one fit alone leaves most of a cluster idle."""
+    with ThreadPool(min(len(items), FITS_AT_ONCE)) as pool:
+        return pool.map(inheritable_thread_target(session)(task), items)
+
+
 def decide(df: DataFrame, labels: Sequence[str] = LABELS) -> tuple[DataFrame, list[Pair]]:
     """Add ``<label>_hat``: strictly above one half, as holdout reports count it."""
     hats = {f"{c}_hat": (F.col(f"{c[6:]}_p") > 0.5).cast("int") for c in labels}
@@ -307,12 +317,12 @@ def group_cv(
     folds: DataFrame, k: int, min_df: int = 2, with_meta: bool = True, **train_options
 ) -> tuple[DataFrame, DataFrame]:
     """Fit on all folds but one, score that one: held-out rows, and macro scores over folds."""
-    scored = None
-    for i in range(k):
+    def held_out(i: int) -> DataFrame:
         scorer = train_scorer(
             folds.filter(F.col("fold") != i), min_df=min_df, with_meta=with_meta, **train_options
         )
-        held_out = scorer.score(folds.filter(F.col("fold") == i))
-        scored = held_out if scored is None else scored.unionByName(held_out)
-    decided, pairs = decide(scored)
+        return scorer.score(folds.filter(F.col("fold") == i))
+
+    parts = _at_once(folds.sparkSession, held_out, range(k))
+    decided, pairs = decide(reduce(DataFrame.unionByName, parts))
     return decided, fold_macro(decided, pairs)
