@@ -634,8 +634,9 @@ def _nonzero(df, column):
     df.select("review_id", column).write.parquet(path)
     stored = df.sparkSession.read.schema(f"review_id string, {column} {VECTOR}").parquet(path)
     length = F.aggregate(f"{column}.values", F.lit(0.0), lambda acc, x: acc + x * x)
-    return stored.select(
+    out = stored.select(
         "review_id", F.size(f"{column}.indices").alias("nonzero"), length.alias("squared_length"))
+    return rounded(out, "squared_length")
 
 
 @query

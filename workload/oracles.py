@@ -403,6 +403,21 @@ oracle("flagged_per_business", f"""
            CAST(sum(CASE WHEN {RANT} THEN 1 ELSE 0 END) AS BIGINT) AS n_rants
     FROM norm_v JOIN reviews_v USING (review_id) GROUP BY business_id""", "norm_v", "reviews_v")
 
+MAPPED = f"""
+    SELECT * FROM (SELECT *, row_number() OVER
+                     (PARTITION BY business_id, review_text ORDER BY review_id) AS rn FROM (
+      SELECT {content_key('biz_name', 'city', 'review_text', 'stars + 2')} AS review_id,
+             substr(md5(biz_name), 1, 12) AS business_id, {norm_clean('biz_name')} AS biz_name,
+             'Restaurant' AS biz_cats, '' AS biz_desc, {norm_clean('review_text')} AS review_text,
+             least(coalesce(stars + 2, 0), 5) AS stars FROM ({REVIEWS}))) WHERE rn = 1"""
+oracle("preprocess_restaurants", """
+    SELECT review_id, business_id, biz_name, biz_cats, biz_desc, review_text, stars,
+           ads AS label_ads, irrelevant AS label_irrelevant, rant_no_visit AS label_rant_no_visit,
+           relevant AS label_relevant, round(cosine, 6) AS cosine_to_business, reasons
+    FROM reviews_v JOIN rules_v USING (review_id)""", "rules_v", "reviews_v")
+ORACLES["preprocess_restaurants"] = ORACLES["preprocess_restaurants"].replace(
+    f"reviews_v AS MATERIALIZED ({REVIEWS})", f"reviews_v AS MATERIALIZED ({MAPPED})")
+
 # ---- similarity -----------------------------------------------------------------------------
 
 oracle("word_ngrams", """
@@ -538,6 +553,30 @@ oracle("score_table", """
            CASE WHEN irrelevant_p > 0.2 THEN rant_no_visit_p ELSE 0.0 END AS rant_no_visit_p
     FROM scores_v""", "scores_v")
 
+# Vocabulary sizes as the models use them; ties at the cut go by term.
+CHAR_GRAMS = f"""
+    SELECT review_id, 'char' AS kind, substr(w, i, n) AS term FROM (
+      SELECT review_id, w, n, unnest(range(1, greatest(length(w) - n, 0) + 2)) AS i FROM (
+        SELECT review_id, w, unnest(range(3, least(5, length(w)) + 1)) AS n FROM (
+          SELECT review_id, ' ' || unnest(regexp_extract_all(t, '[^{SPACES}]+')) || ' ' AS w
+          FROM texts)))"""
+WORD_GRAMS = f"""
+    SELECT review_id, 'word', unnest({grams('tokens')}) FROM (
+      SELECT review_id, regexp_extract_all(t, '{WORD}{{2,}}') AS tokens FROM texts)"""
+oracle("tfidf_features", f""", texts AS MATERIALIZED (
+      SELECT review_id, lower(review_text || ' [SEP] ' || biz_name || ' ' || biz_cats || ' '
+                              || biz_desc) AS t FROM reviews_v),
+    tally AS MATERIALIZED (SELECT review_id, kind, term, count(*) AS cnt
+      FROM ({CHAR_GRAMS} UNION ALL {WORD_GRAMS}) GROUP BY ALL),
+    vocabulary AS (SELECT kind, term FROM (
+      SELECT kind, term, row_number() OVER (PARTITION BY kind ORDER BY sum(cnt) DESC, term) AS rn
+      FROM tally GROUP BY kind, term)
+      WHERE rn <= CASE kind WHEN 'char' THEN 300000 ELSE 200000 END)
+    SELECT review_id, CAST(count(*) AS INTEGER) AS nonzero,
+           CAST(count(DISTINCT kind) AS DOUBLE) AS squared_length
+    FROM tally JOIN vocabulary USING (kind, term) GROUP BY review_id""", "reviews_v")
+ORACLES["tfidf_features"] = ORACLES["tfidf_features"].replace(") , texts AS", "), texts AS", 1)
+
 # ---- ensemble -------------------------------------------------------------------------------
 
 oracle("threshold_decide", f"""
