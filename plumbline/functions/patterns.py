@@ -15,14 +15,17 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}_]"
+# Common characters come first and rare ones sit behind one range test, because a class is tried
+# part by part for every character of every text.
+WORD = r"[0-9A-Za-z_\p{L}\p{N}]"
 DIGIT = r"\p{Nd}"
-SPACES = (
-    r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+RARE_SPACES = (
+    r"[\x{85}-\x{3000}&&[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 )
-SPACE = f"[{SPACES}]"
-NON_SPACE = f"[^{SPACES}]"
+SPACE = rf"[ \x09-\x0D\x1C-\x1F{RARE_SPACES}]"
+UNPLAIN_SPACE = rf"[\x09-\x0D\x1C-\x1F{RARE_SPACES}]"
+NON_SPACE = rf"[!-~[^ \x09-\x0D\x1C-\x1F{RARE_SPACES}]]"
 STARTS = f"(?<!{WORD})(?={WORD})"
 ENDS = f"(?<={WORD})(?!{WORD})"
 BOUNDARY = f"(?:{STARTS}|{ENDS})"

@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.patterns import SPACE, SPACES
+from plumbline.functions.patterns import SPACE, UNPLAIN_SPACE
 
 _EDGE_SPACE = f"^{SPACE}+|{SPACE}+$"
 # White space that is not already one plain space between words.
-_UNEVEN_SPACE = f"(?:[{SPACES}&&[^ ]]| (?={SPACE})){SPACE}*"
+_UNEVEN_SPACE = f"(?:{UNPLAIN_SPACE}| (?={SPACE})){SPACE}*"
 
 # Invisible characters dropped by each variant.
 ZERO_WIDTH_ALL = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"

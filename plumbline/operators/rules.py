@@ -13,6 +13,7 @@ from plumbline.functions.text import blank, norm_rules
 from plumbline.operators.similarity import corpus_cosine, pair_cosine
 from plumbline.policy import DEFAULT_POLICY, Policy
 from plumbline.schemas import LABELS, REVIEW_COLUMNS, TASKS
+from plumbline.session import materialize
 
 RULE_COLUMNS = (*TASKS, "relevant", "cosine_to_business", "offtopic", "reasons")
 
@@ -118,12 +119,13 @@ def rules_label(
         cosine = pair_cosine(text, F.col("norm_biz")).alias("cosine_to_business")
         flagged = clean.select(*keep, *flag_columns, cosine)
     else:
+        # Cleaning costs far more than writing its result, and three passes need it.
         carried = dict.fromkeys((*keep, key))
-        flagged = clean.select(*carried, *flag_columns).join(
-            corpus_cosine(clean.select(key, "norm_text", "norm_biz"), "norm_text", "norm_biz", key),
-            key,
-            "left",
+        table = materialize(
+            clean.select(*carried, *flag_columns, "norm_text", "norm_biz"), "cleaned"
         )
+        cosine = corpus_cosine(table, "norm_text", "norm_biz", key)
+        flagged = table.drop("norm_text", "norm_biz").join(cosine, key, "left")
     return _finish(flagged, policy, keep)
 
 

@@ -836,11 +836,11 @@ def prob_histogram(spark, sf):
 @query
 def stream_label(spark, sf):
     r = views.reviews(spark, sf)
-    arriving = r.select("review_id", "business_id", "review_text").repartition(4)
+    arriving = r.select("review_id", "business_id", "review_text").repartition(32)
     source = _stage(arriving, "parquet", "arriving")
     businesses = materialize(
         r.select("business_id", *stream.BUSINESS_COLUMNS).distinct(), "businesses")
-    reviews = stream.read_reviews(spark, source, arriving.schema, max_files=2)
+    reviews = stream.read_reviews(spark, source, arriving.schema, max_files=16)
     out = fresh_path(spark, "labels")
     labels = stream.label_stream(reviews, businesses)
     run = stream.write_labels(labels, out, fresh_path(spark, "stream-checkpoint"))
