@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.ann import nearest_neighbours
 from plumbline.llm.base import table
+from plumbline.llm.brown import class_scores
 from plumbline.llm.decontaminate import contamination
+from plumbline.llm.langid import identified
 from plumbline.llm.mixing import mixture
+from plumbline.llm.records import token_records
+from plumbline.llm.secrets import count_of, joined, secret_spans
+
+
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +26,41 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col("base"), F.col("spans")
+    counts = [count_of(base, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count_of(spans, "random").alias("n_random"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
+def op10_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_decontaminate": op2_decontaminate,
+    "op4_secrets": op4_secrets,
+    "op5_token_records": op5_token_records,
     "op7_mix_sources": op7_mix_sources,
+    "op9_language": op9_language,
+    "op10_class_model": op10_class_model,
 }
