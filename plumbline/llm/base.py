@@ -127,3 +127,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = step.select("node", "component")
         if not moved:
             return labels
+
+
+def shingle_sets(texts, size: int) -> list[np.ndarray]:
+    """``shingle_hashes`` of many texts, hashed together."""
+    cut = [lowered_words(x) for x in texts]
+    lengths = [len(x) for x in cut]
+    h = hashes([w for words in cut for w in words])
+    wide = None
+    if len(h) >= size:
+        wide = np.full(len(h) - size + 1, size, np.uint64)
+        for i in range(size):
+            wide = scramble(wide * MIX[1] + h[i : len(h) - size + 1 + i])
+    out, at = [], 0
+    for n, words in zip(lengths, cut, strict=True):
+        out.append(np.unique(wide[at : at + n - size + 1]) if n >= size else shingle_hashes(words, size))
+        at += n
+    return out
+
+
+def set_hash(tokens: np.ndarray) -> int:
+    """One signed 64-bit hash of a set of token hashes."""
+    if not len(tokens):
+        return 0
+    mixed = scramble(tokens)
+    with np.errstate(over="ignore"):
+        both = np.array([mixed.sum() * MIX[1] + np.uint64(len(tokens)), np.bitwise_xor.reduce(scramble(mixed + MIX[2]))])
+        return int(scramble(both[:1] + both[1:] * MIX[2]).view(np.int64)[0])

@@ -25,4 +25,22 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES = {"op2_decontaminate": DECONTAMINATE}
+TEXT_WORDS = "regexp_extract_all(" + LOWERED + ", '[^\\x20\\x09-\\x0D]+')"
+
+JACCARD = f"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce({TEXT_WORDS.format("text")}, []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY a, b)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES = {"op2_decontaminate": DECONTAMINATE, "op3_jaccard": JACCARD}

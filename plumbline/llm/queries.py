@@ -9,6 +9,7 @@ from plumbline.llm.ann import nearest_neighbours
 from plumbline.llm.base import table
 from plumbline.llm.brown import class_scores
 from plumbline.llm.decontaminate import contamination
+from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.langid import identified
 from plumbline.llm.mixing import mixture
 from plumbline.llm.records import token_records
@@ -26,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = F.col("base"), F.col("spans")
@@ -58,6 +63,7 @@ def op10_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_decontaminate": op2_decontaminate,
+    "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op5_token_records": op5_token_records,
     "op7_mix_sources": op7_mix_sources,
