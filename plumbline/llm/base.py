@@ -74,18 +74,6 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct hashes of ``size`` consecutive words; of all words if there are fewer."""
-    h = hashes(words)
-    if not len(h):
-        return h
-    width = min(size, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        out = scramble(out * MIX[1] + h[i : len(h) - width + 1 + i])
-    return np.unique(out)
-
-
 def lowered_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space (0x20, 0x09-0x0D) with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -129,28 +117,86 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
-def shingle_sets(texts, size: int) -> list[np.ndarray]:
-    """``shingle_hashes`` of many texts, hashed together."""
-    cut = [lowered_words(x) for x in texts]
-    lengths = [len(x) for x in cut]
-    h = hashes([w for words in cut for w in words])
-    wide = None
+def flat_sets(items: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets of many word lists at once: (token hashes, item of each, tokens per item).
+
+    Tokens are distinct in their item and sorted by item, then hash.  An item of fewer than ``size`` words has one token
+    of all its words, an empty one none.
+    """
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    h = hashes([w for words in items for w in words])
+    ends = np.cumsum(lengths)
+    found, owner = [], []
     if len(h) >= size:
-        wide = np.full(len(h) - size + 1, size, np.uint64)
-        for i in range(size):
-            wide = scramble(wide * MIX[1] + h[i : len(h) - size + 1 + i])
-    out, at = [], 0
-    for n, words in zip(lengths, cut, strict=True):
-        out.append(np.unique(wide[at : at + n - size + 1]) if n >= size else shingle_hashes(words, size))
-        at += n
+        item = np.repeat(np.arange(len(items)), lengths)[: len(h) - size + 1]
+        begin = np.flatnonzero(np.arange(len(item)) + size <= ends[item])
+        found.append(mixed(h, begin, size))
+        owner.append(item[begin])
+    for width in range(1, size):
+        short = np.flatnonzero(lengths == width)
+        found.append(mixed(h, ends[short] - width, width))
+        owner.append(short)
+    token, item = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((token, item))
+    token, item = token[order], item[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (item[1:] != item[:-1])
+    token, item = token[fresh], item[fresh]
+    return token, item, np.bincount(item, minlength=len(items))
+
+
+def mixed(h: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """One hash for ``width`` consecutive word hashes from each place in ``begin``."""
+    out = np.full(len(begin), width, np.uint64)
+    for i in range(width):
+        out = scramble(out * MIX[1] + h[begin + i])
     return out
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    """One signed 64-bit hash of a set of token hashes."""
-    if not len(tokens):
-        return 0
-    mixed = scramble(tokens)
-    with np.errstate(over="ignore"):
-        both = np.array([mixed.sum() * MIX[1] + np.uint64(len(tokens)), np.bitwise_xor.reduce(scramble(mixed + MIX[2]))])
-        return int(scramble(both[:1] + both[1:] * MIX[2]).view(np.int64)[0])
+def set_hashes(token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each set in the form of ``flat_sets``; 0 for an empty one."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        begin = (np.cumsum(sizes) - sizes)[some]
+        spread = scramble(token)
+        total = np.add.reduceat(spread, begin) * MIX[1] + sizes[some].astype(np.uint64)
+        crossed = np.bitwise_xor.reduceat(scramble(spread + MIX[2]), begin)
+        out[some] = scramble(total + crossed * MIX[2])
+    return out.view(np.int64)
+
+
+COUNTERS = 1 << 20
+
+
+def counter_of(token: np.ndarray) -> np.ndarray:
+    return (token & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def prefixes(token: np.ndarray, item: np.ndarray, sizes: np.ndarray, counters: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each prefix token, its place in its set's order): the ``length`` rarest tokens of each set.
+
+    Rarity is the count of the token's counter; ties go by the hash, so all sets share one order.
+    """
+    order = np.lexsort((token, counters[counter_of(token)], item))
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(token)) - begin[item]  # items stay where they are, each in its own order
+    keep = place < length[item]
+    return order[keep], place[keep]
+
+
+def counter_rows(counters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first counter, counts) in parts of bounded size, for a table that ``summed_counters`` adds up."""
+    for part in range(0, COUNTERS, 1 << 16):
+        held = counters[part : part + (1 << 16)]
+        if held.any():
+            yield part, held
+
+
+def summed_counters(parts: DataFrame) -> np.ndarray:
+    """Sums of (part, counts) rows of all tasks; the result has a fixed size."""
+    each = parts.select("part", F.posexplode("counts").alias("at", "count")).where("count > 0")
+    rows = each.groupBy((F.col("part") + F.col("at")).alias("at")).agg(F.sum("count").alias("count")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["count"].to_numpy(np.int64)
+    return out

@@ -22,10 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import batches, connected_components, hinted, set_hash, shingle_sets
+from plumbline.llm.base import (
+    COUNTERS,
+    batches,
+    connected_components,
+    counter_of,
+    counter_rows,
+    flat_sets,
+    hinted,
+    lowered_words,
+    prefixes,
+    set_hashes,
+    summed_counters,
+)
 from plumbline.session import materialize
 
-COUNTERS = 1 << 20
 HOT_COUNT = 20_000
 BATCH_CHARS = 3_000_000
 LEAF = 16
@@ -45,12 +56,17 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bit per token hash, at least two bits a token; widths are powers of two, so one folds onto another."""
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
-    out = np.zeros(bits, np.uint8)
-    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little")
+def bitmaps(token: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set a bit per token hash, at least two bits a token; widths are powers of two, so one folds onto another."""
+    out, at = [], 0
+    for n in sizes.tolist():
+        bits = max(64, 1 << (2 * n - 1).bit_length()) if n else 0
+        held = np.zeros(bits, np.uint8)
+        if n:
+            held[(token[at : at + n] & np.uint64(bits - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(held, bitorder="little").tobytes())
+        at += n
+    return out
 
 
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -67,23 +83,12 @@ def class_rows(size: int):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters = np.zeros(COUNTERS, np.int64)
         for frame in batches(frames, 2_000, BATCH_CHARS):
-            sets = shingle_sets(frame["text"], size)
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counters += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"].astype("Int64"),
-                    "digest": frame["digest"],
-                    "n": [len(s) for s in sets],
-                    "cls": [set_hash(s) for s in sets],
-                    "sig": [bitmap(s).tobytes() if len(s) else b"" for s in sets],
-                    "counts": None,
-                }
-            )
-        for part in range(0, COUNTERS, 1 << 16):
-            held = counters[part : part + (1 << 16)]
-            if held.any():
-                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "digest": [0], "n": [-1 - part], "cls": [0], "sig": [None], "counts": [held]})
+            token, _, sizes = flat_sets([lowered_words(x) for x in frame["text"]], size)
+            counters += np.bincount(counter_of(token), minlength=COUNTERS)
+            own = {"doc_id": frame["doc_id"].astype("Int64"), "digest": frame["digest"], "n": sizes, "cls": set_hashes(token, sizes)}
+            yield pd.DataFrame({**own, "sig": bitmaps(token, sizes), "part": None, "counts": None})
+        for part, held in counter_rows(counters):
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "digest": [0], "n": [0], "cls": [0], "sig": [None], "part": [part], "counts": [held]})
 
     return rows
 
@@ -92,26 +97,16 @@ def posting_rows(shared, size: int, percent: int):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters, seen = shared.value, set()
         for frame in batches(frames, 2_000, BATCH_CHARS):
-            tokens, classes, sizes = [], [], []
-            for s in shingle_sets(frame["text"], size):
-                if not len(s):
-                    continue
-                cls = set_hash(s)
-                if cls in seen:  # a copy in the same task
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(cls)
-                rarity = counters[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                prefix = len(s) - needed(len(s), percent) + 1
-                tokens.append(s[np.argsort(rarity, kind="stable")[:prefix]])  # ties in the order of the hash
-                classes.append(cls)
-                sizes.append(len(s))
-            if tokens:
-                each = [len(t) for t in tokens]
-                token = np.concatenate(tokens)
-                salts = 1 + counters[(token & np.uint64(COUNTERS - 1)).astype(np.int64)] // HOT_COUNT
-                cls = np.repeat(np.array(classes, np.int64), each)
-                yield pd.DataFrame({"token": token.view(np.int64), "cls": cls, "n": np.repeat(np.array(sizes, np.int32), each), "salts": salts.astype(np.int32)})
+            token, item, sizes = flat_sets([lowered_words(x) for x in frame["text"]], size)
+            cls = set_hashes(token, sizes)
+            fresh = np.array([n > 0 and c not in seen for c, n in zip(cls.tolist(), sizes.tolist(), strict=True)], bool)
+            if len(seen) < 1_000_000:  # copies in one task need not be told twice
+                seen.update(cls[fresh].tolist())
+            length = np.where(fresh, sizes - needed(sizes, percent) + 1, 0)
+            at, _ = prefixes(token, item, sizes, counters, length)
+            salts = 1 + counters[counter_of(token[at])] // HOT_COUNT
+            of = item[at]
+            yield pd.DataFrame({"token": token[at].view(np.int64), "cls": cls[of], "n": sizes[of].astype(np.int32), "salts": salts.astype(np.int32)})
 
     return rows
 
@@ -119,8 +114,8 @@ def posting_rows(shared, size: int, percent: int):
 def member_sets(size: int):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, 2_000, BATCH_CHARS):
-            sets = shingle_sets(frame["text"], size)
-            yield pd.DataFrame({"cls": frame["cls"].to_numpy(), "tokens": [s.view(np.int64) for s in sets]})
+            token, _, sizes = flat_sets([lowered_words(x) for x in frame["text"]], size)
+            yield pd.DataFrame({"cls": frame["cls"].to_numpy(), "tokens": np.split(token.view(np.int64), np.cumsum(sizes)[:-1])})
 
     return rows
 
@@ -252,22 +247,14 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
         spark = docs.sparkSession
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-        schema = "doc_id long, digest long, n int, cls long, sig binary, counts array<long>"
+        schema = "doc_id long, digest long, n int, cls long, sig binary, part int, counts array<long>"
         both = materialize(self.docs.mapInPandas(class_rows(size), schema), "shingled")
-        self.rows = both.where("n >= 0").select("doc_id", "digest", "n", "cls", "sig")
-        self.counters = self.counted(both.where("n < 0"))
+        self.rows = both.where("part is null").select("doc_id", "digest", "n", "cls", "sig")
+        self.counters = summed_counters(both.where("part is not null").select("part", "counts"))
         first = F.min(F.struct("doc_id", "digest")).alias("first")
         classes = self.rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), first)
         self.classes = materialize(classes, "classes")
 
-    @staticmethod
-    def counted(parts: DataFrame) -> np.ndarray:
-        each = parts.select((-1 - F.col("n")).alias("part"), F.posexplode("counts").alias("at", "count"))
-        rows = each.groupBy((F.col("part") + F.col("at")).alias("at")).agg(F.sum("count").alias("count")).where("count > 0").toPandas()
-        out = np.zeros(COUNTERS, np.int64)
-        out[rows["at"].to_numpy(np.int64)] = rows["count"].to_numpy(np.int64)
-        return out
-
     def buckets(self) -> DataFrame:
         """(token, band, salt, salts, cls, n) of the buckets in which two classes may meet."""
         shared = self.docs.sparkSession.sparkContext.broadcast(self.counters)
