@@ -43,4 +43,28 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES = {"op2_decontaminate": DECONTAMINATE, "op3_jaccard": JACCARD}
+LINES = f"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line, l[i] AS content, {TEXT_WORDS.format("l[i]")} AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+shingles AS (
+  SELECT DISTINCT doc_id, line, hash(array_to_string(w[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, line, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM lines WHERE len(w) > 0)),
+sets AS (SELECT doc_id, line, count(*) AS n, list_sort(list(s)) AS key FROM shingles GROUP BY ALL),
+classes AS (SELECT key, n, min((doc_id, line)) AS first FROM sets GROUP BY ALL),
+tokens AS (SELECT first, n, unnest(key) AS s FROM classes),
+near AS (
+  SELECT y.first AS late FROM tokens x JOIN tokens y USING (s) WHERE x.first < y.first
+  GROUP BY x.first, y.first, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+kept AS (SELECT first FROM classes WHERE first NOT IN (SELECT late FROM near)),
+marked AS (
+  SELECT doc_id, line, content, len(w) > 0 AND (doc_id, line) NOT IN (SELECT first FROM kept) AS gone FROM lines),
+joined AS (
+  SELECT doc_id, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text, count(*) AS n_lines,
+         count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (gone), '') AS removed
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, j.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN joined j USING (doc_id)
+"""
+
+ORACLES = {"op2_decontaminate": DECONTAMINATE, "op3_jaccard": JACCARD, "op8_line_dedup": LINES}

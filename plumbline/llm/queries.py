@@ -11,6 +11,7 @@ from plumbline.llm.brown import class_scores
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.langid import identified
+from plumbline.llm.lines import deduplicated_lines
 from plumbline.llm.mixing import mixture
 from plumbline.llm.records import token_records
 from plumbline.llm.secrets import count_of, joined, secret_spans
@@ -52,6 +53,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = deduplicated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_token_records": op5_token_records,
     "op7_mix_sources": op7_mix_sources,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_class_model": op10_class_model,
 }
