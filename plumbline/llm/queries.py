@@ -15,6 +15,7 @@ from plumbline.llm.lines import deduplicated_lines
 from plumbline.llm.mixing import mixture
 from plumbline.llm.records import token_records
 from plumbline.llm.secrets import count_of, joined, secret_spans
+from plumbline.llm.toxicity import toxicity
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count_of(spans, "random").alias("n_random"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op5_token_records": op5_token_records,
+    "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
