@@ -16,10 +16,12 @@ checksums is not degenerate.  A reader may fetch any record with one seek.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import batches
+from plumbline.llm.base import MIX, batches, hashes, scramble
 from plumbline.session import fresh_path, materialize
 
 MASK_DELTA = 0xA282EAD8
-CACHED_PIECES = 700_000
+CACHED_PIECES = 500_000
 BATCH_CHARS = 4_000_000
+BULK = 1_000
+LINE_END = re.compile(r"\n|\s$")
 READ_BYTES = 8 << 20
 SHARDS = "shard long, path string, n_docs long, n_tokens long"
 
@@ -51,8 +55,9 @@ def framed(payload: bytes) -> bytes:
 class Encoder:
     """Encodes texts with a tokenizer file; pieces seen before come from a bounded cache.
 
-    Byte-level pre-tokenization always starts a new token run at a space that follows a character other than white
-    space, so a text's ids are those of its pieces between such spaces.
+    Byte-level pre-tokenization always starts a new run at a space that follows a character other than white
+    space, so a text's ids are those of its pieces between such spaces.  A piece is named by what follows its space, or
+    by a tuple if it has none.
     """
 
     def __init__(self, path: str, piecewise: bool):
@@ -60,73 +65,167 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.piecewise = piecewise
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.reset()
 
     def reset(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes: dict[str | tuple[str], int] = {}
+        self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.begins = np.zeros(1 << 20, np.int64)
-        self.sizes = np.zeros(1 << 20, np.int64)
+        self.begins = np.zeros(1 << 18, np.int64)
+        self.sizes = np.zeros(1 << 18, np.int64)
         self.used = 0
 
-    def keep(self, piece: str, ids) -> None:
-        n, code = len(ids), len(self.codes)
-        if self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
-        if code >= len(self.sizes):
+    def keep(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        base, n = len(self.codes), len(pieces)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while base + n > len(self.sizes):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.ids[self.used : self.used + n] = ids
-        self.begins[code], self.sizes[code] = self.used, n
-        self.codes[piece] = code
-        self.used += n
-
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces of letters and one final stop or comma share the letters' ids: punctuation is a run of its own."""
-        stems = {p: p[:-1] for p in pieces if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()}
-        plain = (pieces - stems.keys()) | (set(stems.values()) - self.codes.keys())
-        plain |= {mark for mark in ".," if mark not in self.codes} if stems else set()
-        plain = list(plain)
-        for piece, coded in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.keep(piece, coded.ids)
-        for piece, stem in stems.items():
-            a, b = self.codes[stem], self.codes[piece[-1]]
-            self.keep(piece, np.concatenate([self.ids[self.begins[c] : self.begins[c] + self.sizes[c]] for c in (a, b)]))
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        out = [first, *[" " + x for x in rest]]
-        if "  " in text or not text.isascii() or "\n " in text or "\t " in text or "\r " in text or "\v " in text or "\f " in text:
-            if any(x[-1:].isspace() or not x for x in out[:-1]):
-                merged = [out[0]]
-                for x in out[1:]:
-                    if not merged[-1] or merged[-1][-1].isspace():
-                        merged[-1] += x
-                    else:
-                        merged.append(x)
-                out = merged
-        return out
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.sizes[base : base + n] = sizes
+        self.begins[base : base + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.codes.update(zip(pieces, range(base, base + n), strict=True))
+
+    def drop_after(self, n: int, used: int) -> None:
+        """Forget the pieces learned since there were ``n``."""
+        while len(self.codes) > n:
+            self.codes.popitem()
+        self.used = used
+
+    def gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces in a row, end of each piece)."""
+        sizes = self.sizes[code]
+        ends = np.cumsum(sizes)
+        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        return self.ids[np.repeat(self.begins[code], sizes) + within], ends
+
+    def coded(self, pieces: list) -> None:
+        """Encode pieces, many to a text: a line break between two pieces is a run of its own."""
+        texts = [p[0] if type(p) is tuple else " " + p for p in pieces]
+        bulk = [i for i, t in enumerate(texts) if t.strip() and not LINE_END.search(t)] if len(self.newline) == 1 else []
+        left = set(range(len(pieces))).difference(bulk)
+        groups = [bulk[i : i + BULK] for i in range(0, len(bulk), BULK)]
+        joined = ["\n".join([texts[i] for i in g]) for g in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.newline[0])
+            if len(cut) != len(group) - 1:
+                left.update(group)
+                continue
+            sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+            self.keep([pieces[i] for i in group], np.delete(ids, cut), sizes)
+        rest = sorted(left)
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            self.keep([pieces[i]], np.array(found.ids, np.uint32), np.array([len(found.ids)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.piecewise:
             return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.codes) > CACHED_PIECES:
-            self.reset()
-        cut = [self.pieces(x) for x in texts]
-        every = [p for piece in cut for p in piece]
-        unknown = set(every).difference(self.codes)
-        if unknown:
-            self.learn(unknown)
-        code = np.fromiter(map(self.codes.__getitem__, every), np.int64, len(every))
-        sizes = self.sizes[code]
-        ends = np.cumsum(sizes)
-        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        ids = self.ids[np.repeat(self.begins[code], sizes) + within]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+        raw = [x.encode() for x in texts]
+        data = b"".join(raw)
+        starts = np.cumsum([0, *map(len, raw)])
+        begin, first = piece_starts(np.frombuffer(data, np.uint8), starts)
+        end = np.append(begin[1:], len(data))
+        head = begin + ~first
+        place, distinct = pd.factorize(piece_hashes(data, head, end, first))
+        sample = np.empty(len(distinct), np.int64)
+        sample[place[::-1]] = np.arange(len(place))[::-1]
+        code = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        kept, used = len(self.codes), self.used
+        missing = np.flatnonzero(code < 0)
+        if kept > CACHED_PIECES and len(missing) * 2 > len(distinct):
+            self.reset()  # the texts have changed
+            missing, kept, used = np.arange(len(distinct)), 0, 0
+        if len(missing):
+            at = sample[missing]
+            cut = [data[i:j].decode() for i, j in zip(head[at].tolist(), end[at].tolist(), strict=True)]
+            pieces = [(x,) if alone else x for x, alone in zip(cut, first[at].tolist(), strict=True)]
+            self.coded(list(set(pieces).difference(self.codes)))
+            code[missing] = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+            if kept <= CACHED_PIECES:
+                self.known.update(zip(distinct[missing].tolist(), code[missing].tolist(), strict=True))
+        ids, ends = self.gather(code[place])
+        if kept > CACHED_PIECES:
+            self.drop_after(kept, used)
+        bounds = np.concatenate([[0], ends])[np.searchsorted(begin, starts)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each piece, whether its first character is its own).  ``starts`` has the place of each text, and the end.
+
+    A space opens a piece unless it begins its text or follows white space, ASCII controls counted as such; it is then left
+    out of the piece's name.  A stop or comma between a letter and white space is a piece of its own, and so is a
+    single line break between visible characters, for these are runs of their own in any text.
+    """
+    mark = np.zeros(len(data) + 1, bool)
+    space = np.flatnonzero(data == 32)
+    one, two, three = (data[np.maximum(space - i, 0)] for i in (1, 2, 3))
+    wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    wide |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    wide |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+    wide |= ((three == 0xE1) & (two == 0x9A) | (three == 0xE3) & (two == 0x80)) & (one == 0x80)
+    mark[space[(one > 32) & ~wide]] = True
+    opens = np.zeros(len(data) + 1, bool)
+    opens[starts] = True
+    at = np.flatnonzero((data == 44) | (data == 46))
+    after = np.where(opens[at + 1], 32, np.append(data, 32)[at + 1])
+    low = data[np.maximum(at - 1, 0)] | 32
+    plain = (low >= 97) & (low <= 122) & (data[np.maximum(at - 1, 0)] < 128)
+    blank = (after == 32) | (after >= 9) & (after <= 13)
+    opens[at[~opens[at] & (plain | latin(data, at - 1)) & blank]] = True
+    at = np.flatnonzero(data == 10)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[~opens[at] & ~opens[at + 1]]
+    visible = lambda i: (data[i] > 32) & (data[i] < 127)
+    at = at[(visible(at - 1) | latin(data, at - 1)) & (visible(at + 1) | (data[at + 1] == 0xC3))]
+    opens[at] = opens[at + 1] = True
+    begin = np.flatnonzero((mark | opens)[:-1])
+    return begin, opens[begin]
+
+
+def latin(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character whose last byte is at ``last`` is one of the letters from U+00C0 to U+00FF."""
+    one, two = data[np.maximum(last, 0)], data[np.maximum(last - 1, 0)]
+    return (last > 0) & (two == 0xC3) & (one >= 0x80) & (one <= 0xBF) & (one != 0x97) & (one != 0xB7)
+
+
+FACTOR = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2 ** 64
+BYTE_VALUES = scramble(np.arange(1, 257, dtype=np.uint64) * MIX[0])
+POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of FACTOR and of its inverse up to ``n``."""
+    if len(POWERS[0]) <= n:
+        size = 1 << int(n).bit_length()
+        for i, base in enumerate((FACTOR, pow(FACTOR, -1, 1 << 64))):
+            full = np.full(size, base, np.uint64)
+            full[0] = 1
+            POWERS[i] = np.cumprod(full)
+    return POWERS
+
+
+def piece_hashes(data: bytes, head: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch head:end, told apart by whether it begins a text.
+
+    A polynomial over byte values from running sums; long stretches, where such polynomials are weak, are hashed as
+    a whole.
+    """
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[np.frombuffer(data, np.uint8)] * up[: len(data)], out=sums[1:])
+    size = (end - head).astype(np.uint64)
+    h = (sums[end] - sums[head]) * down[head]
+    long = np.flatnonzero(size > 64)
+    if len(long):
+        h[long] = hashes([data[i:j] for i, j in zip(head[long].tolist(), end[long].tolist(), strict=True)])
+    return scramble(h + MIX[1] * size + MIX[2] * first).view(np.int64)
+
+
 ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
