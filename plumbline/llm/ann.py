@@ -18,10 +18,12 @@ SWEEPS = 12
 BALANCE = 0.3
 DEGREE = 32
 ENTRIES = 16
-REPLICAS = 6
-COPY_RATIO = 1.12
-PROBE_RATIO = 1.45
-MAX_PROBES = 96
+REPLICAS = 4
+COPY_RATIO = 1.06
+PROBE_RATIO = 1.25
+PROBE_SHARE = 0.28
+LEAST_PROBES = 96
+ANCHOR = 7
 CELL_ROWS = 2_000
 QUERIES_PER_SALT = 1_000
 GROUP_SALTS = 12
@@ -137,33 +139,29 @@ class Lists:
         return np.concatenate([vectors, rest[:, None]], 1)
 
     def homes(self, vectors: np.ndarray) -> list[np.ndarray]:
-        """The nearest cluster of each vector, and for one near a boundary those beyond it.
-
-        A further cluster is left out if a cluster already taken is nearer to it than the vector is.
-        """
+        """The nearest cluster of each vector, and for one near a boundary those about as near, COPY_RATIO at most."""
         out = []
-        c = self.graph.centroids
         for begin in range(0, len(vectors), 256):
-            ids, dist = self.graph.search(self.placed(vectors[begin : begin + 256]), 4 * REPLICAS)
-            for row, d in zip(ids, dist, strict=True):
-                taken = [int(row[0])]
-                for i in range(1, len(row)):
-                    if len(taken) == REPLICAS or row[i] < 0 or d[i] > COPY_RATIO * d[0]:
-                        break
-                    if all(((c[t] - c[row[i]]) ** 2).sum() > d[i] ** 2 for t in taken):
-                        taken.append(int(row[i]))
-                out.append(np.array(taken))
+            ids, dist = self.graph.search(self.placed(vectors[begin : begin + 256]), 8 * REPLICAS)
+            near = (ids[:, :REPLICAS] >= 0) & (dist[:, :REPLICAS] <= COPY_RATIO * dist[:, :1])
+            out += [row[:REPLICAS][keep] for row, keep in zip(ids, near, strict=True)]
         return out
 
-    def probes(self, queries: np.ndarray, ratio: float, most: int) -> list[np.ndarray]:
-        """Clusters whose centroid is at most ``ratio`` times as far as the nearest one."""
+    def probes(self, queries: np.ndarray, ratio: float, share: float) -> list[np.ndarray]:
+        """Clusters whose centroid is at most ``ratio`` times as far as a near one, the nearest few being always in.
+
+        The near one is that of rank ANCHOR, so that a query on top of a lone centroid still looks around.
+        """
+        most = max(LEAST_PROBES, int(share * len(self.graph.centroids)))
         length = np.sqrt((queries * queries).sum(1, keepdims=True))
         scaled = queries * (np.sqrt(self.reach) / length)  # a query's length does not change its ranking
         flat = np.concatenate([scaled, np.zeros((len(queries), 1))], 1)
         out = []
         for begin in range(0, len(flat), 256):
             ids, dist = self.graph.search(flat[begin : begin + 256], most)
-            out += [row[(row >= 0) & (d <= ratio * d[0])] for row, d in zip(ids, dist, strict=True)]
+            bound = ratio * dist[:, min(ANCHOR, dist.shape[1] - 1)]
+            bound = np.where(np.isfinite(bound), bound, np.inf)
+            out += [row[(row >= 0) & (d <= b)] for row, d, b in zip(ids, dist, bound, strict=True)]
         return out
 
 
@@ -188,7 +186,7 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
-def placer(shared, columns: list[str], probing: tuple[float, int] | None):
+def placer(shared, columns: list[str], probing: tuple[float, float] | None):
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
@@ -242,7 +240,7 @@ def fit_lists(vectors: DataFrame, n: int, sample: int = SAMPLE) -> Lists:
 
 
 def nearest_neighbours(
-    base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", ratio: float = PROBE_RATIO, most: int = MAX_PROBES
+    base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", ratio: float = PROBE_RATIO, share: float = PROBE_SHARE
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of ``base`` with the largest inner product found.
 
@@ -272,7 +270,8 @@ def nearest_neighbours(
     asked = materialize(asked.withColumn("qkey", F.xxhash64("vec")), "asked")
     reps = asked.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = materialize(reps, "query-vectors")
-    probes = reps.select("rep", "vec").mapInPandas(placer(shared, ["rep", "vec"], (ratio, most)), f"cluster int, rep long, vec {kind}")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    probes = reps.select("rep", "vec").repartition(tasks).mapInPandas(placer(shared, ["rep", "vec"], (ratio, share)), f"cluster int, rep long, vec {kind}")
     probes = materialize(probes, "probes")
 
     parts = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name))
