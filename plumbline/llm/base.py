@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +44,23 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(doc, key_id, key_text): whole rows as one column, so that no name of theirs can clash, and what tells them apart."""
+    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key_id"), F.xxhash64("text").alias("key_text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without rows whose doc_id and text hash are in the written table ``gone`` (doc_id, digest); null equals null."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_text"))
+    same = F.col("key_id").eqNullSafe(F.col("gone_id")) & (F.col("key_text") == F.col("gone_text"))
+    return wrapped(docs).join(hinted(gone, 1_000_000), same, "left_anti").select("doc.*")
+
+
 def fold(ids: Column, n: int) -> Column:
     """crc32 of an id's decimal text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(ids.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def fold_of(value, n: int) -> int:
-    """``fold`` for one Python value."""
-    return zlib.crc32(b"" if value is None else str(int(value)).encode()) % n
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of byte strings, equal in every process."""
     if not words:
@@ -166,7 +172,7 @@ def set_hashes(token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 
 
 def counter_of(token: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import ascii_lower, hinted, small
+from plumbline.llm.base import ascii_lower, hinted, small, without
 from plumbline.session import materialize
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -123,6 +123,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     windows = materialize(item_windows(benchmark.select("item_id", "text"), window), "windows")
     anchors = materialize(anchored_windows(slim, windows), "anchors")
     found = occurrences(slim, anchors).where("window_id is not null")
-    bad = materialize(found.select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct(), "bad")
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_digest"))
-    return docs.join(hinted(bad, 1_000_000), same, "left_anti")
+    return without(docs, materialize(found.select("doc_id", "digest").distinct(), "contaminated"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.base import (
     COUNTERS,
+    WORD,
     batches,
     connected_components,
     counter_of,
@@ -34,6 +35,8 @@ from plumbline.llm.base import (
     prefixes,
     set_hashes,
     summed_counters,
+    without,
+    wrapped,
 )
 from plumbline.session import materialize
 
@@ -356,7 +359,16 @@ def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     """
     found = jaccard_components(docs, size, percent)
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    extra = found.where(~own & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")).distinct()
-    extra = materialize(extra, "extra")
-    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone"))
-    return docs.join(hinted(extra, 1_000_000), same, "left_anti")
+    extra = found.where(~own & (F.col("n_shingles") > 0)).select("doc_id", "digest").distinct()
+    left = without(docs, materialize(extra, "extra"))
+    return first_of_repeated(left)
+
+
+def first_of_repeated(docs: DataFrame) -> DataFrame:
+    """One of several rows with the same id and text that has words; what else they hold decides, so reruns agree."""
+    rows = wrapped(docs)
+    twice = rows.where(F.col("doc.text").rlike(WORD)).groupBy("key_id", "key_text").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("kept"))
+    twice = materialize(twice.where("n > 1").select(F.col("key_id").alias("doc_id"), F.col("key_text").alias("digest"), "kept"), "repeated")
+    if not twice.limit(1).count():
+        return docs
+    return without(docs, twice).unionByName(twice.select("kept.*"))

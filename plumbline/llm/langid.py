@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import MIX, batches, scramble
+from plumbline.llm.base import MIX, batches, fold, scramble
 
 SAMPLE_DOCS = 3_000
 GRAMS_PER_LANGUAGE = 6_000
@@ -184,30 +184,35 @@ def predictor(filters: LanguageFilters):
     return predict
 
 
-def with_language(docs: DataFrame, filters: LanguageFilters, text: Column | str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, from whole texts alone.
+def language_of(spark, filters: LanguageFilters, text: Column) -> Column:
+    """struct<lang_pred, score> from a whole text alone.
 
     Null texts and texts without a letter give ``und`` and 0.  The filters' size is fixed by their
     parameters (slots times languages bits), so they are broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    udf = F.pandas_udf(predictor(shared), "lang_pred string, score double")
-    found = udf(F.col(text) if isinstance(text, str) else text).alias("found")
-    return docs.select("*", found).select(*docs.columns, F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))
+    shared = spark.sparkContext.broadcast(filters)
+    return F.pandas_udf(predictor(shared), "lang_pred string, score double")(text)
+
+
+def training_rows(docs: DataFrame, folds: int, held: int) -> DataFrame:
+    return docs.where(fold(F.col("doc_id"), folds) != held)
 
 
 def identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) per row; learns from text and lang of rows outside the held-out fold."""
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    filters = fit_filters(docs.where(fold != held))
-    slim = docs.select("doc_id", (fold == held).alias("held_out"), "text")
-    return with_language(slim, filters).drop("text")
+    """(doc_id, held_out, lang_pred, score) per row; learns from text and lang of rows outside the held-out fold.
+
+    Rows with null lang or null text teach nothing; with nothing to learn from, every prediction is ``und``.  Null ids
+    and repeated rows keep their rows.  Other columns are ignored.
+    """
+    filters = fit_filters(training_rows(docs, folds, held))
+    found = language_of(docs.sparkSession, filters, F.col("text")).alias("found")
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), found)
+    return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def known_language(docs: DataFrame, least: float = MIN_SCORE, folds: int = 4, held: int = 2) -> DataFrame:
     """``docs`` without those whose language is unknown or scores under ``least``; all columns stay."""
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    filters = fit_filters(docs.where(fold != held))
-    slim = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
-    kept = with_language(slim, filters, "in_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    filters = fit_filters(training_rows(docs, folds, held))
+    whole = docs.select(F.struct("*").alias("doc"))
+    rows = whole.select("doc", language_of(docs.sparkSession, filters, F.col("doc.text")).alias("found"))
+    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import WORD, hinted
+from plumbline.llm.base import WORD, hinted, wrapped
 from plumbline.session import materialize
 
 ROWS_PER_SALT = 5_000
@@ -167,23 +167,18 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: rows of ``docs`` repeated as often as their copies; all columns stay.
 
-    Rows are told apart by doc_id, source, and the text's hash and length; equal rows share out their copies.
+    Rows are told apart by doc_id and the text's hash.  Several rows alike in both share their copies: each takes the
+    whole part of the average, and the first ones, by all their columns, one of what is left over.
     """
-    key = [F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("digest")]
-    sized = docs.select(*key, word_count(F.col("text")).alias("size"))
-    keyed = sized.select(F.struct("doc_id", "digest").alias("doc_id"), "source", "size")
-    taken = copies_of(keyed.withColumn("doc_id", F.to_json("doc_id")), weights, share, cap)
-    counts = taken.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    name = lambda i, d: F.to_json(F.struct(F.col(i).alias("id"), F.col(d).alias("text")))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), word_count(F.col("text")).alias("size"))
+    taken = copies_of(sized.select(name("doc_id", "digest").alias("doc_id"), "source", "size"), weights, share, cap)
+    counts = taken.groupBy(F.col("doc_id").alias("name")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     counts = materialize(counts.where("copies > 0"), "copies")
-    row_key = F.to_json(F.struct("doc_id", F.xxhash64("text").alias("digest")))
-    full = docs.withColumn("row_key", row_key)
-    # Equal rows are the same text, so each stands for the average and the first ones take what is left over.
-    alone = counts.where("rows = 1").select("row_key", "copies")
-    shared = counts.where("rows > 1")
-    once = full.join(hinted(alone, 1_000_000), "row_key")
-    many = full.join(hinted(shared, 1_000_000), "row_key")
-    turn = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
+    rows = wrapped(docs).select("doc", name("key_id", "key_text").alias("name"))
+    once = rows.join(hinted(counts.where("rows = 1"), 1_000_000), "name").select("doc", "copies")
+    several = rows.join(hinted(counts.where("rows > 1"), 1_000_000), "name")
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("doc"))
     each = F.floor(F.col("copies") / F.col("rows")) + (turn <= F.col("copies") % F.col("rows")).cast("int")
-    many = many.withColumn("copies", each).drop("rows")
-    out = once.unionByName(many).where("copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies", "row_key")
+    out = once.unionByName(several.select("doc", each.alias("copies"))).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -34,8 +34,8 @@ from plumbline.llm.base import MIX, batches, hashes, scramble
 from plumbline.session import fresh_path, materialize
 
 MASK_DELTA = 0xA282EAD8
-CACHED_PIECES = 500_000
-BATCH_CHARS = 4_000_000
+CACHED_PIECES = 350_000
+BATCH_CHARS = 2_000_000
 BULK = 1_000
 LINE_END = re.compile(r"\n|\s$")
 READ_BYTES = 8 << 20

@@ -227,16 +227,16 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of (start, kind, end) sorted by start, then kind.
 
     Positions are code points of the whole text, ends exclusive; kind is a place in ``KINDS``.  ``spans`` holds all
-    of ``base`` and the random runs.  Null and empty texts have none.  All rows and columns stay.
+    of ``base`` and the random runs.  Null and empty texts have none.  All rows and columns stay, but for earlier columns of
+    these two names, which are replaced.
     """
     runs = candidates(docs)
     written = written_letters(runs)
     bounds = discovery_bounds(runs, written)
-    inner = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
-    text = F.coalesce(F.col("in_text"), F.lit(""))
-    both = inner.withColumn("base", F.array_sort(base_spans(text)))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    both = docs.select(F.struct("*").alias("doc")).withColumn("base", F.array_sort(base_spans(text)))
     both = both.withColumn("spans", F.array_sort(F.concat("base", random_spans(text, written, bounds))))
-    kept = [F.col(f"in_{c}").alias(c) for c in docs.columns if c not in ("base", "spans")]
+    kept = [F.col(f"doc.{c}").alias(c) for c in docs.columns if c not in ("base", "spans")]
     return both.select(*kept, "base", "spans")
 
 
