@@ -36,6 +36,11 @@ HEADLINES = (
     "cosine_sweep",
     "tune_oof",
     "group_kfold",
+    "vocab_topk",
+    "tfidf_features",
+    "lr_score",
+    "holdout_eval",
+    "group_cv",
     "stream_label",
 )
 

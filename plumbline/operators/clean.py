@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.cells import coerce_stars, content_review_id, hash_business_id
 from plumbline.functions.text import blank, blank_null_words, norm_clean
 from plumbline.schemas import REVIEW_SCHEMA, TEXT_COLUMNS
+from plumbline.session import materialize
 
 
 def keep_english(df: DataFrame, lang: str = "lang") -> DataFrame:
@@ -23,24 +24,44 @@ def dedup_reviews(
     subset: Sequence[str] = ("business_id", "review_text"),
     order: str = "review_id",
 ) -> DataFrame:
-    """One row per ``subset``: the one with the smallest ``order``.
+    """One row per ``subset``: the one with the smallest ``order``; a null one counts as largest.
 
     An aggregate, not a window: copies collapse on the map side, so a text that is a third of the
     table never meets in one task.
     """
     rest = [c for c in df.columns if c not in subset]
-    kept = F.min_by(F.struct(*rest), F.col(order)).alias("kept")
+    # A null key comes last, and the other cells settle ties; min_by would return null for a null order.
+    first = [F.col(order).isNull(), F.col(order), *[F.col(c) for c in rest if c != order]]
+    kept = F.min_by(F.struct(*rest), F.struct(*first)).alias("kept")
     return df.groupBy(*subset).agg(kept).select(*subset, "kept.*").select(*df.columns)
 
 
-def synthesize_id(
-    df: DataFrame, parts: Sequence[str] = ("business_id", "review_text", "time_ms")
-) -> DataFrame:
-    """Fill a missing ``review_id`` with a digest of the content."""
-    made = content_review_id(*[F.col(c) if c in df.columns else F.lit(None) for c in parts])
-    if "review_id" not in df.columns:
-        return df.withColumn("review_id", made)
-    return df.withColumn("review_id", F.coalesce("review_id", made))
+def synthesize_id(df: DataFrame) -> DataFrame:
+    """Fill a missing ``review_id`` with a digest of all other columns and an occurrence number.
+
+    Rows that are equal in every column are numbered 1, 2, ... so each gets a key of its own.  They are
+    numbered within each task's rows, and a small table holds how many come before, so a row that is a third
+    of the upload never meets in one task.  The upload is written once for that.
+    """
+    parts = [c for c in df.columns if c != "review_id"]
+    given = df if "review_id" in df.columns else df.withColumn("review_id", F.lit(None).cast("string"))
+    content = content_review_id(*[F.col(c) for c in parts])
+    stored = materialize(given.withColumns({"_content": content, "_part": F.spark_partition_id()}), "upload")
+    inside = F.row_number().over(Window.partitionBy("_content", "_part").orderBy("_content"))
+    sizes = stored.groupBy("_content", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_content", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = stored.withColumn("_inside", inside).join(before, ["_content", "_part"])
+    made = content_review_id(*[F.col(c) for c in parts], F.col("_before") + F.col("_inside"))
+    return numbered.withColumn("review_id", F.coalesce("review_id", made)).select(*given.columns)
+
+
+def assert_unique(df: DataFrame, key: str = "review_id") -> DataFrame:
+    """Fail if a key occurs twice; joins on it would multiply rows."""
+    twice = df.groupBy(key).count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} is not unique, for example {twice[0][key]!r}")
+    return df
 
 
 def map_source_schema(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.clean import assert_unique
 from plumbline.schemas import LABELS, SCORES, TASKS
 from plumbline.sources.sinks import threshold_values
 
@@ -29,7 +30,11 @@ OUTPUT_COLUMNS = (
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str = "review_id") -> DataFrame:
-    """Join scores made elsewhere; a label or review that was not scored counts as 0."""
+    """Join scores made elsewhere; a label or review that was not scored counts as 0.
+
+    Keys of the scores must differ, or reviews would multiply.
+    """
+    assert_unique(scores, key)
     have = [c for c in SCORES if c in scores.columns]
     joined = df.join(scores.select(key, *have), key, "left")
     filled = {

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.cells import coerce_label
+from plumbline.operators.clean import assert_unique
 from plumbline.operators.metrics import Pair
 from plumbline.operators.rules import rules_label
 from plumbline.policy import DEFAULT_POLICY, Policy
 from plumbline.schemas import LABELS, TASKS
 
 # Spellings of prediction columns, first choice first.
-PREDICTION_FORMS = ("label_{}", "{}", "pred_label_{}", "pred_{}", "y_pred_{}")
+PREDICTION_FORMS = (
+    "label_{}_pred", "{}_pred", "label_{}", "{}", "pred_label_{}", "pred_{}", "y_pred_{}",
+)
 
 
 def resolve_predictions(columns: Sequence[str]) -> dict[str, str]:
@@ -26,7 +29,7 @@ def resolve_predictions(columns: Sequence[str]) -> dict[str, str]:
         names = {t: form.format(t) for t in TASKS}
         if all(n in columns for n in names.values()):
             return names
-    guess = {t: next((c for c in columns if c.endswith(t)), None) for t in TASKS}
+    guess = {t: next((c for c in columns if c.endswith((t, f"{t}_pred"))), None) for t in TASKS}
     missing = [t for t, c in guess.items() if c is None]
     if missing:
         raise ValueError(f"no prediction column for: {missing}")
@@ -42,16 +45,9 @@ def autolabel_truth(truth: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
     return labeled.select(*keep, *[F.col(t).alias(lab) for t, lab in zip(TASKS, LABELS)])
 
 
-def assert_unique(df: DataFrame, key: str = "review_id") -> DataFrame:
-    """Fail if a key occurs twice; joins on it would multiply rows."""
-    twice = df.groupBy(key).count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"{key} is not unique, for example {twice[0][key]!r}")
-    return df
-
-
 def join_truth_preds(truth: DataFrame, preds: DataFrame, key: str = "review_id") -> DataFrame:
-    """Inner join; a name on both sides gets ``_gt`` and ``_pred``."""
+    """Inner join; a name on both sides gets ``_gt`` and ``_pred``.  Keys of predictions must differ."""
+    assert_unique(preds, key)
     both = set(truth.columns) & set(preds.columns) - {key}
     left = truth.withColumnsRenamed({c: f"{c}_gt" for c in both})
     right = preds.withColumnsRenamed({c: f"{c}_pred" for c in both})
@@ -65,6 +61,7 @@ def align_predictions(
 
     Only labels that truth has are aligned.
     """
+    assert_unique(preds, key)
     found = resolve_predictions([c for c in preds.columns if c != key])
     tasks = [t for t in TASKS if f"label_{t}" in truth.columns]
     hats = preds.select(key, *[coerce_label(F.col(found[t])).alias(f"label_{t}_hat") for t in tasks])

@@ -14,6 +14,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
+
 
 @dataclass(frozen=True)
 class Pair:
@@ -161,6 +163,6 @@ def error_slice(
     flagged = df.withColumn("_errors", found).filter(F.size("_errors") > 0)
     rows = flagged.select(*context, F.explode("_errors").alias("e"))
     if not all_labels:
-        first = df.agg(F.min(F.get(found, F.lit(0))["i"]).alias("i"))
-        rows = rows.filter(F.col("e.i") == first.scalar())
+        rows = materialize(rows, "errors")  # the input is worked out once; errors are few
+        rows = rows.filter(F.col("e.i") == rows.agg(F.min("e.i")).scalar())
     return rows.select(*context, F.col("e.kind").alias("error_type"))

@@ -97,13 +97,12 @@ def rules_label(
     policy: Policy = DEFAULT_POLICY,
     scope: str = "corpus",
     keep: tuple[str, ...] = ("review_id",),
-    key: str = "review_id",
 ) -> DataFrame:
     """Label every review; ``keep`` names the input columns to carry along.
 
     ``scope='corpus'`` fits idf on the whole input, ``scope='pair'`` on each review and its
-    business alone.  Labels are columns of one plan: no step aligns rows by position.  ``key`` must
-    be unique for the corpus scope.
+    business alone.  Labels are columns of one plan.  The corpus scope numbers the cleaned rows where it
+    writes them and works by that number, so two reviews under one key are two reviews.
     """
     if scope not in ("corpus", "pair"):
         raise ValueError(f"unknown scope: {scope}")
@@ -120,12 +119,12 @@ def rules_label(
         flagged = clean.select(*keep, *flag_columns, cosine)
     else:
         # Cleaning costs far more than writing its result, and three passes need it.
-        carried = dict.fromkeys((*keep, key))
+        number = F.monotonically_increasing_id().alias("_row")
         table = materialize(
-            clean.select(*carried, *flag_columns, "norm_text", "norm_biz"), "cleaned"
+            clean.select(*keep, *flag_columns, "norm_text", "norm_biz", number), "cleaned"
         )
-        cosine = corpus_cosine(table, "norm_text", "norm_biz", key)
-        flagged = table.drop("norm_text", "norm_biz").join(cosine, key, "left")
+        cosine = corpus_cosine(table.select("_row", "norm_text", "norm_biz"), "norm_text", "norm_biz", "_row")
+        flagged = table.drop("norm_text", "norm_biz").join(cosine, "_row", "left").drop("_row")
     return _finish(flagged, policy, keep)
 
 

@@ -82,6 +82,8 @@ def corpus_cosine(
 ) -> DataFrame:
     """``(key, cosine_to_business)``, with idf fitted on both columns of all rows.
 
+    ``key`` must tell rows apart: postings of equal keys count as one document.
+
     Give ``terms`` and ``n_docs`` to score against a frozen term table.  Rows in which either text
     has no term are absent; their cosine is 0.
     """

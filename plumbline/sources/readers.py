@@ -15,19 +15,19 @@ from plumbline.schemas import LABELED_SCHEMA, TEXT_COLUMNS
 
 
 def read_csv_cells(
-    spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False
 ) -> DataFrame:
     """All columns of the header as strings.
 
-    ``multi_line`` reads line breaks inside quotes, at the price of one task per file.  Turn it off
-    for files known to hold none: then large files are split.
+    Files must have one header; ``union_shards`` reads files with different ones.  ``multi_line`` also
+    reads line breaks inside quotes, at the price of one task per file; without it large files are split.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     return reader.option("multiLine", multi_line).csv(paths)
 
 
 def scan_reviews(
-    spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False
 ) -> DataFrame:
     """Review CSV with its text columns filled and trimmed and its stars made whole numbers."""
     df = read_csv_cells(spark, paths, multi_line)
@@ -41,7 +41,7 @@ def scan_typed(
     spark: SparkSession,
     paths: str | Sequence[str],
     schema: T.StructType = LABELED_SCHEMA,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with declared types: a cell that does not fit is null, a missing column is all null."""
     return ensure_columns(read_csv_cells(spark, paths, multi_line), schema)
@@ -82,15 +82,27 @@ def scan_jsonl(
     return parsed.select("line_order", *columns)
 
 
-def union_shards(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame:
-    """All shards one below the other, matched by column name; one scan per distinct header."""
+def union_shards(
+    spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False
+) -> DataFrame:
+    """All shards one below the other, matched by column name; ``paths`` may hold patterns and folders.
+
+    One job finds the first line of every file; then there is one scan per distinct header, and a
+    column that a header lacks is null.
+    """
     if not paths:
         raise ValueError("no shards given")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(paths):
-        header = tuple(read_csv_cells(spark, path, multi_line).columns)
-        by_header.setdefault(header, []).append(path)
-    frames = [read_csv_cells(spark, group, multi_line) for group in by_header.values()]
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        "value",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    by_header = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    groups = by_header.orderBy("header").collect()  # names of files, not what they hold
+    frames = [read_csv_cells(spark, row["files"], multi_line) for row in groups]
+    if not frames:
+        raise ValueError("no shard holds a line")
     stacked = frames[0]
     for frame in frames[1:]:
         stacked = stacked.unionByName(frame, allowMissingColumns=True)

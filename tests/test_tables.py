@@ -16,7 +16,7 @@ def test_csv_cells(spark, tmp_path):
     path.write_text(
         'review_id,biz_name,biz_cats,biz_desc,review_text,stars\n'
         '1,"A, ""B""",cats,,"two\nlines",4.7\n2,\t x ,,d,plain,x\n3,n,c,d,t,\n')
-    rows = {r["review_id"]: r for r in readers.scan_reviews(spark, str(path)).collect()}
+    rows = {r["review_id"]: r for r in readers.scan_reviews(spark, str(path), multi_line=True).collect()}
     assert rows["1"]["biz_name"] == 'A, "B"' and rows["1"]["review_text"] == "two\nlines"
     assert rows["2"]["biz_name"] == "x" and rows["2"]["biz_cats"] == ""
     assert [rows[i]["stars"] for i in "123"] == [4, 0, 0]

@@ -90,11 +90,18 @@ def _stage(df: DataFrame, fmt: str, name: str, **options) -> str:
     return path
 
 
+CSV = dict(
+    header=True, quoteAll=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False,
+    ignoreTrailingWhiteSpace=False, nullValue="", emptyValue="",
+)
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.format("csv").options(**CSV).save(path)
+
+
 def _stage_csv(df: DataFrame, name: str) -> str:
-    return _stage(
-        df, "csv", name, header=True, quoteAll=True, escape='"', quote='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue="",
-    )
+    return _stage(df, "csv", name, **CSV)
 
 
 # ---- sources and sinks ----------------------------------------------------------------------
@@ -105,7 +112,7 @@ def scan_reviews(spark, sf):
     path = _stage_csv(
         views.reviews(spark, sf).select("review_id", "review_text", "biz_name", "biz_cats",
                                         "biz_desc", "stars"), "reviews-csv")
-    return readers.scan_reviews(spark, path)
+    return readers.scan_reviews(spark, path, multi_line=True)
 
 
 @query
@@ -176,10 +183,13 @@ def scan_jsonl(spark, sf):
 
 @query
 def union_shards(spark, sf):
+    """A pattern over three shards: one as it is, one with its columns in another order, one without a column."""
     r = views.reviews(spark, sf).select("review_id", "business_id", "state", "price")
-    paths = [_stage_csv(r.filter(F.col("state") == s), f"shard-{s}") for s in ("CA", "NY")]
-    paths.append(_stage_csv(r.filter("state = 'TX'").drop("price"), "shard-TX"))
-    return readers.union_shards(spark, paths, multi_line=False)
+    root = fresh_path(spark, "shards")
+    orders = {"CA": r.columns, "NY": r.columns[::-1], "TX": r.columns[:-1]}
+    for state, columns in orders.items():
+        _write_csv(r.filter(F.col("state") == state).select(*columns), f"{root}/{state}")
+    return readers.union_shards(spark, f"{root}/*/*.csv")
 
 
 @query
@@ -207,14 +217,13 @@ def oof_store(spark, sf):
 
 @query
 def cap_rows(spark, sf):
-    return clean.cap_rows(views.reviews(spark, sf).select("review_id", "business_id"), 2000)
+    return clean.cap_rows(views.reviews(spark, sf).select("review_id", "business_id"), 100)
 
 
 @query
 def thresholds_table(spark, sf):
     path = fresh_path(spark, "thresholds")
-    tuned = thresholds.tune_oof(_oof(spark, sf).filter("label <> 'ads'"))
-    sinks.write_thresholds(tuned.filter("label <> 'ads'"), path)
+    sinks.write_thresholds(thresholds.tune_oof(_oof(spark, sf)), path)
     return sinks.thresholds_table(spark, sinks.read_thresholds(spark, path))
 
 
@@ -274,6 +283,22 @@ def keep_english(spark, sf):
         "review_id", "lang")
 
 
+@query
+def synthesized_ids_differ(spark, sf):
+    """One business-less upload of every review, twice: as many keys as rows."""
+    r = views.reviews(spark, sf).select("review_text", "biz_name")
+    out = clean.normalize_upload(r.unionByName(r))
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("review_id").alias("n_keys"))
+
+
+@query
+def dedup_null_keys(spark, sf):
+    """Two thirds of the keys are missing; the cells of the kept row must not be."""
+    key = F.when(F.col("stars") % 3 == 0, F.col("review_id"))
+    r = views.reviews(spark, sf).select(key.alias("review_id"), "business_id", "state", "stars")
+    return clean.dedup_reviews(r, ("business_id", "state"))
+
+
 @query
 def dedup_reviews(spark, sf):
     r = views.reviews(spark, sf).select("review_id", "business_id", "review_text", "stars")
@@ -294,7 +319,9 @@ def uuid5_review_id(spark, sf):
 
 @query
 def synthesize_id(spark, sf):
+    """Every review comes twice, so equal rows must get different keys."""
     r = views.reviews(spark, sf).select("business_id", "review_text", "time_ms")
+    r = r.unionByName(r)
     return clean.synthesize_id(r).select("review_id", "business_id", "time_ms")
 
 
@@ -350,7 +377,10 @@ def text_template(spark, sf):
 
 @query
 def nonempty_text(spark, sf):
-    return clean.nonempty_text(_texts(spark, sf)).select("review_id", "review_text")
+    """Every review also comes once without its text."""
+    texts = _texts(spark, sf).select("review_id", "review_text")
+    blank = texts.select(F.concat("review_id", F.lit("-blank")).alias("review_id"), F.lit("").alias("review_text"))
+    return clean.nonempty_text(texts.unionByName(blank))
 
 
 @query
@@ -463,6 +493,15 @@ def rules_label(spark, sf):
                    "cosine_to_business")
 
 
+@query
+def rules_label_duplicates(spark, sf):
+    """Two reviews to a key: each is labeled by itself."""
+    r = views.reviews(spark, sf).withColumn("row_name", F.col("review_id"))
+    r = r.withColumn("review_id", F.expr("concat('k', cast(cast(row_name as bigint) div 2 as string))"))
+    out = rules.rules_label(r, keep=("review_id", "row_name"))
+    return rounded(out.select("review_id", "row_name", *TASKS, "cosine_to_business"), "cosine_to_business")
+
+
 @query
 def rules_label_pair(spark, sf):
     r = rules.rules_label(views.reviews(spark, sf), scope="pair")
@@ -625,9 +664,6 @@ def _training(spark, sf):
 # A vector as the table stores it.
 VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
-# Loose enough for a report; a model to keep deserves the default.
-REPORT_TOLERANCE = 1e-2
-
 
 def _nonzero(df, column):
     path = fresh_path(df.sparkSession, "vectors")
@@ -658,27 +694,26 @@ def assemble_features(spark, sf):
 @query
 def lr_score(spark, sf):
     data = materialize(_training(spark, sf), "training")
-    scorer = modeling.train_scorer(data, tol=REPORT_TOLERANCE)
+    scorer = modeling.train_scorer(data)
     return scorer.score(data).select("review_id", *SCORES)
 
 
 @query
 def holdout_eval(spark, sf):
     data = materialize(sampling.stratified_split(_training(spark, sf), LABELS), "training")
-    return modeling.holdout_eval(data, tol=REPORT_TOLERANCE)[1]
+    return modeling.holdout_eval(data)[1]
 
 
 @query
 def group_cv(spark, sf):
     data = materialize(sampling.group_kfold(_training(spark, sf)), "training")
-    return modeling.group_cv(data, 5, tol=REPORT_TOLERANCE)[1]
+    return modeling.group_cv(data, 5)[1]
 
 
 @query
 def score_table(spark, sf):
     r = views.reviews(spark, sf).select("review_id")
-    s = views.scores(spark, sf).filter("irrelevant_p > 0.2").drop("ads_p")
-    return ensemble.attach_scores(r, s)
+    return ensemble.attach_scores(r, views.scores(spark, sf))
 
 
 # ---- ensemble -------------------------------------------------------------------------------
@@ -766,6 +801,44 @@ def error_slice_all(spark, sf):
     return metrics.error_slice(_predictions(spark, sf), PAIRS, ["review_id"], all_labels=True)
 
 
+@query
+def resolve_pred_suffix(spark, sf):
+    """Predictions whose columns end in ``_pred``."""
+    hats = views.scores(spark, sf).select(
+        "review_id", *[(F.col(f"{t}_p") >= 0.5).cast("int").alias(f"label_{t}_pred") for t in TASKS])
+    joined, pairs = evaluate.align_predictions(views.truth(spark, sf), hats)
+    return metrics.confusion_counts(joined, pairs)
+
+
+@query
+def rules_baseline_report(spark, sf):
+    """The rules against truth on all four labels."""
+    ruled = _ruled(spark, sf).select("review_id", *[F.col(t).alias(f"label_{t}_hat") for t in (*TASKS, "relevant")])
+    joined = views.truth(spark, sf).join(ruled, "review_id")
+    names = [f"label_{t}" for t in (*TASKS, "relevant")]
+    report = metrics.label_report(joined, [metrics.Pair(c, c, f"{c}_hat") for c in names])
+    return rounded(report, "precision", "recall", "f1")
+
+
+@query
+def fold_reports(spark, sf):
+    """The report of each fold, not only their average."""
+    fold = views.reviews(spark, sf).select(
+        "review_id", cells.md5_bucket(F.col("business_id"), 5).alias("fold"))
+    joined = _predictions(spark, sf).join(fold, "review_id")
+    return rounded(metrics.label_report(joined, PAIRS, ["fold"]), "precision", "recall", "f1")
+
+
+@query
+def toxicity_report(spark, sf):
+    """Rants against the given toxicity labels, on the reviews that have one."""
+    truth = views.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("review_id"), F.col("toxic").alias("label_toxic"))
+    hats = _texts(spark, sf).select("review_id", rules.rant_hit(tx.norm_rules(F.col("review_text"))).cast("int").alias("label_toxic_hat"))
+    pair = metrics.Pair("label_toxic", "label_toxic", "label_toxic_hat")
+    return rounded(metrics.label_report(truth.join(hats, "review_id"), [pair]), "precision", "recall", "f1")
+
+
 @query
 def evaluate_predictions(spark, sf):
     """The rules baseline judged against truth, end to end."""
@@ -790,7 +863,7 @@ def rules_or_ml_curve(spark, sf):
 
 @query
 def tune_oof(spark, sf):
-    return rounded(thresholds.tune_oof(_oof(spark, sf).filter("label <> 'ads'")), "thr", "f1")
+    return rounded(thresholds.tune_oof(_oof(spark, sf)), "thr", "f1")
 
 
 @query

@@ -225,7 +225,7 @@ oracle("sink_table", """
            CAST(sum(length(review_text)) AS BIGINT) AS chars FROM reviews_v GROUP BY state""",
        "reviews_v")
 oracle("oof_store", "SELECT review_id, fold, label, y, p FROM oof_v", "oof_v")
-oracle("cap_rows", "SELECT review_id, business_id FROM reviews_v ORDER BY review_id LIMIT 2000",
+oracle("cap_rows", "SELECT review_id, business_id FROM reviews_v ORDER BY review_id LIMIT 100",
        "reviews_v")
 
 
@@ -251,7 +251,7 @@ BEST_OOF = best(OOF_CURVE)
 oracle("thresholds_table", f"""
     SELECT task AS label, coalesce(b.thr, 0.5) AS thr
     FROM (VALUES ('ads'), ('irrelevant'), ('rant_no_visit')) AS t(task)
-    LEFT JOIN ({BEST_OOF}) b ON b.label = task AND task <> 'ads'""", "oof_v")
+    LEFT JOIN ({BEST_OOF}) b ON b.label = task""", "oof_v")
 
 # ---- cleaning and keys ----------------------------------------------------------------------
 
@@ -293,8 +293,18 @@ def content_key(*parts: str) -> str:
 
 
 oracle("synthesize_id", f"""
-    SELECT {content_key('business_id', 'review_text', 'time_ms')} AS review_id, business_id, time_ms
-    FROM reviews_v""", "reviews_v")
+    SELECT {content_key('business_id', 'review_text', 'time_ms', 'k')} AS review_id, business_id, time_ms
+    FROM (SELECT *, row_number() OVER (PARTITION BY business_id, review_text, time_ms) AS k
+          FROM (SELECT business_id, review_text, time_ms FROM reviews_v
+                UNION ALL SELECT business_id, review_text, time_ms FROM reviews_v))""", "reviews_v")
+oracle("synthesized_ids_differ", """
+    SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_keys FROM reviews_v""", "reviews_v")
+oracle("dedup_null_keys", """
+    SELECT review_id, business_id, state, stars FROM (
+      SELECT *, row_number() OVER (PARTITION BY business_id, state
+                                   ORDER BY review_id NULLS LAST, stars NULLS FIRST) AS rn
+      FROM (SELECT CASE WHEN stars % 3 = 0 THEN review_id END AS review_id, business_id, state, stars
+            FROM reviews_v)) WHERE rn = 1""", "reviews_v")
 oracle("map_source_schema", f"""
     SELECT {content_key('biz_name', 'city', 'review_text', 'stars + 2')} AS review_id,
            substr(md5(biz_name), 1, 12) AS business_id, {norm_clean('biz_name')} AS biz_name,
@@ -388,6 +398,10 @@ for name, view in (("rules_label", "rules_v"), ("rules_label_pair", "rules_pair_
     oracle(name, f"""
         SELECT review_id, ads, irrelevant, rant_no_visit, relevant,
                round(cosine, 6) AS cosine_to_business FROM {view}""", view)
+oracle("rules_label_duplicates", """
+    SELECT 'k' || CAST(CAST(review_id AS BIGINT) // 2 AS VARCHAR) AS review_id, review_id AS row_name,
+           ads, irrelevant, rant_no_visit, round(cosine, 6) AS cosine_to_business FROM rules_v""",
+       "rules_v")
 oracle("rule_reasons", "SELECT review_id, reasons FROM rules_v", "rules_v")
 oracle("rule_hit_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS label, CAST(sum({t}) AS BIGINT) AS count FROM rules_v" for t in TASKS),
@@ -548,10 +562,7 @@ ORACLES["scale_features"] = f"""
     ELSE stddev_pop({c}) END FROM m), 6) AS {c}''' for c in META)} FROM m"""
 ORACLES["scale_features"] = f"WITH m AS MATERIALIZED ({_meta}) " + ORACLES["scale_features"]
 oracle("score_table", """
-    SELECT review_id, 0.0::DOUBLE AS ads_p,
-           CASE WHEN irrelevant_p > 0.2 THEN irrelevant_p ELSE 0.0 END AS irrelevant_p,
-           CASE WHEN irrelevant_p > 0.2 THEN rant_no_visit_p ELSE 0.0 END AS rant_no_visit_p
-    FROM scores_v""", "scores_v")
+    SELECT review_id, ads_p, irrelevant_p, rant_no_visit_p FROM scores_v""", "scores_v")
 
 # Vocabulary sizes as the models use them; ties at the cut go by term.
 CHAR_GRAMS = f"""
@@ -688,6 +699,23 @@ oracle("evaluate_predictions", f"""
       SELECT label, {CELLS} FROM (
         {long_form('truth_v JOIN rules_v USING (review_id)', '{}')}) GROUP BY label))""",
        "truth_v", "rules_v")
+oracle("resolve_pred_suffix", "SELECT label, tn, fp, fn, tp FROM cells_v", "cells_v")
+FOUR_LABELS = " UNION ALL ".join(
+    f"SELECT 'label_{t}' AS label, label_{t} AS y, {t} AS h FROM truth_v JOIN rules_v USING (review_id)"
+    for t in (*TASKS, "relevant"))
+oracle("rules_baseline_report", f"""
+    SELECT label, {SHOW}, support FROM (SELECT label, {PRF} FROM (
+      SELECT label, {CELLS} FROM ({FOUR_LABELS}) GROUP BY label))""", "truth_v", "rules_v")
+oracle("fold_reports", f"""
+    SELECT fold, label, {SHOW}, support FROM (SELECT fold, label, {PRF} FROM (
+      SELECT fold, label, {CELLS} FROM (
+        {long_form('(SELECT * FROM hats_v JOIN fold_v USING (review_id))', 'hat_{}', 'fold,')})
+      GROUP BY fold, label))""", "hats_v", "fold_v")
+oracle("toxicity_report", f"""
+    SELECT label, {SHOW}, support FROM (SELECT label, {PRF} FROM (
+      SELECT 'label_toxic' AS label, {CELLS} FROM (
+        SELECT toxic AS y, rant_no_visit AS h FROM labels JOIN rules_v ON review_id = CAST(doc_id AS VARCHAR))))""",
+       "rules_v")
 ENSEMBLE_LONG = "(" + " UNION ALL ".join(
     f"SELECT '{t}' AS label, label_{t} AS y, {t} AS rule, {t}_p AS p FROM both_v "
     "JOIN truth_v USING (review_id)" for t in TASKS) + ")"
@@ -705,7 +733,7 @@ oracle("oof_curve", f"""
 oracle("tune_oof", f"""
     SELECT task AS label, round(coalesce(b.thr, 0.5), 6) AS thr, round(b.f1, 6) AS f1
     FROM (VALUES ('ads'), ('irrelevant'), ('rant_no_visit')) AS t(task)
-    LEFT JOIN ({BEST_OOF}) b ON b.label = task AND task <> 'ads'""", "oof_v")
+    LEFT JOIN ({BEST_OOF}) b ON b.label = task""", "oof_v")
 
 # ---- result views and the stream ------------------------------------------------------------
 

@@ -20,8 +20,7 @@ SELECT CAST(d.doc_id AS STRING) AS review_id,
        CASE b.item_id % 4 WHEN 0 THEN 'Restaurant, Italian' WHEN 1 THEN 'Spa, Wellness'
                           WHEN 2 THEN 'Electronics, Computers' ELSE 'Park, Outdoor' END AS biz_cats,
        b.text AS biz_desc,
-       CASE WHEN d.n_chars < 20 THEN ''
-            WHEN d.doc_id % 11 = 0 THEN 'Visit www.example.com now. ' || d.text
+       CASE WHEN d.doc_id % 11 = 0 THEN 'Visit www.example.com now. ' || d.text
             WHEN d.doc_id % 11 = 1 THEN d.text || ' call now for 50% off'
             WHEN d.doc_id % 11 = 2 THEN 'I haven''t been here but ' || d.text
             WHEN d.doc_id % 11 = 3 THEN 'My iPhone and GPU. ' || d.text
