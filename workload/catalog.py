@@ -698,6 +698,40 @@ def lr_score(spark, sf):
     return scorer.score(data).select("review_id", *SCORES)
 
 
+def _sound(report, *by):
+    """What SQL can tell of a report: its support, and that its measures are shares."""
+    shares = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
+    return report.select(*by, "label", "support", (shares[0] & shares[1] & shares[2]).alias("in_range"))
+
+
+@query
+def lr_one_vs_rest(spark, sf):
+    """At the optimum of a class-balanced fit with a free intercept, the mean score of the one class is
+    what the mean score of the other lacks to 1; so the gap is 0."""
+    data = materialize(_training(spark, sf), "training")
+    scored = modeling.train_scorer(data).score(data)
+    rows = [F.struct(F.lit(label).alias("label"), F.col(label).alias("y"), F.col(p).alias("p")) for label, p in zip(LABELS, SCORES)]
+    long = scored.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    low, high = F.avg(F.when(F.col("y") == 0, F.col("p"))), F.avg(F.when(F.col("y") == 1, 1 - F.col("p")))
+    return long.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"),
+        F.round(F.abs(low - high), 2).alias("gap"), F.max(~F.col("p").between(0, 1)).alias("out_of_range"))
+
+
+@query
+def holdout_support(spark, sf):
+    data = materialize(sampling.stratified_split(_training(spark, sf), LABELS), "training")
+    return _sound(modeling.holdout_eval(data)[1])
+
+
+@query
+def group_cv_support(spark, sf):
+    data = materialize(sampling.group_kfold(_training(spark, sf)), "training")
+    decided, _ = modeling.group_cv(data, 5)
+    pairs = [metrics.Pair(c, c, f"{c}_hat") for c in LABELS]
+    return _sound(metrics.label_report(decided, pairs, ["fold"]), "fold")
+
+
 @query
 def holdout_eval(spark, sf):
     data = materialize(sampling.stratified_split(_training(spark, sf), LABELS), "training")
