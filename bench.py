@@ -12,7 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from plumbline.session import tuned_session  # noqa: E402
+from plumbline.session import tuned_session, workspace  # noqa: E402
 from workload.catalog import QUERIES  # noqa: E402
 
 HEADLINES = (
@@ -57,7 +57,8 @@ def main() -> None:
     seconds = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with workspace(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     total = round(sum(seconds.values()), 3)
     line = {"metric": "headline_queries_total", "value": total, "unit": "sec"}

@@ -7,7 +7,7 @@ stream job in ``streaming``.
 """
 
 from plumbline.policy import DEFAULT_POLICY, Policy, load_policy
-from plumbline.session import materialize, shared_dir, tuned_session
+from plumbline.session import materialize, shared_dir, tuned_session, workspace
 
 __all__ = [
     "DEFAULT_POLICY",
@@ -16,4 +16,5 @@ __all__ = [
     "materialize",
     "shared_dir",
     "tuned_session",
+    "workspace",
 ]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,15 +46,40 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what operators write under the shared folder inside this block.
+
+    Results that read such tables must be written elsewhere or collected before the block ends.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The table outlives lost executors, so later stages never recompute what lies before it.
+    The table outlives lost executors, so later stages never recompute what lies before it.  A
+    ``workspace`` around the job drops it at the end.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)

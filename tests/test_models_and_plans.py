@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import features, modeling, rules
 from plumbline.schemas import SCORES
+from plumbline.session import shared_dir, workspace
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +57,22 @@ def test_pruned_scan(spark, labeled, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "t"))
     flags = rules.normalize_for_rules(stored).select(rules.ads_hit(F.col("norm_text")))
     assert "ReadSchema: struct<review_text:string>" in plan(flags)
+
+
+def test_a_job_leaves_nothing_but_its_output(spark, labeled, tmp_path):
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with workspace(spark):
+        rules.rules_label(labeled).write.parquet(str(tmp_path / "out"))
+        assert set(os.listdir(root)) > before
+    assert set(os.listdir(root)) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_two_reviews_under_one_key_are_two_reviews(labeled):
+    """The second half repeats the keys of the first; every review keeps its own labels and score."""
+    keep = ("review_id", "review_text")
+    whole = {r["review_text"]: tuple(r)[2:] for r in rules.rules_label(labeled, keep=keep).collect()}
+    twice = labeled.withColumn("review_id", (F.col("review_id").cast("int") % 30).cast("string"))
+    found = rules.rules_label(twice, keep=keep).collect()
+    assert len(found) == 60 and {r["review_text"]: tuple(r)[2:] for r in found} == whole

@@ -79,7 +79,7 @@ def test_upload_without_keys(spark):
     assert len({r["review_id"] for r in out}) == 2
 
 
-@pytest.mark.parametrize("form", ["label_{}", "{}", "pred_label_{}", "pred_{}", "y_pred_{}", "my_{}"])
+@pytest.mark.parametrize("form", ["label_{}", "{}", "pred_label_{}", "pred_{}", "y_pred_{}", "my_{}", "{}_pred", "label_{}_pred", "my_{}_pred"])
 def test_resolution_never_picks_truth(spark, form):
     truth = spark.createDataFrame([("1", 1, 0, 0)], ["review_id", *LABELS])
     preds = spark.createDataFrame([("1", 0, 1, 0)], ["review_id", *[form.format(t) for t in TASKS]])
@@ -127,3 +127,49 @@ def test_light_groups_fill_the_room(spark, monkeypatch):
     sizes = {r["fold"]: r["count"] for r in out.groupBy("fold").count().collect()}
     assert sizes[0] == 3000 and abs(sizes[1] - sizes[2]) < 400
     assert out.groupBy("business_id").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_shards_match_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("review_id,stars\n1,5\n")
+    (tmp_path / "b.csv").write_text("stars,review_id\n4,2\n")
+    (tmp_path / "c.csv").write_text("review_id\n3\n")
+    for paths in (str(tmp_path), str(tmp_path / "*.csv"), [str(tmp_path / f"{n}.csv") for n in "abc"]):
+        rows = {r["review_id"]: r["stars"] for r in readers.union_shards(spark, paths).collect()}
+        assert rows == {"1": "5", "2": "4", "3": None}
+
+
+def test_uploads_get_a_key_per_row(spark):
+    rows = [("Great place!", "A"), ("Great place!", "B"), ("Great place!", "A"), ("Great place!", "A")]
+    out = clean.normalize_upload(spark.createDataFrame(rows, "review_text string, biz_name string").repartition(3))
+    assert out.select("review_id").distinct().count() == 4
+    again = clean.normalize_upload(spark.createDataFrame(rows[::-1], "review_text string, biz_name string"))
+    assert out.select("review_id").exceptAll(again.select("review_id")).count() == 0
+
+
+def test_dedup_keeps_cells_without_a_key(spark):
+    rows = [(None, "b", "t", 5), (None, "b", "t", 4), ("k", "b", "u", 3), (None, "b", "u", 1)]
+    out = clean.dedup_reviews(spark.createDataFrame(rows, "review_id string, business_id string, review_text string, stars int"))
+    assert {(r["review_text"], r["review_id"], r["stars"]) for r in out.collect()} == {("t", None, 4), ("u", "k", 3)}
+
+
+def test_scores_fill_in_and_must_be_unique(spark):
+    reviews = spark.createDataFrame([("1",), ("2",)], "review_id string")
+    scores = spark.createDataFrame([("1", 0.7)], "review_id string, irrelevant_p double")
+    found = {r["review_id"]: (r["ads_p"], r["irrelevant_p"]) for r in ensemble.attach_scores(reviews, scores).collect()}
+    assert found == {"1": (0.0, 0.7), "2": (0.0, 0.0)}
+    with pytest.raises(ValueError, match="not unique"):
+        ensemble.attach_scores(reviews, scores.unionByName(scores))
+
+
+def test_tasks_without_scores_keep_one_half(spark):
+    rows = [("1", 0, "irrelevant", 1, 0.9), ("2", 0, "irrelevant", 0, 0.1)]
+    oof = spark.createDataFrame(rows, "review_id string, fold int, label string, y int, p double")
+    found = {r["label"]: r["thr"] for r in thresholds.tune_oof(oof).collect()}
+    assert found["ads"] == found["rant_no_visit"] == 0.5 and set(found) == set(TASKS)
+
+
+def test_wide_lookup_rows_are_not_broadcast(spark):
+    from plumbline.operators.lookup import fits
+
+    dim = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("biz_desc"))
+    assert fits(dim) and not fits(dim, size=5_000) and not fits(dim, rows=5)
