@@ -143,7 +143,7 @@ def flat_sets(items: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarr
         found.append(mixed(h, ends[short] - width, width))
         owner.append(short)
     token, item = np.concatenate(found), np.concatenate(owner)
-    order = np.lexsort((token, item))
+    order = by_item(token, item)
     token, item = token[order], item[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (item[1:] != item[:-1])
@@ -151,6 +151,17 @@ def flat_sets(items: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarr
     return token, item, np.bincount(item, minlength=len(items))
 
 
+def by_item(token: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The order by item, then token: one sort of a key with most bits of both, unless those tie for different tokens."""
+    if len(item) and int(item.max()) < 1 << 20:
+        key = (item.astype(np.uint64) << np.uint64(44)) | (token >> np.uint64(20))
+        order = np.argsort(key)
+        tie = key[order[1:]] == key[order[:-1]]
+        if not (tie & (token[order[1:]] != token[order[:-1]])).any():
+            return order
+    return np.lexsort((token, item))
+
+
 def mixed(h: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
     """One hash for ``width`` consecutive word hashes from each place in ``begin``."""
     out = np.full(len(begin), width, np.uint64)
@@ -184,7 +195,10 @@ def prefixes(token: np.ndarray, item: np.ndarray, sizes: np.ndarray, counters: n
 
     Rarity is the count of the token's counter; ties go by the hash, so all sets share one order.
     """
-    order = np.lexsort((token, counters[counter_of(token)], item))
+    count = counters[counter_of(token)]
+    narrow = len(sizes) < 1 << 20 and int(count.max(initial=0)) < 1 << 40
+    # Tokens of an item are sorted already, so a stable sort keeps ties in the order of the hash.
+    order = np.argsort((item << 40) | count, kind="stable") if narrow else np.lexsort((token, count, item))
     begin = np.cumsum(sizes) - sizes
     place = np.arange(len(token)) - begin[item]  # items stay where they are, each in its own order
     keep = place < length[item]

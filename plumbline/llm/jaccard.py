@@ -45,6 +45,7 @@ BATCH_CHARS = 3_000_000
 LEAF = 16
 FANOUT = 8
 BLOCK = 1_000
+PIVOTS = 3
 CLASS_SALTS = 8
 PARTNERS_PER_CELL = 2_000
 
@@ -60,10 +61,10 @@ def least_overlap(a, b, percent: int):
 
 
 def bitmaps(token: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Of each set a bit per token hash, at least two bits a token; widths are powers of two, so one folds onto another."""
+    """Of each set a bit per token hash, at least eight bits a token; widths are powers of two, so one folds onto another."""
     out, at = [], 0
     for n in sizes.tolist():
-        bits = max(64, 1 << (2 * n - 1).bit_length()) if n else 0
+        bits = max(64, 1 << (8 * n - 1).bit_length()) if n else 0
         held = np.zeros(bits, np.uint8)
         if n:
             held[(token[at : at + n] & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -201,16 +202,35 @@ def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent
 
 
 def tree_pairs(percent: int):
-    def search(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("cls")
-        if len(frame) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        tree = SignatureTree(frame["cls"].to_numpy(), frame["component"].to_numpy(), frame["n"].to_numpy(), list(frame["sig"]))
-        found = tree.pairs(percent)
-        i = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        j = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        a, b = tree.classes[i], tree.classes[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Over rows sorted by bucket: the pairs each bucket's tree lets through, many small buckets to a frame."""
+    columns = ["token", "band", "i", "j"]
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            key = frame[columns].to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
+            if not len(begin):
+                continue
+            held = frame.iloc[begin[-1] :]  # its rows may go on in the next frame
+            yield from found(frame, begin[:-1], begin[1:])
+        if held is not None and len(held):
+            yield from found(held.reset_index(drop=True), np.array([0]), np.array([len(held)]))
+
+    def found(frame: pd.DataFrame, begins: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        cls, component, n = (frame[c].to_numpy() for c in ("cls", "component", "n"))
+        sig = frame["sig"].to_numpy()
+        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+            if end - begin < 2:
+                continue
+            at = begin + np.unique(cls[begin:end], return_index=True)[1]
+            tree = SignatureTree(cls[at], component[at], n[at], sig[at])
+            pairs = tree.pairs(percent)
+            if pairs:
+                a, b = tree.classes[np.concatenate([x for x, _ in pairs])], tree.classes[np.concatenate([y for _, y in pairs])]
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return search
 
@@ -271,14 +291,21 @@ class Join:
         return materialize(both.distinct(), "buckets")
 
     def star_pairs(self, buckets: DataFrame) -> DataFrame:
-        """(a, b): each member of a bucket with its pivot, and the pivots of a salted bucket with the first of them."""
+        """(a, b): the members of a bucket with its pivots, and the pivots of a salted bucket with the first of them.
+
+        Each of PIVOTS orders has its own pivot in a bucket.
+        """
         pivot = F.first(F.struct("cls", "n"))
-        inside = Window.partitionBy("token", "band", "salt").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0)
-        stars = buckets.withColumn("pivot", pivot.over(inside))
+        found = []
+        for turn in range(PIVOTS):
+            order = F.xxhash64("cls", F.lit(turn))
+            inside = Window.partitionBy("token", "band", "salt").orderBy(order, "cls").rowsBetween(Window.unboundedPreceding, 0)
+            found.append(buckets.withColumn("pivot", pivot.over(inside)).select("pivot", "cls", "n"))
         heads = buckets.where("salts > 1").groupBy("token", "band", "salt").agg(F.min(F.struct("cls", "n")).alias("head")).select("token", "band", "head.cls", "head.n")
         across = Window.partitionBy("token", "band").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0)
-        heads = heads.withColumn("pivot", pivot.over(across))
-        pairs = stars.select("pivot", "cls", "n").unionByName(heads.select("pivot", "cls", "n"))
+        pairs = heads.withColumn("pivot", pivot.over(across)).select("pivot", "cls", "n")
+        for more in found:
+            pairs = pairs.unionByName(more)
         pairs = pairs.where((F.col("pivot.cls") != F.col("cls")) & self.sizes_fit(F.col("pivot.n"), F.col("n")))
         return pairs.select(F.least("pivot.cls", "cls").alias("a"), F.greatest("pivot.cls", "cls").alias("b")).distinct()
 
@@ -312,24 +339,35 @@ class Join:
         own = components.select(F.col("node").alias("cls"), "component")
         named = buckets.select("token", "band", "cls", "n").join(own, "cls", "left")
         named = materialize(named.withColumn("component", F.coalesce("component", "cls")), "named")
-        sizes = named.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
-        unsettled = sizes.where("members > 2 and x <> y").select("token", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        alike = [F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cls")).alias("p"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("q")]
+        sizes = named.groupBy("token", "band").agg(*alike, F.min("component").alias("x"), F.max("component").alias("y")).where("members > 2 and x <> y")
+        # Near copies share many tokens: buckets with the same members are searched once.
+        once = sizes.groupBy("members", "p", "q").agg(F.min(F.struct("token", "band")).alias("bucket"))
+        unsettled = once.select("bucket.token", "bucket.band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
         rows = named.join(unsettled, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         rows = rows.join(self.classes.select("cls", "sig"), "cls").select("token", "band", "i", "j", "cls", "component", "n", "sig")
-        found = rows.groupBy("token", "band", "i", "j").applyInPandas(tree_pairs(self.percent), "a long, b long")
-        return found.distinct().join(done, ["a", "b"], "left_anti")
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(tasks, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+        found = materialize(dealt.mapInPandas(tree_pairs(self.percent), "a long, b long").distinct(), "tree-pairs")
+        return found.join(done, ["a", "b"], "left_anti")
 
     def components(self) -> DataFrame:
         """(cls, component): the smallest doc_id of the component of every class that is not alone."""
         buckets = self.buckets()
         first = materialize(self.signed(self.star_pairs(buckets)), "star-pairs")
-        links = self.links(first)
-        more = self.links(self.open_pairs(buckets, connected_components(links), first))
-        nodes = connected_components(links.unionByName(more))
-        labelled = self.classes.join(nodes, self.classes["cls"] == nodes["node"], "left").where("copies > 1 or node is not null")
-        labelled = labelled.select("cls", F.coalesce("component", "cls").alias("part"), "least")
+        near = connected_components(self.links(first))
+        more = self.links(self.open_pairs(buckets, near, first))
+        # Later links count once between two components, however many members they join.
+        own = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+        parts = more.join(own("a"), "a", "left").join(own("b"), "b", "left")
+        ends = [F.coalesce("part_a", "a"), F.coalesce("part_b", "b")]
+        bridges = parts.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+        far = connected_components(bridges).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        labelled = self.classes.join(near, self.classes["cls"] == near["node"], "left").withColumn("part", F.coalesce("component", "cls"))
+        labelled = labelled.join(far, "part", "left").where("copies > 1 or node is not null or whole is not null")
+        labelled = labelled.select("cls", F.coalesce("whole", "part").alias("part"), "least")
         least = labelled.groupBy("part").agg(F.min("least").alias("component"))
         return materialize(labelled.join(least, "part").select("cls", "component"), "components")
 
@@ -366,9 +404,13 @@ def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
 def first_of_repeated(docs: DataFrame) -> DataFrame:
     """One of several rows with the same id and text that has words; what else they hold decides, so reruns agree."""
-    rows = wrapped(docs)
-    twice = rows.where(F.col("doc.text").rlike(WORD)).groupBy("key_id", "key_text").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("kept"))
-    twice = materialize(twice.where("n > 1").select(F.col("key_id").alias("doc_id"), F.col("key_text").alias("digest"), "kept"), "repeated")
+    rows = wrapped(docs).where(F.col("doc.text").rlike(WORD))
+    key = [F.col("key_id").alias("doc_id"), F.col("key_text").alias("digest")]
+    twice = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest")
+    twice = materialize(twice, "repeated")
     if not twice.limit(1).count():
         return docs
-    return without(docs, twice).unionByName(twice.select("kept.*"))
+    same = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_text") == F.col("digest"))
+    again = rows.join(hinted(twice, 1_000_000), same, "left_semi")
+    kept = again.groupBy("key_id", "key_text").agg(F.min("doc").alias("kept")).select("kept.*")
+    return without(docs, twice).unionByName(kept)
