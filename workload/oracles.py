@@ -740,12 +740,12 @@ SUPPORT = " UNION ALL ".join(
     f"SELECT {{0}} 'label_{t}' AS label, CAST(sum(label_{t}) AS BIGINT) AS support, TRUE AS in_range FROM {{1}}"
     for t in TASKS)
 oracle("lr_one_vs_rest", " UNION ALL ".join(
-    f"SELECT 'label_{t}' AS label, count(*) AS n, CAST(sum(label_{t}) AS BIGINT) AS positives, 0.0 AS gap, FALSE AS out_of_range FROM truth_v"
+    f"SELECT 'label_{t}' AS label, count(*) AS n, CAST(sum(label_{t}) AS BIGINT) AS positives, TRUE AS balanced, FALSE AS out_of_range FROM truth_v"
     for t in TASKS), "truth_v")
-ORACLES["holdout_support"] = (
+ORACLES["holdout_eval"] = (
     "WITH s AS (" + ORACLES["stratified_split"] + f"), truth_v AS ({TRUTH}), t AS (SELECT truth_v.* FROM truth_v JOIN s USING (review_id) WHERE split = 'test') "
     + SUPPORT.format("", "t"))
-ORACLES["group_cv_support"] = (
+ORACLES["group_cv"] = (
     f"WITH f AS ({_folds}), truth_v AS ({TRUTH}), t AS (SELECT truth_v.*, fold FROM truth_v JOIN f USING (review_id)) "
     + " UNION ALL ".join(x + " GROUP BY fold" for x in SUPPORT.format("fold,", "t").split(" UNION ALL ")))
 
