@@ -32,7 +32,7 @@ COST = 1.0
 RIDGE = 1e-3
 CACHED_WORDS = 600_000
 BATCH_CHARS = 2_000_000
-PAIRS = 20_000
+PAIRS = 4_000
 
 SPACED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){3,}\w(?!\w)")
 NOT_LETTER = re.compile(r"[\W_]+")
@@ -64,26 +64,50 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n, rows, cols = len(a), a.shape[1], b.shape[1]
     square = DECAY * DECAY
     total = np.zeros(n)
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
-    # inner[i, j]: weight of matches so far whose last letters lie before i and j, discounted up to there
-    inner = np.ones((n, rows + 1, cols + 1))
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    same = [[(left[i] == right[j]) & (left[i] > 0) for j in range(cols)] for i in range(rows)]
+    # inner[i][j]: weight of matches so far whose last letters lie before i and j, discounted up to there
+    inner = [[np.ones(n)] * (cols + 1)] * (rows + 1)
+    nothing = np.zeros(n)
     for length in (1, 2, 3):
-        if length > 1:
-            total += square * (same * inner[:, :-1, :-1]).sum((1, 2))
-        if length == 3:
-            break
-        fresh = np.zeros((n, rows + 1, cols + 1))
+        fresh = [[nothing] * (cols + 1)]
         for i in range(rows):
-            run = np.zeros(n)
+            run, row = nothing, [nothing]
             for j in range(cols):
-                run = DECAY * run + square * same[:, i, j] * inner[:, i, j]
-                fresh[:, i + 1, j + 1] = DECAY * fresh[:, i, j + 1] + run
+                step = square * same[i][j] * inner[i][j]
+                if length > 1:
+                    total += step
+                run = DECAY * run + step
+                row.append(DECAY * fresh[i][j + 1] + run)
+            fresh.append(row)
         inner = fresh
     return total
 
 
 def own_kernel(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate([subsequence_kernel(codes[i : i + PAIRS], codes[i : i + PAIRS]) for i in range(0, len(codes), PAIRS)]) if len(codes) else np.zeros(0)
+    return paired_kernel(codes, codes)
+
+
+def paired_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``subsequence_kernel`` in parts of bounded size, words of like length together so that little is padding."""
+    out = np.zeros(len(a))
+    order = np.lexsort(((a > 0).sum(1), (b > 0).sum(1)))
+    for k in range(0, len(order), PAIRS):
+        part = order[k : k + PAIRS]
+        x, y = a[part], b[part]
+        out[part] = subsequence_kernel(x[:, : max(1, (x > 0).sum(1).max())], y[:, : max(1, (y > 0).sum(1).max())])
+    return out
+
+
+def least_own(lengths: np.ndarray) -> np.ndarray:
+    """The kernel with itself of a word of so many different letters: no word of that length has less."""
+    square = DECAY * DECAY
+    table = np.zeros(LONGEST + 1)
+    for n in range(LONGEST + 1):
+        pairs = sum((n - gap) * square ** (gap + 1) for gap in range(1, n))
+        triples = sum((n - span + 1) * (span - 2) * square**span for span in range(3, n + 1))
+        table[n] = pairs + triples
+    return table[lengths]
 
 
 def pair_masks(codes: np.ndarray, reach: int) -> np.ndarray:
@@ -113,8 +137,8 @@ class Landmarks:
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, similarity) of pairs above FLOOR.
 
-        Pairs that share under half of the landmark's neighbouring letters, even with two letters in between, are not
-        weighed: their kernel is far below FLOOR.
+        Pairs that share under three fifths of the landmark's neighbouring letters, even with two letters in between,
+        are not weighed.
         """
         empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not words or not self.words:
@@ -125,15 +149,17 @@ class Landmarks:
         found = []
         for j in range(len(self.words)):
             shared = np.bitwise_count(masks & self.masks[j]).sum(1)
-            i = np.flatnonzero((2 * shared >= self.held[j]) & (lengths <= 3 * self.lengths[j]) & (2 * lengths >= self.lengths[j]))
+            i = np.flatnonzero((5 * shared >= 3 * self.held[j]) & (lengths <= 3 * self.lengths[j]) & (2 * lengths >= self.lengths[j]))
             found.append(np.stack([i, np.full(len(i), j)]))
         i, j = np.concatenate(found, 1)
         if not len(i):
             return empty
-        used, back = np.unique(i, return_inverse=True)
+        cross = paired_kernel(codes[i], self.codes[j])
+        able = cross >= FLOOR * np.sqrt(least_own(lengths[i]) * self.own[j]) * (1 - 1e-9)
+        i, j, cross = i[able], j[able], cross[able]
+        used = np.unique(i)
         own = np.zeros(len(words))
         own[used] = own_kernel(codes[used])
-        cross = np.concatenate([subsequence_kernel(codes[i[k : k + PAIRS]], self.codes[j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS)])
         alike = cross / np.sqrt(np.maximum(own[i] * self.own[j], 1e-300))
         keep = alike >= FLOOR
         return i[keep], j[keep], alike[keep]
