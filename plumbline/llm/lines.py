@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.base import COUNTERS, batches, counter_of, counter_rows, flat_sets, hinted, prefixes, set_hashes, summed_counters
+from plumbline.llm.secrets import let
 from plumbline.session import materialize
 
 BATCH_CHARS = 3_000_000
 HOT_COUNT = 20_000
+PIVOTS = 3
 
 
 def words_by_line(text: str | None) -> list[list[bytes]]:
@@ -145,20 +147,31 @@ class LineJoin:
         return lengths & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= least)
 
     def first_pairs(self, buckets: DataFrame) -> DataFrame:
-        """(a, b): each member of a bucket and its earliest; of a salted bucket, also the earliest of each salt and of all."""
+        """(a, b), a the earlier: the members of a bucket with its pivots, the earliest being one; of a salted bucket also
+        the earliest of each salt and of all."""
         row = F.struct("first", "cls", "n", "place")
-        inside = Window.partitionBy("token", "salt").orderBy("first", "cls").rowsBetween(Window.unboundedPreceding, 0)
         heads = buckets.where("salts > 1").groupBy("token", "salt").agg(F.min(row).alias("h")).select("token", "h.*")
-        across = Window.partitionBy("token").orderBy("first", "cls").rowsBetween(Window.unboundedPreceding, 0)
-        both = [df.withColumn("p", F.first(row).over(over)).select("p", "cls", "n", "place") for df, over in ((buckets, inside), (heads, across))]
-        pairs = both[0].unionByName(both[1]).where(F.col("p.cls") != F.col("cls"))
-        pairs = pairs.where(self.fits(F.col("p.n"), F.col("p.place"), F.col("n"), F.col("place")))
-        return materialize(pairs.select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct(), "first-pairs")
+        sources = [(heads, ["token"], [F.col("first")])]
+        for turn in range(PIVOTS):  # the earliest, then some others, each by an order of its own
+            sources.append((buckets, ["token", "salt"], [F.xxhash64("cls", F.lit(turn)) if turn else F.col("first")]))
+        met = []
+        for df, keys, order in sources:
+            over = Window.partitionBy(*keys).orderBy(*order, "cls").rowsBetween(Window.unboundedPreceding, 0)
+            met.append(df.select(F.first(row).over(over).alias("p"), row.alias("q")))
+        pairs = met[0]
+        for more in met[1:]:
+            pairs = pairs.unionByName(more)
+        pairs = pairs.where("p.cls <> q.cls").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+        pairs = pairs.where(self.fits(F.col("p.n"), F.col("p.place"), F.col("q.n"), F.col("q.place")))
+        return materialize(pairs.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct(), "first-pairs")
 
     def other_pairs(self, buckets: DataFrame, found: DataFrame, done: DataFrame) -> DataFrame:
         """(a, b) for classes b still in place: all earlier members of their buckets that pass the filters."""
-        crowded = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("token")
-        met = buckets.join(crowded, "token")
+        # Buckets with the same members are searched once: any token that two sets share will do for the filters.
+        alike = [F.bit_xor(F.xxhash64("cls")).alias("p"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("q")]
+        crowded = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("members"), *alike).where("members > 2")
+        once = crowded.groupBy("members", "p", "q").agg(F.min("token").alias("token")).select("token")
+        met = materialize(buckets.join(once, "token"), "crowded")
         open_ = met.join(hinted(found, 1_000_000), met["cls"] == found["b"], "left_anti")
         left = met.select("token", F.col("first").alias("f"), F.col("cls").alias("a"), F.col("n").alias("m"), F.col("place").alias("j"))
         earlier = F.col("f") < F.col("first")
@@ -208,14 +221,14 @@ def deduplicated_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     gone = materialize(join.removed().select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "removed"), "removed")
     same = join.docs["doc_id"].eqNullSafe(F.col("d")) & (join.docs["digest"] == F.col("g"))
     full = join.docs.join(hinted(gone), same, "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
-    cut = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    stay = F.array_except(F.sequence(F.lit(0), count - 1), "removed")
+    cut = let(F.split("text", "\n", -1), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut)
     return full.select(
         "doc_id",
         text.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
