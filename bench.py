@@ -40,7 +40,6 @@ HEADLINES = (
     "tfidf_features",
     "lr_score",
     "holdout_eval",
-    "group_cv",
     "stream_label",
 )
 
