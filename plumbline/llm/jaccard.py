@@ -41,7 +41,7 @@ from plumbline.llm.base import (
 from plumbline.session import materialize
 
 HOT_COUNT = 20_000
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
 LEAF = 16
 FANOUT = 8
 BLOCK = 1_000
@@ -104,7 +104,7 @@ def posting_rows(shared, size: int, percent: int):
             token, item, sizes = flat_sets([lowered_words(x) for x in frame["text"]], size)
             cls = set_hashes(token, sizes)
             fresh = np.array([n > 0 and c not in seen for c, n in zip(cls.tolist(), sizes.tolist(), strict=True)], bool)
-            if len(seen) < 1_000_000:  # copies in one task need not be told twice
+            if len(seen) < 200_000:  # copies in one task need not be told twice
                 seen.update(cls[fresh].tolist())
             length = np.where(fresh, sizes - needed(sizes, percent) + 1, 0)
             at, _ = prefixes(token, item, sizes, counters, length)

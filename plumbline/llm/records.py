@@ -21,7 +21,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,8 +33,8 @@ from plumbline.llm.base import MIX, batches, hashes, scramble
 from plumbline.session import fresh_path, materialize
 
 MASK_DELTA = 0xA282EAD8
-CACHED_PIECES = 350_000
-BATCH_CHARS = 2_000_000
+CACHED_PIECES = 500_000
+BATCH_CHARS = 1_500_000
 BULK = 1_000
 LINE_END = re.compile(r"\n|\s$")
 READ_BYTES = 8 << 20
@@ -69,15 +68,17 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.codes: dict[str | tuple[str], int] = {}
-        self.known: dict[int, int] = {}
+        self.codes: dict[str | tuple[str], int] = {}  # pieces of the batch at hand
+        self.count = 0
+        self.known = np.zeros(0, np.int64)  # sorted hashes of kept pieces, and the code of each
+        self.known_codes = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 20, np.uint32)
         self.begins = np.zeros(1 << 18, np.int64)
         self.sizes = np.zeros(1 << 18, np.int64)
         self.used = 0
 
     def keep(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        base, n = len(self.codes), len(pieces)
+        base, n = self.count, len(pieces)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while base + n > len(self.sizes):
@@ -88,12 +89,14 @@ class Encoder:
         self.begins[base : base + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
         self.codes.update(zip(pieces, range(base, base + n), strict=True))
+        self.count += n
 
-    def drop_after(self, n: int, used: int) -> None:
-        """Forget the pieces learned since there were ``n``."""
-        while len(self.codes) > n:
-            self.codes.popitem()
-        self.used = used
+    def code_of(self, hashed: np.ndarray) -> np.ndarray:
+        """Codes of kept pieces by their hash, -1 for others."""
+        if not len(self.known):
+            return np.full(len(hashed), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
+        return np.where(self.known[at] == hashed, self.known_codes[at], -1)
 
     def gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces in a row, end of each piece)."""
@@ -133,8 +136,8 @@ class Encoder:
         place, distinct = pd.factorize(piece_hashes(data, head, end, first))
         sample = np.empty(len(distinct), np.int64)
         sample[place[::-1]] = np.arange(len(place))[::-1]
-        code = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
-        kept, used = len(self.codes), self.used
+        code = self.code_of(distinct)
+        kept, used = self.count, self.used
         missing = np.flatnonzero(code < 0)
         if kept > CACHED_PIECES and len(missing) * 2 > len(distinct):
             self.reset()  # the texts have changed
@@ -143,13 +146,17 @@ class Encoder:
             at = sample[missing]
             cut = [data[i:j].decode() for i, j in zip(head[at].tolist(), end[at].tolist(), strict=True)]
             pieces = [(x,) if alone else x for x, alone in zip(cut, first[at].tolist(), strict=True)]
-            self.coded(list(set(pieces).difference(self.codes)))
+            self.codes.clear()
+            self.coded(list(set(pieces)))
             code[missing] = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
             if kept <= CACHED_PIECES:
-                self.known.update(zip(distinct[missing].tolist(), code[missing].tolist(), strict=True))
+                every, codes = np.append(self.known, distinct[missing]), np.append(self.known_codes, code[missing])
+                order = np.argsort(every)
+                self.known, self.known_codes = every[order], codes[order]
         ids, ends = self.gather(code[place])
-        if kept > CACHED_PIECES:
-            self.drop_after(kept, used)
+        if kept > CACHED_PIECES:  # full: what this batch taught is forgotten again
+            self.count, self.used = kept, used
+        self.codes.clear()
         bounds = np.concatenate([[0], ends])[np.searchsorted(begin, starts)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
