@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import MIX, batches, scramble
+from plumbline.llm.base import MIX, batches, hinted, scramble
+from plumbline.session import materialize
 
 LABELLED_SAMPLE = 12_000
 LANDMARKS = 64
@@ -256,10 +257,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def sampled(labelled: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows at most, half for each label, drawn by the md5 of id and text."""
+def sampled(labelled: DataFrame, most: int, *names: str) -> DataFrame:
+    """About ``most`` rows at most, half for each label, drawn by the md5 of the columns ``names``."""
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in names])), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rate = F.lit(0.0)
     for label, n in sizes.items():
         rate = F.when(F.col("toxic") == label, min(1.0, most / 2 / n)).otherwise(rate)
@@ -311,8 +312,8 @@ def valued(words: list[str]):
 
 
 def fit_toxicity(labelled: DataFrame, most: int = LABELLED_SAMPLE) -> ToxicityModel | None:
-    """Fit on at most about ``most`` rows (text, toxic 0 or 1), half of each label; None without both labels."""
-    sample = sampled(labelled, most).persist()
+    """Fit on at most about ``most`` rows (doc_id, text, toxic 0 or 1), half of each label; None without both labels."""
+    sample = sampled(labelled, most, "doc_id", "text").persist()
     try:
         words = landmark_words(sample)
         if not words:
@@ -374,7 +375,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = docs.select("doc_id", "text").where((fold != held) & F.col("text").isNotNull()).join(truth, "doc_id")
+    # Ids are sampled before their texts are looked for, so texts need no shuffle.
+    truth = materialize(truth.where(fold != held), "labelled")
+    drawn = materialize(sampled(truth, LABELLED_SAMPLE, "doc_id"), "drawn")
+    marked = docs.select("doc_id", "text").where((fold != held) & F.col("text").isNotNull()).join(hinted(drawn), "doc_id")
     model = fit_toxicity(marked)
     slim = docs.select("doc_id", (fold == held).alias("held_out"), "text")
     out = slim.select("doc_id", "held_out", toxicity_score(spark, model, F.col("text")).alias("score"))
