@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ SLOTS = 1 << 18
 PROBES = 2
 CHUNK = 1 << 20
 UNKNOWN = "und"
-MIN_SCORE = 0.0
+BOUND_DOCS = 1_000
 
 
 def letter_table() -> np.ndarray:
@@ -71,6 +72,14 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def chunks(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a whole text, in parts of bounded size."""
+    for begin in range(0, len(text), CHUNK):
+        h = grams(letters(text[max(0, begin - max(SIZES)) : begin + CHUNK]))
+        if len(h):
+            yield h
+
+
 def slots_of(h: np.ndarray, probe: int, slots: int) -> np.ndarray:
     return (scramble(h + MIX[probe]) & np.uint64(slots - 1)).astype(np.int64)
 
@@ -87,36 +96,41 @@ class LanguageFilters:
     rows: np.ndarray
     false_rate: np.ndarray
 
+    def holders(self, h: np.ndarray) -> np.ndarray:
+        """A 0/1 row over the languages for each n-gram."""
+        mask = self.rows[0][slots_of(h, 0, self.rows.shape[1])]
+        for probe in range(1, len(self.rows)):
+            mask = mask & self.rows[probe][slots_of(h, probe, self.rows.shape[1])]
+        return np.unpackbits(mask, axis=1, count=len(self.languages), bitorder="little")
+
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """How many n-gram places of the whole text each language holds, and how many there are."""
         total, n = np.zeros(len(self.languages)), 0
-        for begin in range(0, len(text), CHUNK):
-            h = grams(letters(text[max(0, begin - max(SIZES)) : begin + CHUNK]))
-            if not len(h):
-                continue
-            mask = self.rows[0][slots_of(h, 0, self.rows.shape[1])]
-            for probe in range(1, len(self.rows)):
-                mask = mask & self.rows[probe][slots_of(h, probe, self.rows.shape[1])]
-            bits = np.unpackbits(mask, axis=1, count=len(self.languages), bitorder="little")
-            total += bits.sum(axis=0, dtype=np.int64)
+        for h in chunks(text):
+            total += self.holders(h).sum(axis=0, dtype=np.int64)
             n += len(h)
         return total, n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the most places after taking off false positives, and its share.
+    def corrected(self, total: np.ndarray, n: int) -> np.ndarray:
+        """Each language's share of ``n`` places after taking off false positives."""
+        return np.clip((total / max(1, n) - self.false_rate) / (1 - self.false_rate), 0, None)
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language with the largest corrected share of places, its score and that share.
 
-        Score: the winner's corrected share of places over the sum of all languages' shares.
-        Ties go to the first language by code point.  No letter at all gives ``und`` with score 0.
+        Score: the winner's share over the sum of all languages' shares.  Ties go to the first language by
+        code point.  No letter at all, or no n-gram that any language holds, gives ``und`` with score 0.
         """
-        if not text or not any(c.isalpha() for c in text):
-            return UNKNOWN, 0.0
-        total, n = self.counts(text)
-        if not n or not self.languages:
-            return UNKNOWN, 0.0
-        share = np.clip((total / n - self.false_rate) / (1 - self.false_rate), 0, None)
+        if not text or not self.languages or not any(c.isalpha() for c in text):
+            return UNKNOWN, 0.0, 0.0
+        share = self.corrected(*self.counts(text))
         best = int(np.argmax(share))
-        whole = float(share.sum())
-        return self.languages[best], float(share[best] / whole) if whole else 0.0
+        if not share[best]:
+            return UNKNOWN, 0.0, 0.0
+        return self.languages[best], float(share[best] / share.sum()), float(share[best])
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def sampled(docs: DataFrame, per_language: int) -> DataFrame:
@@ -143,12 +157,10 @@ def gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": np.asarray(n, np.int64)})
 
 
-def fit_filters(docs: DataFrame, per_language: int = SAMPLE_DOCS, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> LanguageFilters:
-    """Filters over each language's ``top`` n-grams, from a bounded sample of labelled rows.
+def top_grams(docs: DataFrame, per_language: int, top: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each language's ``top`` n-grams and their shares, from a bounded sample of labelled rows.
 
-    Only whole labelled texts are read, at most about ``per_language`` a language.  An n-gram counts for every
-    language in whose top it is and that has at least a fifth of the largest share of it, so stray
-    foreign words in a training text do not blur the filters.
+    Only whole labelled texts are read, at most about ``per_language`` a language.
     """
     taken = sampled(docs.select("doc_id", "text", "lang"), per_language)
     counts = taken.select("lang", "text").mapInPandas(gram_counts, "lang string, gram long, n long")
@@ -160,18 +172,107 @@ def fit_filters(docs: DataFrame, per_language: int = SAMPLE_DOCS, top: int = GRA
         rows = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).select("gram", "n").toPandas()
         kept[lang] = (rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float) / max(1, rows["n"].sum()))
     counts.unpersist()
-    largest: dict[int, float] = {}
-    for gram, share in kept.values():
-        for g, s in zip(gram.tolist(), share.tolist(), strict=True):
-            largest[g] = max(largest.get(g, 0.0), s)
-    bits = np.zeros((PROBES, slots, len(languages)), np.uint8)
-    for i, lang in enumerate(languages):
-        gram, share = kept[lang]
-        strong = share * 5 >= np.array([largest[g] for g in gram.tolist()])
+    return kept
+
+
+def filled(grams_of: dict[str, np.ndarray], slots: int) -> LanguageFilters:
+    bits = np.zeros((PROBES, slots, len(grams_of)), np.uint8)
+    for i, gram in enumerate(grams_of.values()):
         for probe in range(PROBES):
-            bits[probe, slots_of(gram[strong], probe, slots), i] = 1
+            bits[probe, slots_of(gram, probe, slots), i] = 1
     fill = bits.mean(axis=1)
-    return LanguageFilters(tuple(languages), np.packbits(bits, axis=2, bitorder="little"), np.prod(fill, axis=0))
+    return LanguageFilters(tuple(grams_of), np.packbits(bits, axis=2, bitorder="little"), np.prod(fill, axis=0))
+
+
+def two_largest(kept: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[float, float]]:
+    """The largest and the second largest share of each n-gram over the languages."""
+    largest: dict[int, tuple[float, float]] = {}
+    for gram, share in kept.values():
+        for g, x in zip(gram.tolist(), share.tolist(), strict=True):
+            first, second = largest.get(g, (0.0, 0.0))
+            largest[g] = (x, first) if x > first else (first, max(second, x))
+    return largest
+
+
+def strong_filters(kept: dict[str, tuple[np.ndarray, np.ndarray]], slots: int) -> LanguageFilters:
+    """An n-gram counts for every language in whose top it is and that has at least a fifth of the largest share
+    of it, so stray foreign words in a training text do not blur the filters.
+    """
+    largest = two_largest(kept)
+    return filled({lang: gram[share * 5 >= np.array([largest[g][0] for g in gram.tolist()])] for lang, (gram, share) in kept.items()}, slots)
+
+
+def fit_filters(docs: DataFrame, per_language: int = SAMPLE_DOCS, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> LanguageFilters:
+    """Filters over each language's ``top`` n-grams, from a bounded sample of labelled rows."""
+    return strong_filters(top_grams(docs, per_language, top), slots)
+
+
+@dataclass(frozen=True)
+class LeftOut:
+    """What the filters would say of a language's texts had they not learned it.
+
+    ``owner`` holds an n-gram for the language with the largest share of it, ``extra`` for those that are strong in
+    it only when that language is left out.
+    """
+
+    filters: LanguageFilters
+    owner: LanguageFilters
+    extra: LanguageFilters
+
+    def shares(self, text: str, lang: str) -> tuple[float, float, float]:
+        """Corrected shares: of the language, the largest of the others with it left out, and the largest of all
+        over the text's own letters in random order.
+        """
+        f, at = self.filters, self.filters.languages.index(lang)
+        total, other, n = np.zeros(len(f.languages)), np.zeros(len(f.languages)), 0
+        mixed, n_mixed = np.zeros(len(f.languages)), 0
+        rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+        for h in chunks(text):
+            held = f.holders(h)
+            total += held.sum(axis=0, dtype=np.int64)
+            other += (held | (self.extra.holders(h) & self.owner.holders(h)[:, at : at + 1])).sum(axis=0, dtype=np.int64)
+            n += len(h)
+        for begin in range(0, len(text), CHUNK):
+            h = grams(rng.permutation(letters(text[begin : begin + CHUNK])))
+            mixed += f.holders(h).sum(axis=0, dtype=np.int64)
+            n_mixed += len(h)
+        other[at] = 0
+        return float(f.corrected(total, n)[at]), float(f.corrected(other, n).max()), float(f.corrected(mixed, n_mixed).max())
+
+
+def left_out(kept: dict[str, tuple[np.ndarray, np.ndarray]], slots: int) -> LeftOut:
+    largest = two_largest(kept)
+    owner, extra = {}, {}
+    for lang, (gram, share) in kept.items():
+        first, second = np.array([largest[g] for g in gram.tolist()]).reshape(-1, 2).T
+        owner[lang] = gram[share == first]
+        extra[lang] = gram[(share * 5 < first) & (share * 5 >= second)]
+    return LeftOut(strong_filters(kept, slots), filled(owner, slots), filled(extra, slots))
+
+
+def share_bounds(docs: DataFrame, model: LeftOut, per_language: int = BOUND_DOCS) -> dict[str, float]:
+    """The least corrected share a text of each language must have, from a bounded sample of labelled rows.
+
+    Stray n-grams are what texts of a learned language give when it is left out, and what their letters give in
+    random order.  The bound lies a quarter of the way from the 99th percentile of strays to the first percentile of
+    the language's own texts, but not above the share of all but a thousandth of these, and not below the median of strays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames, 500, 2_000_000):
+            frame = frame[[any(c.isalpha() for c in x) for x in frame["text"]]]
+            found = [shared.value.shares(x, lang) for x, lang in zip(frame["text"], frame["lang"], strict=True)]
+            own, other, mixed = np.array(found).reshape(-1, 3).T
+            yield pd.DataFrame({"lang": frame["lang"].to_numpy(), "own": own, "other": other, "mixed": mixed})
+
+    taken = sampled(docs.select("doc_id", "text", "lang"), per_language).select("text", "lang")
+    rows = taken.mapInPandas(measure, "lang string, own double, other double, mixed double").toPandas().groupby("lang")
+    if not len(rows):
+        return {}
+    stray = [max(rows["other"].quantile(q).mean(), rows["mixed"].quantile(q).mean()) for q in (0.5, 0.99)]
+    own, least = rows["own"].quantile(0.01), rows["own"].quantile(0.001, interpolation="lower")
+    return {lang: max(stray[0], min(stray[1] + (own[lang] - stray[1]) / 4, least[lang])) for lang in own.index}
 
 
 def predictor(filters: LanguageFilters):
@@ -179,19 +280,19 @@ def predictor(filters: LanguageFilters):
 
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = spark_value.setdefault("model", filters.value if hasattr(filters, "value") else filters)
-        return pd.DataFrame([model.predict(x) for x in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.judge(x) for x in texts], columns=["lang_pred", "score", "share"])
 
     return predict
 
 
 def language_of(spark, filters: LanguageFilters, text: Column) -> Column:
-    """struct<lang_pred, score> from a whole text alone.
+    """struct<lang_pred, score, share> from a whole text alone.
 
-    Null texts and texts without a letter give ``und`` and 0.  The filters' size is fixed by their
+    Null texts, texts without a letter and texts without a known n-gram give ``und`` and 0.  The filters' size is fixed by their
     parameters (slots times languages bits), so they are broadcast.
     """
     shared = spark.sparkContext.broadcast(filters)
-    return F.pandas_udf(predictor(shared), "lang_pred string, score double")(text)
+    return F.pandas_udf(predictor(shared), "lang_pred string, score double, share double")(text)
 
 
 def training_rows(docs: DataFrame, folds: int, held: int) -> DataFrame:
@@ -210,9 +311,17 @@ def identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def known_language(docs: DataFrame, least: float = MIN_SCORE, folds: int = 4, held: int = 2) -> DataFrame:
-    """``docs`` without those whose language is unknown or scores under ``least``; all columns stay."""
-    filters = fit_filters(training_rows(docs, folds, held))
+def known_language(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = SAMPLE_DOCS, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> DataFrame:
+    """``docs`` without those whose text is of no learned language; all columns stay.
+
+    A text goes if its best language's corrected share of n-gram places lies under ``share_bounds``.
+    """
+    training = training_rows(docs, folds, held)
+    model = left_out(top_grams(training, per_language, top), slots)
+    bounds = share_bounds(training, model)
+    least = F.lit(None).cast("double")
+    for lang, bound in bounds.items():
+        least = F.when(F.col("found.lang_pred") == lang, float(bound)).otherwise(least)
     whole = docs.select(F.struct("*").alias("doc"))
-    rows = whole.select("doc", language_of(docs.sparkSession, filters, F.col("doc.text")).alias("found"))
-    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("doc.*")
+    rows = whole.select("doc", language_of(docs.sparkSession, model.filters, F.col("doc.text")).alias("found"))
+    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.share") >= least)).select("doc.*")
