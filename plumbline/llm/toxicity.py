@@ -2,8 +2,8 @@
 
 The kernel counts common letter subsequences and discounts gaps, so an insult with letters inserted,
 dropped or spaced out stays near to the plain one.  Landmarks are words of labelled texts that go with the
-label.  A text's value for a landmark is the best match of any word in any of its sentences; the Nystroem map whitens
-these values by the landmarks' own kernel, and a linear machine is trained on the result.
+label.  A text's value for a landmark is the best match of any of its words, taken with and without cuts at punctuation; a
+word too long to be weighed whole is weighed by all its windows.  The Nystroem map whitens these values by the landmarks' own kernel, and a linear machine is trained on the result.
 """
 
 from __future__ import annotations
@@ -34,13 +34,17 @@ RIDGE = 1e-3
 CACHED_WORDS = 600_000
 BATCH_CHARS = 2_000_000
 PAIRS = 4_000
+BLOCKS = 4_000
+WINDOWS = 100_000
+CACHED_CHARS = 12_000_000
+PARTS = (6, 12)
 
 SPACED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){3,}\w(?!\w)")
 NOT_LETTER = re.compile(r"[\W_]+")
 
 
 def plain(token: str) -> str:
-    """A token without its punctuation, cut to what a word may be long."""
+    """A token without its punctuation."""
     return token if token.isalnum() else NOT_LETTER.sub("", token)
 
 
@@ -52,8 +56,14 @@ def tokens_of(text: str | None) -> list[str]:
     return low.split() + ["".join(re.findall(r"\w", m)) for m in SPACED.findall(low)]
 
 
+def runs_of(token: str) -> list[str]:
+    """A token without its punctuation, and its parts between punctuation; none is shorter than SHORTEST."""
+    parts = [token] if token.isalnum() else [plain(token), *NOT_LETTER.split(token)]
+    return [w for w in dict.fromkeys(parts) if len(w) >= SHORTEST]
+
+
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points padded with 0, lengths); words of more than LONGEST letters keep their first ones."""
+    """(code points padded with 0, lengths) of words of at most LONGEST letters."""
     array = np.array([w[:LONGEST] for w in words], dtype=f"U{LONGEST}")
     return array.view(np.uint32).reshape(len(words), LONGEST).astype(np.int64), np.array([min(len(w), LONGEST) for w in words])
 
@@ -166,6 +176,60 @@ class Landmarks:
         return i[keep], j[keep], alike[keep]
 
 
+    def inside(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, landmark, similarity) of pairs where the word is too long to be weighed whole: the best of all its
+        windows of one, two and three times the landmark's length that is above FLOOR.
+        """
+        parts = [np.zeros((3, 0))]
+        long = [k for k, w in enumerate(words) if len(w) > min(LONGEST, 3 * int(self.lengths.min(initial=LONGEST)))]
+        # Each window of at most LONGEST letters lies whole in a block of twice that.
+        place = [(k, at) for k in long for at in range(0, max(1, len(words[k]) - LONGEST), LONGEST)]
+        for begin in range(0, len(place), BLOCKS):
+            parts.append(self.in_blocks(words, place[begin : begin + BLOCKS]))
+        word, landmark, alike = np.concatenate(parts, 1)
+        return word.astype(np.int64), landmark.astype(np.int64), alike
+
+    def in_blocks(self, words: list[str], place: list[tuple[int, int]]) -> np.ndarray:
+        width = 2 * LONGEST
+        codes = np.array([words[k][at : at + width] for k, at in place], dtype=f"U{width}").view(np.uint32).reshape(len(place), width).astype(np.int64)
+        word, size = np.array([k for k, _ in place]), np.array([len(words[k]) for k, _ in place])
+        codes = codes[:, : int((codes > 0).sum(1).max())]
+        masks = pair_masks(codes, 3)
+        out, window, owner, mark = [], [], [], []
+        held = 0
+        for j, length in enumerate(self.lengths.tolist()):
+            able = (5 * np.bitwise_count(masks & self.masks[j]).sum(1) >= 3 * self.held[j]) & (size > min(LONGEST, 3 * length))
+            block = np.flatnonzero(able)
+            for wide in sorted({min(LONGEST, times * length) for times in (1, 2, 3)}):
+                if not len(block) or wide > codes.shape[1]:
+                    continue
+                view = np.lib.stride_tricks.sliding_window_view(codes[block], wide, axis=1)
+                of, at = np.nonzero(view[:, :, -1] > 0)
+                found = view[of, at]
+                near = np.flatnonzero(5 * np.bitwise_count(pair_masks(found, 3) & self.masks[j]).sum(1) >= 3 * self.held[j])
+                window.append(np.pad(found[near], ((0, 0), (0, LONGEST - wide))))
+                owner.append(word[block[of[near]]])
+                mark.append(np.full(len(near), j))
+                held += len(near)
+            if window and (held > WINDOWS or j == len(self.words) - 1):
+                out.append(self.best(np.concatenate(window), np.concatenate(owner), np.concatenate(mark)))
+                window, owner, mark, held = [], [], [], 0
+        return np.concatenate([np.zeros((3, 0)), *out], 1)
+
+    def best(self, codes: np.ndarray, owner: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """The largest similarity of each (owner, landmark) that is above FLOOR."""
+        cross = paired_kernel(codes, self.codes[mark])
+        able = np.flatnonzero(cross >= FLOOR * np.sqrt(least_own((codes > 0).sum(1)) * self.own[mark]) * (1 - 1e-9))
+        codes, owner, mark, cross = codes[able], owner[able], mark[able], cross[able]
+        alike = cross / np.sqrt(np.maximum(own_kernel(codes) * self.own[mark], 1e-300))
+        order = np.lexsort((-alike, mark, owner))
+        order = order[alike[order] >= FLOOR]
+        first = np.ones(len(order), bool)
+        first[1:] = (owner[order][1:] != owner[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+        order = order[first]
+        return np.stack([owner[order], mark[order], alike[order]])
+
+
 class Matcher:
     """Values of texts for landmarks; words seen before come from a bounded cache."""
 
@@ -173,6 +237,7 @@ class Matcher:
         self.landmarks = Landmarks(words)
         self.near: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.far: set[str] = set()
+        self.chars = 0
 
     def values(self, texts) -> np.ndarray:
         cut = [tokens_of(x) for x in texts]
@@ -183,19 +248,27 @@ class Matcher:
         place, distinct = pd.factorize(np.array([t for tokens in cut for t in tokens], dtype=object))
         row = np.repeat(np.arange(len(cut)), sizes)
         unknown = [t for t in distinct.tolist() if t not in self.far and t not in self.near]
-        words = [plain(t) for t in unknown]
-        fit = [k for k, w in enumerate(words) if SHORTEST <= len(w)]
-        i, j, alike = self.landmarks.near([words[k] for k in fit])
-        fresh: dict[str, list] = {}
-        for k, landmark, value in zip(i.tolist(), j.tolist(), alike.tolist(), strict=True):
-            fresh.setdefault(unknown[fit[k]], []).append((landmark, value))
-        if len(self.far) > CACHED_WORDS:
+        runs = [(k, w) for k, t in enumerate(unknown) for w in runs_of(t)]
+        words = [w for _, w in runs]
+        short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+        i, j, alike = self.landmarks.near([words[k] for k in short])
+        fresh: dict[str, dict[int, float]] = {}
+        for at, landmarks, values in ([short[k] for k in i.tolist()], j, alike), self.landmarks.inside(words):
+            for k, landmark, value in zip(list(at), landmarks.tolist(), values.tolist(), strict=True):
+                best = fresh.setdefault(unknown[runs[k][0]], {})
+                best[landmark] = max(best.get(landmark, 0.0), value)
+        if len(self.far) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.far.clear()
+            self.chars = 0
+            if self.near:
+                self.near.clear()
+                return self.values(texts)
         if len(self.near) > CACHED_WORDS // 4:
             self.near.clear()
             return self.values(texts)
+        self.chars += sum(map(len, unknown))
         self.far.update(t for t in unknown if t not in fresh)
-        self.near.update({t: (np.array([x for x, _ in v]), np.array([y for _, y in v])) for t, v in fresh.items()})
+        self.near.update({t: (np.array(list(v)), np.array(list(v.values()))) for t, v in fresh.items()})
         hit = np.array([t in self.near for t in distinct.tolist()], bool)
         for at in np.flatnonzero(hit[place]):
             landmark, value = self.near[distinct[place[at]]]
@@ -267,13 +340,22 @@ def sampled(labelled: DataFrame, most: int, *names: str) -> DataFrame:
     return labelled.where(draw < rate)
 
 
+def landmark_parts(token: str) -> Iterator[str]:
+    """What of a token may be a landmark: its runs, and for a run that is no word all its windows of PARTS letters."""
+    for w in runs_of(token):
+        if len(w) <= LONGEST:
+            yield w
+        else:
+            yield from (w[i : i + size] for size in PARTS for i in range(len(w) - size + 1))
+
+
 def distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches(frames, 500, BATCH_CHARS):
-        words = [{plain(t)[:LONGEST] for t in tokens_of(x)} for x in frame["text"]]
+        words = [{w for t in tokens_of(x) for w in landmark_parts(t)} for x in frame["text"]]
         out = pd.DataFrame({"word": words, "toxic": frame["toxic"].to_numpy()})
         out["word"] = out["word"].map(list)
         out = out.explode("word").dropna()
-        yield out[out["word"].str.len() >= SHORTEST].groupby(["word", "toxic"]).size().rename("n").reset_index()
+        yield out.groupby(["word", "toxic"]).size().rename("n").reset_index()
 
 
 def landmark_words(sample: DataFrame, landmarks: int = LANDMARKS) -> list[str]:
