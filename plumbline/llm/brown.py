@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.base import batches, hashes, lowered_words
 from plumbline.session import materialize
 
-CLUSTERED = 600
+SEEDS = 600
 CLASSES = 40
+ROUNDS = 2
+CHUNK = 50_000
 SWEEPS = 12
 SHARED_WORDS = 200_000
 FLUSH = 400_000
@@ -173,21 +175,105 @@ def exchange_classes(pairs: np.ndarray, fixed: list[int], classes: int, sweeps:
     return of
 
 
+def class_number(types: int) -> int:
+    """How many classes a vocabulary gets: the cube root of its size, CLASSES at least."""
+    return max(CLASSES, round(types ** (1 / 3)))
+
+
+def all_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches(frames, 2_000, BATCH_CHARS):
+        code, distinct, _, _ = token_stream(frame["text"], Lexicon(np.zeros(0, np.int64)))
+        before = np.concatenate([code[-1:], code[:-1]])  # a batch ends with an end
+        pair, n = np.unique(before * np.int64(len(distinct)) + code, return_counts=True)
+        a, b = np.divmod(pair, len(distinct))
+        yield pd.DataFrame({"a": distinct[a], "b": distinct[b], "n": n.astype(np.int32)})
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(a, b, n): how often each word, or end, follows each other one, over the whole corpus."""
+    found = docs.select("text").mapInPandas(all_pairs, "a long, b long, n int")
+    return materialize(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "neighbours")
+
+
+def classed(rows: DataFrame, column: str, classes: DataFrame, frequent: int) -> DataFrame:
+    """``rows`` with the class ``c_`` and the mark ``once_`` of the word in ``column``.
+
+    Words of at least ``frequent`` occurrences are broadcast (a bounded number), so no other key of the join is hot.
+    """
+    marks = classes.select(F.col("word").alias(column), F.col("cls").alias(f"c_{column}"), (F.col("count") == 1).alias(f"once_{column}"), "count")
+    top = F.broadcast(marks.where(F.col("count") >= frequent).drop("count"))
+    rest = marks.where(F.col("count") < frequent).drop("count")
+    return rows.join(top, column).unionByName(rows.join(top, column, "left_anti").join(rest, column))
+
+
+def class_table(pairs: DataFrame, classes: DataFrame, k: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of class after class, of words seen once after a class, and of classes after a word seen once."""
+    both = classed(classed(pairs, "a", classes, frequent), "b", classes, frequent)
+    rows = both.groupBy("c_a", "c_b", "once_a", "once_b").agg(F.sum("n").alias("n")).toPandas()
+    table, to_once, from_once = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    n = rows["n"].to_numpy(float)
+    np.add.at(table, (rows["c_a"].to_numpy(int), rows["c_b"].to_numpy(int)), n)
+    np.add.at(to_once, rows["c_a"].to_numpy(int), n * rows["once_b"].to_numpy(bool))
+    np.add.at(from_once, rows["c_b"].to_numpy(int), n * rows["once_a"].to_numpy(bool))
+    return table, to_once, from_once
+
+
+def smoothed(table: np.ndarray) -> np.ndarray:
+    mass = table.sum(0) + 1.0
+    return np.log10((table + STRENGTH * mass / mass.sum()) / (table.sum(1, keepdims=True) + STRENGTH))
+
+
+def best_class(shared):
+    """Each word's class where its neighbours' classes are likeliest by the broadcast table; the end stays."""
+
+    def move(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, size, end_class = shared.value
+        for frame in frames:
+            lengths = frame["near"].map(len).to_numpy()
+            ends = np.cumsum(lengths)
+            out, begin = [], 0
+            while begin < len(frame):
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+                key, n = np.concatenate(frame["near"].to_numpy()[begin:end]), np.concatenate(frame["n"].to_numpy()[begin:end])
+                start = ends[begin:end] - lengths[begin:end] - before
+                gain = np.add.reduceat(weights[key] * n[:, None], start)
+                # each occurrence has a neighbour on either side, so half the neighbours are the word's count
+                out.append((gain - np.add.reduceat(n, start)[:, None] / 2 * size).argmax(1))
+                begin = end
+            cls = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pd.DataFrame({"word": frame["word"], "cls": np.where(frame["word"] == END, end_class, cls)})
+
+    return move
+
+
+def exchanged(pairs: DataFrame, classes: DataFrame, table: np.ndarray, free: int, frequent: int) -> DataFrame:
+    """All words moved at once to their best classes against ``table``."""
+    k = len(table)
+    likely = smoothed(table)
+    weights = np.concatenate([likely[:, :free], likely[:free].T])  # what stands before, then what stands after
+    size = np.log10(np.maximum(table.sum(0)[:free], 1.0))
+    shared = classes.sparkSession.sparkContext.broadcast((weights, size, free))
+    after = classed(pairs, "b", classes, frequent).select(F.col("a").alias("word"), (F.col("c_b") + k).alias("key"), "n")
+    before = classed(pairs, "a", classes, frequent).select(F.col("b").alias("word"), F.col("c_a").alias("key"), "n")
+    near = before.unionByName(after).groupBy("word", "key").agg(F.sum("n").alias("n"))
+    lists = near.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).select("word", F.col("x.key").alias("near"), F.col("x.n").alias("n"))
+    moved = lists.mapInPandas(best_class(shared), "word long, cls int")
+    return materialize(moved.join(classes.select("word", "count"), "word"), "classes")
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """Fixed-size parts of the model: shared words with counts, classes of the clustered ones, transitions.
-
-    ``words`` are by falling count.  ``of`` is the class of each; those beyond the clustered and all other words
-    are in the open class, where a word's emission follows from its count alone.
+    """Parts of the model that go to all tasks: the frequent words (a bounded number) with counts, classes and emissions,
+    and the class transitions, whose last class is that of words never seen.
     """
 
     words: np.ndarray
     counts: np.ndarray
     of: np.ndarray
-    transition: np.ndarray
     emission: np.ndarray
-    open_total: float
-    open_types: int
+    transition: np.ndarray
+    unseen: float
     tokens: int
     types: int
     end_class: int
@@ -196,44 +282,45 @@ class ClassModel:
     def base_divisor(self) -> float:
         return self.tokens + 0.5 * (self.types + 1)
 
-    @property
-    def open_divisor(self) -> float:
-        return self.open_total + 0.5 * (self.open_types + 1)
 
+def fit_classes(docs: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
+    """The model, and (word, count, cls, emission) of every word of ``docs`` (text), whose counts are ``words``.
 
-def fit_classes(docs: DataFrame, words: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> ClassModel:
-    """Fit on all of ``docs`` (text), whose counts are ``words``."""
+    The most frequent words get their classes by one-at-a-time exchange; from there every word moves in parallel rounds.
+    """
+    spark = docs.sparkSession
     tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     shared = most_frequent(words, SHARED_WORDS)
-    if END not in set(shared["word"].tolist()):  # always known by its place
-        n_end = words.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        shared = pd.concat([pd.DataFrame({"word": [END], "n": [n_end]}), shared], ignore_index=True)
-    at_end = int(np.flatnonzero(shared["word"].to_numpy() == END)[0])
-    order = [at_end, *[i for i in range(len(shared)) if i != at_end]]
-    shared = shared.iloc[order].reset_index(drop=True)  # the end first, then by falling count
-    top = shared["word"].to_numpy(np.int64)[: clustered + 1]
-    pairs = pair_counts(docs, top)
-    of = exchange_classes(pairs, [0, len(top)], classes)
-    k = int(of.max()) + 1
-    member = np.zeros((len(of), k))
-    member[np.arange(len(of)), of] = 1
-    table = member.T @ pairs @ member
-    mass = table.sum(0) + 1.0
-    prior = mass / mass.sum()
-    transition = np.log10((table + STRENGTH * prior) / (table.sum(1, keepdims=True) + STRENGTH))
-    counts = shared["n"].to_numpy(np.int64)
-    total = np.bincount(of[:-1], weights=counts[: len(top)], minlength=k)
-    kinds = np.bincount(of[:-1], minlength=k)
-    open_class = int(of[-1])
-    every = np.full(len(shared), open_class)
-    every[: len(top)] = of[:-1]
-    open_total, open_types = float(tokens - counts[: len(top)].sum()), max(0, types - len(top))
-    emission = np.log10((counts + 0.5) / (total[every] + 0.5 * np.maximum(1, kinds[every])))
-    outside = every == open_class
-    emission[outside] = np.log10((counts[outside] + 0.5) / (open_total + 0.5 * (open_types + 1)))
-    return ClassModel(
-        shared["word"].to_numpy(np.int64), counts, np.append(every, open_class), transition, emission, open_total, open_types, int(tokens), int(types), int(of[0])
+    frequent = int(shared["n"].min()) if len(shared) else 1 << 62
+    seeds = np.array([END, *[w for w in shared["word"].tolist() if w != END][:SEEDS]])
+    of = exchange_classes(pair_counts(docs, seeds), [0, len(seeds)], class_number(types))
+    k, free = int(of.max()) + 1, int(of[0])
+    seeded = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": seeds, "cls": of[:-1].astype(np.int32)}), "word long, cls int"))
+    classes = words.join(seeded, "word", "left").select("word", F.coalesce("cls", F.lit(k - 1)).alias("cls"), F.col("n").alias("count"))
+    classes = materialize(classes, "classes")
+    pairs = neighbours(docs)
+    table, to_once, from_once = class_table(pairs, classes, k, frequent)
+    for _ in range(rounds if tokens else 0):
+        classes = exchanged(pairs, classes, table, free, frequent)
+        table, to_once, from_once = class_table(pairs, classes, k, frequent)
+    # Words seen once tell where words never seen stand.
+    table[:, -1], table[-1] = to_once, from_once
+    table[-1, -1] = from_once.sum() * to_once.sum() / max(1, tokens)
+    sums = classes.groupBy("cls").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("count") == 1).cast("long")).alias("once"))
+    rows = sums.toPandas()
+    divisor = np.full(k, 0.5)
+    divisor[rows["cls"].to_numpy(int)] = rows["total"].to_numpy(float) + 0.5 * rows["kinds"].to_numpy(float)
+    by_class = F.broadcast(spark.createDataFrame([(i, float(x)) for i, x in enumerate(divisor)], "cls int, divisor double"))
+    classes = classes.join(by_class, "cls").select("word", "count", "cls", F.log10((F.col("count") + 0.5) / F.col("divisor")).alias("emission"))
+    top = classes.where((F.col("count") >= frequent) | (F.col("word") == END)).toPandas()
+    if not (top["word"] == END).any():
+        top = pd.concat([top, pd.DataFrame({"word": [END], "count": [0], "cls": [free], "emission": [0.0]})], ignore_index=True)
+    unseen = -float(np.log10(1 + rows["once"].sum()))
+    model = ClassModel(
+        top["word"].to_numpy(np.int64), top["count"].to_numpy(np.int64), top["cls"].to_numpy(np.int64), top["emission"].to_numpy(float),
+        smoothed(table), unseen, int(tokens), int(types), free,
     )
+    return model, classes
 
 
 MARK = "struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
@@ -245,25 +332,32 @@ def scorer(shared):
         lexicon, n = Lexicon(m.words), len(m.words)
         base = np.append(np.log10((m.counts + 0.5) / m.base_divisor), 0.0)
         emission, known = np.append(m.emission, 0.0), np.append(m.counts > 0, False)
+        of = np.append(m.of, -1)
         for frame in batches(frames, 2_000, BATCH_CHARS):
             code, distinct, place, sizes = token_stream(frame["text"], lexicon)
             spot = place[code]
             row = np.repeat(np.arange(len(frame)), sizes)
-            kind = m.of[spot]
-            first = np.cumsum(sizes) - sizes
-            before = np.concatenate([[m.end_class], kind[:-1]])
-            before[first] = m.end_class
+            kind = of[spot]
+            last = np.concatenate([code[-1:], code[:-1]])  # each text ends with an end, so the first word follows one
+            before = of[place[last]]
+            near = (kind >= 0) & (before >= 0)
+            step = np.where(near, m.transition[before, kind], 0.0)
             total = lambda x: np.bincount(row, weights=x, minlength=len(frame))
-            sums = {"base": total(base[spot]), "score": total(emission[spot] + m.transition[before, kind]), "n_known": total(known[spot]).astype(np.int64)}
+            sums = {"base": total(base[spot]), "score": total(emission[spot] + step), "n_known": total(known[spot]).astype(np.int64)}
             marks = pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "held_out": frame["held_out"].to_numpy(), "n_tokens": sizes, **sums})
             marks["doc_id"] = frame["doc_id"].astype("Int64").to_numpy()
             columns = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-            yield pd.DataFrame({"row": frame["row"].to_numpy(), "word": frame["row"].to_numpy(), "n": 0, "mark": marks[columns].astype(object).where(marks[columns].notna(), None).to_dict("records")})
-            rare = np.flatnonzero(spot == n)
-            if len(rare):
-                pair, times = np.unique(row[rare] * np.int64(len(distinct)) + code[rare], return_counts=True)
-                of, word = np.divmod(pair, len(distinct))
-                yield pd.DataFrame({"row": frame["row"].to_numpy()[of], "word": distinct[word], "n": times, "mark": None})
+            own = frame["row"].to_numpy()
+            yield pd.DataFrame({"row": own, "a": own, "b": own, "c_a": 0, "c_b": 0, "n": 0, "mark": marks[columns].astype(object).where(marks[columns].notna(), None).to_dict("records")})
+            far = np.flatnonzero(~near)
+            if len(far):
+                width = np.int64(len(distinct))
+                pair, times = np.unique((row[far] * width + last[far]) * width + code[far], return_counts=True)
+                pair, b = np.divmod(pair, width)
+                r, a = np.divmod(pair, width)
+                c_a, c_b = of[place[a]], of[place[b]]
+                # a frequent word's class is known here; the row number stands for it, so that no key of the joins is hot
+                yield pd.DataFrame({"row": own[r], "a": np.where(c_a < 0, distinct[a], own[r]), "b": np.where(c_b < 0, distinct[b], own[r]), "c_a": c_a, "c_b": c_b, "n": times, "mark": None})
 
     return score
 
@@ -273,8 +367,9 @@ def class_scores(docs: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
 
     Learns from all rows outside the held-out fold.  Tokens are words between ASCII white space, A-Z in lower
     case, and one end per text.  ``score`` is the sum of log10 P(class | class before) + log10 P(word | class);
-    ``perplexity`` is 10 ** (-score / n_tokens).  Counts of the most frequent words (a bounded number) are
-    broadcast; all others are joined by word, a row per document and word, so no key is frequent there.
+    ``perplexity`` is 10 ** (-score / n_tokens).  Every word of the learned rows has a class.  The most
+    frequent words (a bounded number) are broadcast; others are joined by word, a row per document and pair of neighbours, so
+    no key is frequent there.
 
     A null text is empty and has its end alone.  Null ids and repeated rows keep their rows.  With nothing to
     learn from, all counts are 0 and every token is unknown.  Other columns are ignored.
@@ -284,14 +379,19 @@ def class_scores(docs: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     training = docs.where(fold != held).select("text")
     words = vocabulary(training)
-    model = fit_classes(training, words)
+    model, classes = fit_classes(training, words)
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), "text")
-    parts = source.mapInPandas(scorer(shared), f"row long, word long, n long, mark {MARK}")
-    # A mark's word is its row number, so marks spread over all tasks; what it may match is not looked at.
-    met = parts.join(words.withColumnRenamed("n", "c"), "word", "left")
-    seen = F.coalesce("c", F.lit(0))
-    per = lambda divisor: F.col("n") * F.log10((seen + 0.5) / F.lit(float(divisor)))
+    parts = source.mapInPandas(scorer(shared), f"row long, a long, b long, c_a int, c_b int, n long, mark {MARK}")
+    k = len(model.transition)
+    cells = [(i * k + j, float(model.transition[i, j])) for i in range(k) for j in range(k)]
+    cells = F.broadcast(spark.createDataFrame(pd.DataFrame(cells, columns=["cell", "step"]), "cell long, step double"))
+    left = classes.select(F.col("word").alias("a"), F.col("cls").alias("far_a"))
+    right = classes.select(F.col("word").alias("b"), F.col("cls").alias("far_b"), "count", "emission")
+    kind = lambda x: F.when(F.col(f"c_{x}") >= 0, F.col(f"c_{x}")).otherwise(F.coalesce(f"far_{x}", F.lit(k - 1)))
+    met = parts.join(left, "a", "left").join(right, "b", "left").withColumn("cell", (kind("a") * k + kind("b")).cast("long")).join(cells, "cell")
+    rare = F.col("c_b") < 0
+    seen = F.when(rare, F.coalesce("count", F.lit(0)))
     sums = met.groupBy("row").agg(
         F.max("mark.doc_id").alias("doc_id"),
         F.max("mark.held_out").alias("held_out"),
@@ -300,9 +400,9 @@ def class_scores(docs: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
         F.coalesce(F.sum("mark.n_known"), F.lit(0)).alias("near_known"),
         F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("far_known"),
         F.sum("mark.base").alias("near_base"),
-        F.sum(per(model.base_divisor)).alias("far_base"),
+        F.sum(F.when(rare, F.col("n") * F.log10((seen + 0.5) / F.lit(float(model.base_divisor)))).otherwise(0.0)).alias("far_base"),
         F.sum("mark.score").alias("near_score"),
-        F.sum(per(model.open_divisor)).alias("far_score"),
+        F.sum(F.col("n") * (F.col("step") + F.when(rare, F.coalesce("emission", F.lit(model.unseen))).otherwise(0.0))).alias("far_score"),
     )
     both = lambda name: (F.col(f"near_{name}") + F.col(f"far_{name}")) / F.col("copies")
     every = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
