@@ -40,6 +40,7 @@ HEADLINES = (
     "tfidf_features",
     "lr_score",
     "holdout_eval",
+    "group_cv",
     "stream_label",
 )
 
