@@ -67,4 +67,30 @@ SELECT doc_id, j.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_remov
 FROM documents LEFT JOIN joined j USING (doc_id)
 """
 
-ORACLES = {"op2_decontaminate": DECONTAMINATE, "op3_jaccard": JACCARD, "op8_line_dedup": LINES}
+PIECES = "string_split_regex(" + LOWERED.format("text") + ", '[.,;:!?\\x0A-\\x0D]')"
+
+COLLOCATIONS = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest({PIECES}) AS piece FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+sizes AS (SELECT unnest(range(1, 6)) AS size),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS a
+      FROM places, sizes WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING size = 1 OR a >= 100),
+totals AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c JOIN totals t ON t.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS a
+  FROM (SELECT *, unnest(range(i + 1, len(w) + 1)) AS j FROM (SELECT *, unnest(range(1, len(w))) AS i FROM candidates))
+  WHERE j - i + 1 < len(w) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ x ON x.lang = b.lang AND x.phrase = b.phrase WHERE x.a IS NULL OR 100 * x.a < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_collocations": COLLOCATIONS, "op2_decontaminate": DECONTAMINATE, "op3_jaccard": JACCARD, "op8_line_dedup": LINES}

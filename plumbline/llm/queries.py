@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.ann import nearest_neighbours
 from plumbline.llm.base import table
+from plumbline.llm.bpe import decoded, encoded, id_count
 from plumbline.llm.brown import class_scores
+from plumbline.llm.collocations import collocations
+from plumbline.llm.conversations import damaged, repaired_conversations
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.langid import identified
@@ -16,6 +19,7 @@ from plumbline.llm.mixing import mixture
 from plumbline.llm.records import token_records
 from plumbline.llm.secrets import count_of, joined, secret_spans
 from plumbline.llm.toxicity import toxicity
+from plumbline.session import spread
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,28 @@ def op10_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    coded = docs.select("doc_id", encoded(F.col("text"), *vocabulary).alias("ids"))
+    return coded.select(
+        "doc_id",
+        id_count(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(decoded(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_decontaminate": op2_decontaminate,
@@ -82,4 +108,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_class_model": op10_class_model,
+    "op11_collocations": op11_collocations,
+    "op12_conversations": op12_conversations,
+    "op13_byte_bpe": op13_byte_bpe,
 }
