@@ -1,9 +1,11 @@
 """Byte-level BPE by ranks: encoding through a rank queue on a hierarchical bitmap, and decoding.
 
-A text is cut into pre-tokens by a pattern.  Each pre-token is a linked list of parts, bytes at first.  Every pair of
-neighbours that forms a known token waits in the bucket of that token's rank; a bitmap of three levels tells in constant
-time which bucket is the lowest that holds anything.  The pair taken out is merged, unless one of its parts has grown
-meanwhile, and its two new pairs are queued.  A pre-token of n bytes costs about n steps, so a text
+Texts are cut into pre-tokens by a pattern.  The pre-tokens that a task has not seen before are laid out as one linked list of
+parts, bytes at first, with an end mark after each pre-token.  Every pair of neighbours that forms a known token waits in
+the bucket of that token's rank; a bitmap of three levels tells in constant time which bucket is the lowest.  The bucket's
+pairs are merged at once, from left to right where they overlap, but for those of which a part has grown meanwhile, and the new
+pairs are queued.  Only where a rank's token can be part of one of lower rank, a pre-token has one pair merged at a
+time.  So the work follows the number of bytes however they are cut: many short pre-tokens share the queue, and a text
 without a single break is no special case.
 
 Nothing is shuffled: encoding and decoding are functions of one column.
@@ -12,11 +14,9 @@ Nothing is shuffled: encoding and decoding are functions of one column.
 from __future__ import annotations
 
 import base64
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -24,27 +24,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_BITS = 6
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 CACHED_LENGTH = 64
-BLOCK = 100_000
+BLOCK_PIECES = 500_000
+BLOCK_CHARS = 2_000_000
 
 
 class RankQueue:
-    """Places by rank; the lowest rank comes first and within it the leftmost place."""
+    """Places by rank: buckets, and a bit for each bucket in words of 64, words of words and so on."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
         self.levels: list[list[int]] = []
         while not self.levels or len(self.levels[-1]) > 1:
             ranks = (ranks + 63) >> WORD_BITS
             self.levels.append([0] * ranks)
 
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
+    def open(self, rank: int, places: list[np.ndarray]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = places
         for level in self.levels:
             word = rank >> WORD_BITS
             held = level[word]
@@ -53,27 +51,22 @@ class RankQueue:
                 return
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
+    def take(self) -> tuple[int, list[np.ndarray]] | None:
+        """The lowest rank and its places, which leave the queue."""
         rank = 0
         for level in reversed(self.levels):
             bits = level[rank]
             if not bits:
                 return None
             rank = rank << WORD_BITS | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.drop(rank)
-        return rank, place
-
-    def drop(self, rank: int) -> None:
-        del self.buckets[rank]
+        place = rank
         for level in self.levels:
-            word = rank >> WORD_BITS
-            level[word] &= ~(1 << (rank & 63))
+            word = place >> WORD_BITS
+            level[word] &= ~(1 << (place & 63))
             if level[word]:
-                return
-            rank = word
+                break
+            place = word
+        return rank, self.buckets.pop(rank)
 
 
 class RankTable:
@@ -84,94 +77,156 @@ class RankTable:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
-        self.queue = RankQueue(max(self.tokens) + 1)
-
-    def encode(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(data)
-        if whole is not None or not data:
-            return [whole] if data else []
-        n, rank_of, push, pop, longest = len(data), self.ranks.get, self.queue.push, self.queue.pop, self.longest
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair = [rank_of(data[i : i + 2]) for i in range(n)]  # rank of the part at a place together with the next part
-        pair[-1] = None
-        for i, rank in enumerate(pair):
-            if rank is not None:
-                push(rank, i)
-        while (top := pop()) is not None:
-            rank, i = top
-            if pair[i] != rank:
-                continue  # one of the two parts has been merged since
-            gone = after[i]
-            end = after[i] = after[gone]
-            pair[gone] = None
-            if end < n:
-                before[end] = i
-                far = after[end]
-                rank = pair[i] = rank_of(data[i:far]) if far - i <= longest else None
-                if rank is not None:
-                    push(rank, i)
+        self.end = max(self.tokens) + 1  # stands between pre-tokens
+        self.queue = RankQueue(self.end)
+        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        # Every way to make a token of two, by (id of the left one, id of the right one).
+        ways = [
+            (self.ranks[token[:i]] << 32 | self.ranks[token[i:]], rank)
+            for token, rank in self.ranks.items()
+            for i in range(1, len(token))
+            if token[:i] in self.ranks and token[i:] in self.ranks
+        ]
+        table = np.array(sorted(ways), np.int64).reshape(-1, 2)
+        self.keys, self.made = np.append(table[:, 0], 1 << 62), np.append(table[:, 1], -1)
+        # Tokens that can be part of one of lower rank: making one may call for another merge before the next of its kind.
+        parts = np.concatenate([self.keys[:-1] >> 32, self.keys[:-1] & 0xFFFFFFFF])
+        self.hasty = set(parts[parts > np.tile(self.made[:-1], 2)].tolist())
+
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that two neighbours make, -1 if none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token (none of them empty), as little-endian unsigned 32-bit integers."""
+        whole = [self.ranks.get(piece, -1) for piece in pieces]
+        cut = [piece for piece, rank in zip(pieces, whole, strict=True) if rank < 0]
+        merged = iter(self.merged(cut) if cut else ())
+        return [next(merged) if rank < 0 else rank.to_bytes(4, "little") for rank in whole]
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(piece) for piece in pieces])
+        last = np.cumsum(sizes + 1)  # place of the end mark after each pre-token; one more stands before the first
+        token = np.full(int(last[-1]) + 1, self.end, np.int64)  # id of the part that begins at a place, -1 if none does any more
+        inside = np.ones(len(token), bool)
+        inside[last] = inside[0] = False
+        token[inside] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.arange(1, len(token) + 1)
+        before = np.arange(-1, len(token) - 1)
+        pair = np.append(self.joint(token[:-1], token[1:]), -1)  # rank of that part together with the next one
+        self.line_up(np.arange(len(pair)), pair)
+        while (lowest := self.queue.take()) is not None:
+            rank, parts = lowest
+            places = np.sort(np.concatenate(parts))
+            valid = pair[places] == rank  # of others, one part has been merged since
+            valid[1:] &= places[1:] != places[:-1]
+            places = places[valid]
+            if rank in self.hasty:
+                _, first = np.unique(np.searchsorted(last, places), return_index=True)
+                later = np.delete(places, first)
+                if len(later):
+                    self.queue.open(rank, [later])
+                places = places[first]
+            elif len(places) > 1:
+                places = places[alternate(places[1:] == after[places[:-1]])]
+            gone = after[places]
+            end = after[gone]
+            token[places], token[gone], pair[gone] = rank, -1, -1
+            after[places], before[end] = end, places
+            near = before[places]
+            pair[places] = right = self.joint(token[places], token[end])
+            pair[near] = left = self.joint(token[near], token[places])
+            self.line_up(np.concatenate([places, near]), np.concatenate([right, left]))
+        kept = (token >= 0) & inside
+        cuts = 4 * np.concatenate([[0], np.cumsum(kept)[last]])
+        packed = token[kept].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def line_up(self, places: np.ndarray, ranks: np.ndarray) -> None:
+        """Queue places under their ranks; those without a rank stay out."""
+        known = ranks >= 0
+        places, ranks = places[known], ranks[known]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks)
+        ranks = ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        buckets = self.queue.buckets
+        places = places[order]
+        for rank, a, b in zip(ranks[np.append(0, cuts)].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(ranks)], strict=True):
+            if rank in buckets:
+                buckets[rank].append(places[a:b])
             else:
-                pair[i] = None
-            near = before[i]
-            if near >= 0:
-                rank = pair[near] = rank_of(data[near:end]) if end - near <= longest else None
-                if rank is not None:
-                    push(rank, near)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[data[i : after[i]]])
-            i = after[i]
-        return ids
+                self.queue.open(rank, [places[a:b]])
 
 
-class Pieces(dict):
-    """Ids of pre-tokens as little-endian bytes.  Short ones are remembered, in two generations of bounded size."""
+def alternate(linked: np.ndarray) -> np.ndarray:
+    """Which places to merge when some share a part with the one before: every other of a row, from the left."""
+    if not linked.any():
+        return np.ones(len(linked) + 1, bool)
+    at = np.arange(len(linked) + 1)
+    begin = np.maximum.accumulate(np.where(np.append(False, linked), 0, at))
+    return (at - begin) % 2 == 0
 
-    def __init__(self, table: RankTable):
-        super().__init__()
-        self.table = table
-        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = pack(self.table.encode(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+class Coder:
+    """Both directions for one rank file.  Short pre-tokens are remembered, in two generations of bounded size."""
 
+    def __init__(self, path: str, pattern: str):
+        import regex
 
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+        self.table, self.pattern = RankTable(path), regex.compile(pattern)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Have all pieces in ``known``; those too long to stay there are returned."""
+        if len(self.known) > CACHED_PIECES:
+            self.old, self.known = self.known, {}
+        fresh = pieces.difference(self.known)
+        again = fresh.intersection(self.old)
+        self.known.update((piece, self.old[piece]) for piece in again)
+        fresh = list(fresh.difference(again))
+        if fresh:
+            ids = self.table.encode([piece.encode("utf-8", "surrogatepass") for piece in fresh])
+            self.known.update(zip(fresh, ids, strict=True))
+        return [piece for piece in fresh if len(piece) > CACHED_LENGTH]
+
+    def joined(self, cut: list[list[str]]) -> list[bytes]:
+        long = self.learn(set(chain.from_iterable(cut)))
+        ids = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for piece in long:
+            del self.known[piece]
+        return ids
 
-@lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> tuple[Callable[[str], bytes], Callable[[bytes], bytes]]:
-    """Both directions for one rank file, set up once in each worker."""
-    import regex
-
-    table, cut = RankTable(path), regex.compile(pattern)
-    ids_of = Pieces(table).__getitem__
-    token_of = table.tokens.__getitem__
-
-    def encode(text: str) -> bytes:
-        if len(text) <= BLOCK:
-            return b"".join(map(ids_of, cut.findall(text)))
-        matches = (m[0] for m in cut.finditer(text))
-        return b"".join(iter(lambda: b"".join(map(ids_of, islice(matches, BLOCK))), b""))
-
-    def decode(ids: bytes) -> bytes:
-        numbers = np.frombuffer(ids, "<u4")
-        parts = (numbers[i : i + BLOCK].tolist() for i in range(0, len(numbers), BLOCK))
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        cut, chars = [], 0
+        for text in texts:
+            if len(text) > BLOCK_CHARS:
+                yield from self.joined(cut)
+                cut, chars = [], 0
+                matches = (m[0] for m in self.pattern.finditer(text))
+                yield b"".join(iter(lambda: b"".join(self.joined([list(islice(matches, BLOCK_PIECES))])), b""))
+                continue
+            cut.append(self.pattern.findall(text))
+            chars += len(text)
+            if chars > BLOCK_CHARS:
+                yield from self.joined(cut)
+                cut, chars = [], 0
+        yield from self.joined(cut)
+
+    def decode(self, ids: bytes) -> bytes:
+        numbers, token_of = np.frombuffer(ids, "<u4"), self.table.tokens.__getitem__
+        parts = (numbers[i : i + BLOCK_PIECES].tolist() for i in range(0, len(numbers), BLOCK_PIECES))
         return b"".join(b"".join(map(token_of, part)) for part in parts)
 
-    return encode, decode
+
+@lru_cache(maxsize=2)
+def coder(path: str, pattern: str) -> Coder:
+    """Set up once in each worker."""
+    return Coder(path, pattern)
 
 
 def encoded(text: Column, path: str, pattern: str) -> Column:
@@ -184,9 +239,8 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode, _ = coder(path, pattern)
         for texts in batches:
-            yield pd.Series([encode(t) if t else b"" for t in texts], dtype=object)
+            yield pd.Series(list(coder(path, pattern).encode([t or "" for t in texts])), dtype=object)
 
     return ids(text)
 
@@ -196,7 +250,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _, decode = coder(path, pattern)
+        decode = coder(path, pattern).decode
         for cells in batches:
             yield pd.Series([None if c is None else decode(c) for c in cells], dtype=object)
 
