@@ -19,7 +19,8 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -229,6 +230,18 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+def pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same cells in arrays of bounded size (a larger cell comes alone), so that little of a batch is held twice."""
+    for cells in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(cells), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(cells):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + BLOCK_CHARS, side="right")))
+            yield cells.slice(begin, end - begin)
+            begin = end
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
     """Ids of ``text`` as little-endian unsigned 32-bit integers, in one binary cell.
 
@@ -237,10 +250,10 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     their other columns are called; repeated rows give repeated results and an empty table an empty one.
     """
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(coder(path, pattern).encode([t or "" for t in texts])), dtype=object)
+    @F.arrow_udf("binary")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in pieces_of(batches):
+            yield pa.array(coder(path, pattern).encode([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return ids(text)
 
@@ -248,11 +261,11 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 def decoded(ids: Column, path: str, pattern: str) -> Column:
     """The bytes that ``ids`` (see ``encoded``) stand for; null stays null, an unknown id is an error."""
 
-    @F.pandas_udf("binary")
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decode = coder(path, pattern).decode
-        for cells in batches:
-            yield pd.Series([None if c is None else decode(c) for c in cells], dtype=object)
+        for cells in pieces_of(batches):
+            yield pa.array([None if c is None else decode(c) for c in cells.to_pylist()], pa.binary())
 
     return raw(ids)
 
