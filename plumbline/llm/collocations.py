@@ -29,7 +29,7 @@ TOP = 2000
 BURST = 1 << 15
 TRIE_ENTRIES = 400_000
 TASK_WORDS = 400_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 BATCH_ROWS = 20_000
 RUN_ROWS = 20_000
 BITS_PER_PHRASE = 16
@@ -110,28 +110,34 @@ class HatTrie:
                 else:
                     holder[word] = burst
 
-    def spill(self, leave: int) -> Iterator[list[tuple[bytes, int]]]:
+    def spill(self, leave: int) -> Iterator[tuple[list[bytes], list[int]]]:
         """Take out whole subtrees of the root, the largest first, until at most ``leave`` entries are left."""
         if type(self.root) is not Node:
             if self.entries > leave:
                 taken, self.root, self.entries = self.root, {}, 0
-                yield list(taken.items())
+                yield list(taken), list(taken.values())
             return
-        sized = sorted(((sum(1 for _ in phrases(tree, b"")), word) for word, tree in self.root.items()), reverse=True)
+        sized = sorted(((size_of(tree), word) for word, tree in self.root.items()), reverse=True)
         for size, word in sized:
             if self.entries <= leave:
                 return
             self.entries -= size
-            yield list(phrases(self.root.pop(word), word))
+            keys, counts = [], []
+            collect(self.root.pop(word), word, keys, counts)
+            yield keys, counts
 
 
-def phrases(tree: dict, prefix: bytes) -> Iterator[tuple[bytes, int]]:
+def size_of(tree: dict) -> int:
+    return sum(map(size_of, tree.values())) if type(tree) is Node else len(tree)
+
+
+def collect(tree: dict, prefix: bytes, keys: list[bytes], counts: list[int]) -> None:
     if type(tree) is Node:
         for word, below in tree.items():
-            yield from phrases(below, prefix + word)
+            collect(below, prefix + word, keys, counts)
     else:
-        for rest, n in tree.items():
-            yield prefix + rest, n
+        keys += [prefix + rest for rest in tree]
+        counts += tree.values()
 
 
 class Bitmap:
@@ -199,23 +205,32 @@ COUNTED = "lang string, head string, tail string, n long, hash long"
 
 
 def runs(trie: HatTrie, leave: int, size: int, words: Vocabulary) -> Iterator[pd.DataFrame]:
-    """Spilled subtrees as sorted runs of (language, prefix, rest, count, hash)."""
-    for tree in trie.spill(leave):
-        for at in range(0, len(tree), RUN_ROWS):
-            part = tree[at : at + RUN_ROWS]
-            ids = np.frombuffer(b"".join([key for key, _ in part]), "<i4").reshape(-1, size)
-            hashed = mixed(words.word_hashes(ids.ravel().astype(np.int64)), np.arange(len(part)) * size, size)
-            named = [[words.names[i] for i in row] for row in ids.tolist()]
-            frame = pd.DataFrame(
-                {
-                    "lang": [row[0][0] for row in named],
-                    "head": [b" ".join([w for _, w in row[:2]]).decode() for row in named],
-                    "tail": [b" ".join([w for _, w in row[2:]]).decode() for row in named],
-                    "n": np.fromiter((n for _, n in part), np.int64, len(part)),
-                    "hash": hashed.view(np.int64),
-                }
-            )
-            yield frame.sort_values(["lang", "head", "tail"])
+    """Spilled subtrees, small ones together, as sorted runs of (language, prefix, rest, count, hash)."""
+    keys, counts = [], []
+    for more_keys, more_counts in trie.spill(leave):
+        keys += more_keys
+        counts += more_counts
+        while len(keys) >= RUN_ROWS:
+            yield sorted_run(keys[:RUN_ROWS], counts[:RUN_ROWS], size, words)
+            del keys[:RUN_ROWS], counts[:RUN_ROWS]
+    if keys:
+        yield sorted_run(keys, counts, size, words)
+
+
+def sorted_run(keys: list[bytes], counts: list[int], size: int, words: Vocabulary) -> pd.DataFrame:
+    ids = np.frombuffer(b"".join(keys), "<i4").astype(np.int64)
+    name = words.names
+    each = [name[i][1] for i in ids.tolist()]
+    run = pd.DataFrame(
+        {
+            "lang": [name[i][0] for i in ids[::size].tolist()],
+            "head": [b" ".join(each[i : i + min(size, 2)]).decode() for i in range(0, len(each), size)],
+            "tail": [b" ".join(each[i + 2 : i + size]).decode() for i in range(0, len(each), size)],
+            "n": np.array(counts, np.int64),
+            "hash": mixed(words.word_hashes(ids), np.arange(len(keys)) * size, size).view(np.int64),
+        }
+    )
+    return run.sort_values(["lang", "head", "tail"])
 
 
 def phrase_counts(texts: DataFrame, size: int, bitmap: Broadcast | None) -> DataFrame:

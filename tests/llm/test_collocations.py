@@ -89,9 +89,9 @@ def test_trie_bursts_and_spills(monkeypatch):
         truth[key] += i
     assert type(trie.root) is Node and any(type(t) is Node for t in trie.root.values())
     assert trie.entries == len(truth)
-    first = [dict(tree) for tree in trie.spill(len(truth) // 2)]
+    first = [dict(zip(*tree, strict=True)) for tree in trie.spill(len(truth) // 2)]
     assert trie.entries <= len(truth) // 2
-    rest = [dict(tree) for tree in trie.spill(0)]
+    rest = [dict(zip(*tree, strict=True)) for tree in trie.spill(0)]
     merged = collections.Counter()
     for tree in first + rest:
         assert len({key[:4] for key in tree}) == 1  # a whole subtree
