@@ -1,12 +1,14 @@
 """Phrases of two to five words that occur far more often than their parts predict, counted exactly.
 
-Phrases are counted length by length.  A phrase can be frequent only if both phrases one word shorter are, so each pass over the
-texts counts just the places where a bitmap holds both; its size follows the number of frequent phrases up to a fixed
-bound, and a false hit is counted in vain and then found to be rare.
+Texts are cut into words once and written as word numbers with the words they stand for, block by block.  Phrases are
+then counted length by length.  A phrase can be frequent only if both phrases one word shorter are, so each pass counts
+just the places where a bitmap holds both; its size follows the number of frequent phrases up to a fixed bound.  Words
+and pairs, most of which are rare, pass a second bitmap first: hashes counted in cells, summed over all tasks, of which only
+the full ones matter.  What passes a bitmap wrongly is counted in vain and then found to be rare.
 
 A task counts in a HAT-trie: hash containers of word-id strings hang below a trie of the first words, and one that
 grows too large bursts into one container for each next word.  When the trie is full, whole subtrees are spilled, the largest
-first, each as a run in the order of its phrases.  Runs go to the partition of their prefix (the first two words), where
+first, as runs in the order of their phrases.  Runs go to the partition of their prefix (the first two words), where
 the counts of a phrase are added up.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.base import batches, hashes, hinted, mixed
@@ -34,45 +36,66 @@ BATCH_ROWS = 20_000
 RUN_ROWS = 20_000
 BITS_PER_PHRASE = 16
 MAX_BITS = 1 << 29
+CHARS_PER_CELL = 32
+MAX_CELLS = 1 << 27
+CELL_BLOCK = 1 << 18
 NO_LANGUAGE = "und"
 
 BREAK = b"\n"
 SEPARATED = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 
 
+class Numbers(dict):
+    """Running numbers of words; 0 is the break between pieces and -1 the empty string."""
+
+    def __init__(self):
+        super().__init__({BREAK: 0, b"": -1})
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.words.append(word)
+        self[word] = number = len(self.words)
+        return number
+
+
+TOKENS = "lang string, ids binary, words binary, n long"
+
+
+def tokenized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts, many of a language in a row, as word numbers (int32, 0 for a break) and the words in the order of their numbers."""
+    for frame in batches(frames, BATCH_ROWS, BATCH_CHARS):
+        for lang, texts in frame.groupby("lang", sort=False)["text"]:
+            data = "\n".join(texts).encode("utf-8", "surrogatepass").lower().translate(SEPARATED)
+            numbers = Numbers()
+            words = data.replace(BREAK, b" \n ").split(b" ")
+            ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+            ids = ids[ids >= 0]
+            if numbers.words:
+                ids = ids[(ids > 0) | (np.append(1, ids[:-1]) > 0)]  # one break in a row is enough
+                yield pd.DataFrame({"lang": [lang], "ids": [ids.tobytes()], "words": [BREAK.join(numbers.words)], "n": [int((ids > 0).sum())]})
+
+
 class Vocabulary:
-    """Running numbers for the words of each language; 0 is the break between pieces and -1 the empty string."""
+    """A task's own numbers for the words of each language, and their hashes."""
 
     def __init__(self):
         self.by_lang: dict[str, Numbers] = {}
         self.names: list[tuple[str, bytes]] = [("", BREAK)]
         self.hashed = np.zeros(1, np.uint64)
 
-    def ids(self, lang: str, text: str) -> np.ndarray:
-        """The words of a text in lower case, with breaks between its pieces and one at the end."""
-        if lang not in self.by_lang:
-            self.by_lang[lang] = Numbers(lang, self.names)
-        data = text.encode("utf-8", "surrogatepass").lower().translate(SEPARATED).replace(BREAK, b" \n ") + b" \n"
-        words = data.split(b" ")
-        ids = np.fromiter(map(self.by_lang[lang].__getitem__, words), np.int64, len(words))
-        return ids[ids >= 0]
-
-    def word_hashes(self, ids: np.ndarray) -> np.ndarray:
+    def ids(self, lang: str, ids: bytes, words: bytes) -> np.ndarray:
+        """The task's numbers for a row of tokens, with a break at the end."""
+        known = self.by_lang.setdefault(lang, {})
+        each = words.split(BREAK)
+        own = [known.get(word, 0) for word in each]
+        for i, number in enumerate(own):
+            if not number:
+                own[i] = known[each[i]] = len(self.names)
+                self.names.append((lang, each[i]))
         fresh = self.names[len(self.hashed) :]
         if fresh:
-            self.hashed = np.concatenate([self.hashed, hashes([lang.encode() + BREAK + word for lang, word in fresh])])
-        return self.hashed[ids]
-
-
-class Numbers(dict):
-    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
-        super().__init__({BREAK: 0, b"": -1})
-        self.lang, self.names = lang, names
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.names)
-        self.names.append((self.lang, word))
-        return number
+            self.hashed = np.concatenate([self.hashed, hashes([name.encode() + BREAK + word for name, word in fresh])])
+        return np.array([0, *own], np.int64)[np.append(np.frombuffer(ids, np.int32), 0)]
 
 
 class Node(dict):
@@ -152,17 +175,85 @@ class Bitmap:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def places(ids: np.ndarray, size: int, hashed: np.ndarray, bitmap: Bitmap | None) -> np.ndarray:
+def places(ids: np.ndarray, size: int, hashed: np.ndarray, shorter: Bitmap | None, cells: Bitmap | None) -> np.ndarray:
     """Where a phrase of ``size`` words begins that may be frequent."""
     if len(ids) < size:
         return np.zeros(0, np.int64)
     breaks = np.concatenate([[0], np.cumsum(ids == 0)])
     begin = np.flatnonzero(breaks[size:] == breaks[:-size])
-    if bitmap is None or not len(begin):
-        return begin
-    shorter = np.arange(len(ids) - size + 2)
-    known = bitmap.may_hold(mixed(hashed, shorter, size - 1))
-    return begin[known[begin] & known[begin + 1]]
+    if shorter and len(begin):
+        known = shorter.may_hold(mixed(hashed, np.arange(len(ids) - size + 2), size - 1))
+        begin = begin[known[begin] & known[begin + 1]]
+    if cells and len(begin):
+        begin = begin[cells.may_hold(mixed(hashed, begin, size))]
+    return begin
+
+
+def cell_counts(size: int, count: int, least: int, shorter: Broadcast | None):
+    """The work of one task: how often a phrase's hash falls into each cell, up to ``least``, in blocks of cells."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, words = Bitmap(shorter.value) if shorter else None, Vocabulary()
+        held = np.zeros(count, np.uint8)
+        limit = min(least, 255)
+        for frame in frames:
+            for lang, ids, named in zip(frame["lang"], frame["ids"], frame["words"], strict=True):
+                ids = words.ids(lang, ids, named)
+                hashed = words.hashed[ids]
+                begin = places(ids, size, hashed, known, None)
+                at, n = np.unique(mixed(hashed, begin, size) & np.uint64(count - 1), return_counts=True)
+                held[at] = np.minimum(held[at] + n, limit)
+                if len(words.names) > TASK_WORDS:
+                    words = Vocabulary()
+        for block in range(0, count, CELL_BLOCK):
+            part = held[block : block + CELL_BLOCK]
+            at = np.flatnonzero(part)
+            if len(at):
+                dense = len(at) * 5 >= len(part)
+                yield pd.DataFrame({"block": [block // CELL_BLOCK], "at": [b"" if dense else at.astype("<u4").tobytes()], "n": [(part if dense else part[at]).tobytes()]})
+
+    return run
+
+
+def full_cells(size: int, least: int):
+    """Blocks of cells, those of a block in a row, to bits of the cells that hold ``least`` in all (255, if that is less)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, total = None, np.zeros(size, np.int64)
+        limit = min(least, 255)
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"block": [block], "bits": [np.packbits(total >= limit, bitorder="little").tobytes()]})
+
+        for frame in frames:
+            for found, at, n in zip(frame["block"], frame["at"], frame["n"], strict=True):
+                if found != block:
+                    if block is not None:
+                        yield done()
+                    block, total = found, np.zeros(size, np.int64)
+                n = np.frombuffer(n, np.uint8)
+                if at:
+                    total[np.frombuffer(at, "<u4")] += n
+                else:
+                    total += n
+        if block is not None:
+            yield done()
+
+    return run
+
+
+def cells_of(tokens: DataFrame, size: int, least: int, chars: int, shorter: Broadcast | None) -> Broadcast:
+    """Bits of the cells that may hold a frequent phrase.  Cells follow the length of all texts up to a bound (16 MB of bits)."""
+    count = CELL_BLOCK
+    while count < min(chars // CHARS_PER_CELL, MAX_CELLS):
+        count *= 2
+    each = tokens.mapInPandas(cell_counts(size, count, least, shorter), "block long, at binary, n binary")
+    each = each.repartition("block").sortWithinPartitions("block")
+    data = bytearray(count >> 3)
+    for row in each.mapInPandas(full_cells(CELL_BLOCK, least), "block long, bits binary").toLocalIterator():
+        begin = row["block"] * CELL_BLOCK >> 3
+        data[begin : begin + len(row["bits"])] = row["bits"]
+    return tokens.sparkSession.sparkContext.broadcast(bytes(data))
 
 
 def distinct(ids: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,25 +268,25 @@ def distinct(ids: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray,
     return ids[sample[:, None] + np.arange(size)].astype("<i4"), counts
 
 
-def counted(size: int, bitmap: Broadcast | None):
-    """The work of one task: texts to runs of counted phrases of ``size`` words."""
+def counted(size: int, shorter: Broadcast | None, cells: Broadcast | None):
+    """The work of one task: tokens to runs of counted phrases of ``size`` words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Bitmap(bitmap.value) if bitmap else None
+        bitmaps = [Bitmap(b.value) if b else None for b in (shorter, cells)]
         words, trie = Vocabulary(), HatTrie(min(size, 2))
-        for frame in batches(frames, BATCH_ROWS, BATCH_CHARS):
-            ids = np.concatenate([words.ids(lang, text) for lang, text in zip(frame["lang"], frame["text"], strict=True)])
-            hashed = words.word_hashes(ids)
-            begin = places(ids, size, hashed, known)
-            if len(begin):
-                rows, counts = distinct(ids, begin, size)
-                keys = np.ascontiguousarray(rows).view(f"V{4 * size}").ravel().tolist()
-                trie.add(keys, counts.tolist())
-            if len(words.names) > TASK_WORDS:
-                yield from runs(trie, 0, size, words)
-                words = Vocabulary()
-            elif trie.entries > TRIE_ENTRIES:
-                yield from runs(trie, TRIE_ENTRIES // 2, size, words)
+        for frame in frames:
+            for lang, ids, named in zip(frame["lang"], frame["ids"], frame["words"], strict=True):
+                ids = words.ids(lang, ids, named)
+                begin = places(ids, size, words.hashed[ids], *bitmaps)
+                if len(begin):
+                    rows, counts = distinct(ids, begin, size)
+                    keys = np.ascontiguousarray(rows).view(f"V{4 * size}").ravel().tolist()
+                    trie.add(keys, counts.tolist())
+                if len(words.names) > TASK_WORDS:
+                    yield from runs(trie, 0, size, words)
+                    words = Vocabulary()
+                elif trie.entries > TRIE_ENTRIES:
+                    yield from runs(trie, TRIE_ENTRIES // 2, size, words)
         yield from runs(trie, 0, size, words)
 
     return run
@@ -227,15 +318,15 @@ def sorted_run(keys: list[bytes], counts: list[int], size: int, words: Vocabular
             "head": [b" ".join(each[i : i + min(size, 2)]).decode() for i in range(0, len(each), size)],
             "tail": [b" ".join(each[i + 2 : i + size]).decode() for i in range(0, len(each), size)],
             "n": np.array(counts, np.int64),
-            "hash": mixed(words.word_hashes(ids), np.arange(len(keys)) * size, size).view(np.int64),
+            "hash": mixed(words.hashed[ids], np.arange(len(keys)) * size, size).view(np.int64),
         }
     )
     return run.sort_values(["lang", "head", "tail"])
 
 
-def phrase_counts(texts: DataFrame, size: int, bitmap: Broadcast | None) -> DataFrame:
-    """(lang, phrase, n, hash) of the phrases of ``size`` words; runs meet in the partition of their prefix."""
-    each = texts.mapInPandas(counted(size, bitmap), COUNTED).repartition("lang", "head")
+def phrase_counts(tokens: DataFrame, size: int, shorter: Broadcast | None, cells: Broadcast | None) -> DataFrame:
+    """(lang, phrase, n, hash) of the phrases of ``size`` words that pass both bitmaps; runs meet in the partition of their prefix."""
+    each = tokens.mapInPandas(counted(size, shorter, cells), COUNTED).repartition("lang", "head")
     total = each.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
     tail = F.when(F.col("tail") == "", F.col("head")).otherwise(F.concat_ws(" ", "head", "tail"))
     return total.select("lang", tail.alias("phrase"), "n", "hash")
@@ -259,17 +350,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """(lang, phrase, size, a) of all phrases of up to ``longest`` words that occur ``least`` times, and (lang, n) of all words."""
     lang = F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE))
     texts = spread(docs.where("text is not null").select(lang.alias("lang"), "text"))
-    words = materialize(phrase_counts(texts, 1, None), "words")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-    levels = [words.where(F.col("n") >= least)]
-    for size in range(2, longest + 1):
+    tokens = materialize(texts.mapInPandas(tokenized, TOKENS), "tokens")
+    totals = materialize(tokens.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
+    chars = 6 * (totals.agg(F.sum("n")).first()[0] or 0)
+    levels: list[DataFrame] = []
+    shorter = None
+    for size in range(1, longest + 1):
+        cells = cells_of(tokens, size, least, chars, shorter) if size < 3 else None
+        found = phrase_counts(tokens, size, shorter, cells).where(F.col("n") >= least)
+        levels.append(materialize(found, f"phrases-{size}"))
+        for bitmap in filter(None, (shorter, cells)):
+            bitmap.unpersist()
         count = levels[-1].count()
         if not count:
             break
-        bitmap = bitmap_of(levels[-1], count)
-        found = phrase_counts(texts, size, bitmap).where(F.col("n") >= least)
-        levels.append(materialize(found, f"phrases-{size}"))
-        bitmap.unpersist()
+        shorter = bitmap_of(levels[-1], count)
     out = None
     for i, level in enumerate(levels, 1):
         level = level.select("lang", "phrase", F.lit(i).alias("size"), F.col("n").alias("a"))
