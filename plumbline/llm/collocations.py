@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ class Numbers(dict):
         return number
 
 
-TOKENS = "lang string, ids binary, words binary, n long"
+TOKENS = "lang string, ids binary, n_ids long, words binary, n_bytes long, n long"
+CODEC = "zstd"
 
 
 def tokenized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,30 +74,45 @@ def tokenized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = ids[ids >= 0]
             if numbers.words:
                 ids = ids[(ids > 0) | (np.append(1, ids[:-1]) > 0)]  # one break in a row is enough
-                yield pd.DataFrame({"lang": [lang], "ids": [ids.tobytes()], "words": [BREAK.join(numbers.words)], "n": [int((ids > 0).sum())]})
+                named = BREAK.join(numbers.words)
+                packed = [pa.compress(part, CODEC, asbytes=True) for part in (ids.tobytes(), named)]
+                row = (lang, packed[0], len(ids), packed[1], len(named), int((ids > 0).sum()))
+                yield pd.DataFrame([row], columns=[c.split()[0] for c in TOKENS.split(", ")])
+
+
+def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
+    """(language, word numbers with a break at the end, words by their numbers, hash at each place) of written tokens."""
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            ids = np.append(np.frombuffer(pa.decompress(row.ids, 4 * row.n_ids, CODEC), np.int32), 0).astype(np.int64)
+            words = [BREAK, *bytes(pa.decompress(row.words, row.n_bytes, CODEC)).split(BREAK)]
+            prefix = row.lang.encode() + BREAK
+            yield row.lang, ids, words, hashes([prefix + word for word in words])[ids]
 
 
 class Vocabulary:
-    """A task's own numbers for the words of each language, and their hashes."""
+    """A task's own numbers for the words of phrases that may be frequent, in each language."""
 
     def __init__(self):
-        self.by_lang: dict[str, Numbers] = {}
-        self.names: list[tuple[str, bytes]] = [("", BREAK)]
-        self.hashed = np.zeros(1, np.uint64)
+        self.by_lang: dict[str, dict[bytes, int]] = {}
+        self.names: list[tuple[str, bytes]] = []
 
-    def ids(self, lang: str, ids: bytes, words: bytes) -> np.ndarray:
-        """The task's numbers for a row of tokens, with a break at the end."""
+    def renumbered(self, lang: str, rows: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Phrases given by a row's word numbers, by the task's."""
         known = self.by_lang.setdefault(lang, {})
-        each = words.split(BREAK)
-        own = [known.get(word, 0) for word in each]
-        for i, number in enumerate(own):
-            if not number:
-                own[i] = known[each[i]] = len(self.names)
-                self.names.append((lang, each[i]))
-        fresh = self.names[len(self.hashed) :]
-        if fresh:
-            self.hashed = np.concatenate([self.hashed, hashes([name.encode() + BREAK + word for name, word in fresh])])
-        return np.array([0, *own], np.int64)[np.append(np.frombuffer(ids, np.int32), 0)]
+        used, at = np.unique(rows, return_inverse=True)
+        own = np.empty(len(used), "<i4")
+        for i, number in enumerate(used.tolist()):
+            word = words[number]
+            if word not in known:
+                known[word] = len(self.names)
+                self.names.append((lang, word))
+            own[i] = known[word]
+        return own[at.reshape(rows.shape)]
+
+    def word_hashes(self, ids: np.ndarray) -> np.ndarray:
+        used, at = np.unique(ids, return_inverse=True)
+        return hashes([self.names[i][0].encode() + BREAK + self.names[i][1] for i in used.tolist()])[at]
 
 
 class Node(dict):
@@ -193,18 +210,13 @@ def cell_counts(size: int, count: int, least: int, shorter: Broadcast | None):
     """The work of one task: how often a phrase's hash falls into each cell, up to ``least``, in blocks of cells."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, words = Bitmap(shorter.value) if shorter else None, Vocabulary()
+        known = Bitmap(shorter.value) if shorter else None
         held = np.zeros(count, np.uint8)
         limit = min(least, 255)
-        for frame in frames:
-            for lang, ids, named in zip(frame["lang"], frame["ids"], frame["words"], strict=True):
-                ids = words.ids(lang, ids, named)
-                hashed = words.hashed[ids]
-                begin = places(ids, size, hashed, known, None)
-                at, n = np.unique(mixed(hashed, begin, size) & np.uint64(count - 1), return_counts=True)
-                held[at] = np.minimum(held[at] + n, limit)
-                if len(words.names) > TASK_WORDS:
-                    words = Vocabulary()
+        for _, ids, _, hashed in rows_of(frames):
+            begin = places(ids, size, hashed, known, None)
+            at, n = np.unique(mixed(hashed, begin, size) & np.uint64(count - 1), return_counts=True)
+            held[at] = np.minimum(held[at] + n, limit)
         for block in range(0, count, CELL_BLOCK):
             part = held[block : block + CELL_BLOCK]
             at = np.flatnonzero(part)
@@ -257,7 +269,7 @@ def cells_of(tokens: DataFrame, size: int, least: int, chars: int, shorter: Broa
 
 
 def distinct(ids: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word ids of each distinct phrase, its count) among those that begin at the given places."""
+    """(word numbers of each distinct phrase, its count) among those that begin at the given places."""
     code = ids[begin]
     for i in range(1, size):
         code = pd.factorize(code)[0].astype(np.int64) << 32 | ids[begin + i]
@@ -265,7 +277,7 @@ def distinct(ids: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray,
     counts = np.bincount(code)
     sample = np.empty(len(counts), np.int64)
     sample[code[::-1]] = begin[::-1]
-    return ids[sample[:, None] + np.arange(size)].astype("<i4"), counts
+    return ids[sample[:, None] + np.arange(size)], counts
 
 
 def counted(size: int, shorter: Broadcast | None, cells: Broadcast | None):
@@ -273,21 +285,19 @@ def counted(size: int, shorter: Broadcast | None, cells: Broadcast | None):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmaps = [Bitmap(b.value) if b else None for b in (shorter, cells)]
-        words, trie = Vocabulary(), HatTrie(min(size, 2))
-        for frame in frames:
-            for lang, ids, named in zip(frame["lang"], frame["ids"], frame["words"], strict=True):
-                ids = words.ids(lang, ids, named)
-                begin = places(ids, size, words.hashed[ids], *bitmaps)
-                if len(begin):
-                    rows, counts = distinct(ids, begin, size)
-                    keys = np.ascontiguousarray(rows).view(f"V{4 * size}").ravel().tolist()
-                    trie.add(keys, counts.tolist())
-                if len(words.names) > TASK_WORDS:
-                    yield from runs(trie, 0, size, words)
-                    words = Vocabulary()
-                elif trie.entries > TRIE_ENTRIES:
-                    yield from runs(trie, TRIE_ENTRIES // 2, size, words)
-        yield from runs(trie, 0, size, words)
+        known, trie = Vocabulary(), HatTrie(min(size, 2))
+        for lang, ids, words, hashed in rows_of(frames):
+            begin = places(ids, size, hashed, *bitmaps)
+            if len(begin):
+                rows, counts = distinct(ids, begin, size)
+                rows = known.renumbered(lang, rows, words)
+                trie.add(np.ascontiguousarray(rows).view(f"V{4 * size}").ravel().tolist(), counts.tolist())
+            if len(known.names) > TASK_WORDS:
+                yield from runs(trie, 0, size, known)
+                known = Vocabulary()
+            elif trie.entries > TRIE_ENTRIES:
+                yield from runs(trie, TRIE_ENTRIES // 2, size, known)
+        yield from runs(trie, 0, size, known)
 
     return run
 
@@ -318,7 +328,7 @@ def sorted_run(keys: list[bytes], counts: list[int], size: int, words: Vocabular
             "head": [b" ".join(each[i : i + min(size, 2)]).decode() for i in range(0, len(each), size)],
             "tail": [b" ".join(each[i + 2 : i + size]).decode() for i in range(0, len(each), size)],
             "n": np.array(counts, np.int64),
-            "hash": mixed(words.hashed[ids], np.arange(len(keys)) * size, size).view(np.int64),
+            "hash": mixed(words.word_hashes(ids), np.arange(len(keys)) * size, size).view(np.int64),
         }
     )
     return run.sort_values(["lang", "head", "tail"])
