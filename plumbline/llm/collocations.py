@@ -2,9 +2,9 @@
 
 Texts are cut into words once and written as word numbers with the words they stand for, block by block.  Phrases are
 then counted length by length.  A phrase can be frequent only if both phrases one word shorter are, so each pass counts
-just the places where a bitmap holds both; its size follows the number of frequent phrases up to a fixed bound.  Words
-and pairs, most of which are rare, pass a second bitmap first: hashes counted in cells, summed over all tasks, of which only
-the full ones matter.  What passes a bitmap wrongly is counted in vain and then found to be rare.
+just the places where a bitmap holds both; its size follows the number of frequent phrases up to a fixed bound.  Up to three
+words, where most candidates are rare, phrases pass a second bitmap first: hashes counted in cells, summed over all tasks,
+of which only the full ones matter.  What passes a bitmap wrongly is counted in vain and then found to be rare.
 
 A task counts in a HAT-trie: hash containers of word-id strings hang below a trie of the first words, and one that
 grows too large bursts into one container for each next word.  When the trie is full, whole subtrees are spilled, the largest
@@ -40,6 +40,7 @@ MAX_BITS = 1 << 29
 CHARS_PER_CELL = 32
 MAX_CELLS = 1 << 27
 CELL_BLOCK = 1 << 18
+CELLED = 3  # phrases up to this length pass the cells
 NO_LANGUAGE = "und"
 
 BREAK = b"\n"
@@ -366,7 +367,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     levels: list[DataFrame] = []
     shorter = None
     for size in range(1, longest + 1):
-        cells = cells_of(tokens, size, least, chars, shorter) if size < 3 else None
+        cells = cells_of(tokens, size, least, chars, shorter) if size <= CELLED else None
         found = phrase_counts(tokens, size, shorter, cells).where(F.col("n") >= least)
         levels.append(materialize(found, f"phrases-{size}"))
         for bitmap in filter(None, (shorter, cells)):
