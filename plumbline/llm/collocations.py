@@ -8,13 +8,17 @@ of which only the full ones matter.  What passes a bitmap wrongly is counted in
 
 A task counts in a HAT-trie: hash containers of word-id strings hang below a trie of the first words, and one that
 grows too large bursts into one container for each next word.  When the trie is full, whole subtrees are spilled, the largest
-first, as runs in the order of their phrases.  Runs go to the partition of their prefix (the first two words), where
-the counts of a phrase are added up.
+first, as sorted runs: one compressed cell for each prefix partition (a hash of the language and the first two words).  Runs
+meet there and are merged, and only frequent phrases become rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,8 @@ MAX_BITS = 1 << 29
 CHARS_PER_CELL = 32
 MAX_CELLS = 1 << 27
 CELL_BLOCK = 1 << 18
+LEAST_PARTS = 256
+CHARS_PER_PART = 4_000_000
 CELLED = 3  # phrases up to this length pass the cells
 NO_LANGUAGE = "und"
 
@@ -111,10 +117,6 @@ class Vocabulary:
             own[i] = known[word]
         return own[at.reshape(rows.shape)]
 
-    def word_hashes(self, ids: np.ndarray) -> np.ndarray:
-        used, at = np.unique(ids, return_inverse=True)
-        return hashes([self.names[i][0].encode() + BREAK + self.names[i][1] for i in used.tolist()])[at]
-
 
 class Node(dict):
     """Subtrees by the next word of a phrase: containers (plain dicts from the rest of a phrase to its count) or nodes."""
@@ -281,7 +283,7 @@ def distinct(ids: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray,
     return ids[sample[:, None] + np.arange(size)], counts
 
 
-def counted(size: int, shorter: Broadcast | None, cells: Broadcast | None):
+def counted(size: int, parts: int, shorter: Broadcast | None, cells: Broadcast | None):
     """The work of one task: tokens to runs of counted phrases of ``size`` words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,53 +296,85 @@ def counted(size: int, shorter: Broadcast | None, cells: Broadcast | None):
                 rows = known.renumbered(lang, rows, words)
                 trie.add(np.ascontiguousarray(rows).view(f"V{4 * size}").ravel().tolist(), counts.tolist())
             if len(known.names) > TASK_WORDS:
-                yield from runs(trie, 0, size, known)
+                yield from runs(trie, 0, size, parts, known)
                 known = Vocabulary()
             elif trie.entries > TRIE_ENTRIES:
-                yield from runs(trie, TRIE_ENTRIES // 2, size, known)
-        yield from runs(trie, 0, size, known)
+                yield from runs(trie, TRIE_ENTRIES // 2, size, parts, known)
+        yield from runs(trie, 0, size, parts, known)
 
     return run
 
 
-COUNTED = "lang string, head string, tail string, n long, hash long"
+RUNS = "part long, phrases binary, n_bytes long, counts binary"
 
 
-def runs(trie: HatTrie, leave: int, size: int, words: Vocabulary) -> Iterator[pd.DataFrame]:
-    """Spilled subtrees, small ones together, as sorted runs of (language, prefix, rest, count, hash)."""
+def runs(trie: HatTrie, leave: int, size: int, parts: int, words: Vocabulary) -> Iterator[pd.DataFrame]:
+    """Spilled subtrees, small ones together, as sorted runs of phrases and counts, one row for each prefix partition."""
     keys, counts = [], []
     for more_keys, more_counts in trie.spill(leave):
         keys += more_keys
         counts += more_counts
         while len(keys) >= RUN_ROWS:
-            yield sorted_run(keys[:RUN_ROWS], counts[:RUN_ROWS], size, words)
+            yield sorted_runs(keys[:RUN_ROWS], counts[:RUN_ROWS], size, parts, words)
             del keys[:RUN_ROWS], counts[:RUN_ROWS]
     if keys:
-        yield sorted_run(keys, counts, size, words)
+        yield sorted_runs(keys, counts, size, parts, words)
+
+
+def sorted_runs(keys: list[bytes], counts: list[int], size: int, parts: int, words: Vocabulary) -> pd.DataFrame:
+    each = [words.names[i] for i in np.frombuffer(b"".join(keys), "<i4").tolist()]
+    entries = []
+    for at, n in zip(range(0, len(each), size), counts, strict=True):
+        prefix = each[at][0].encode().hex().encode() + BREAK + b" ".join([word for _, word in each[at : at + min(size, 2)]])
+        phrase = b" ".join([prefix, *[word for _, word in each[at + 2 : at + size]]])
+        entries.append((zlib.crc32(prefix) % parts, phrase, n))
+    entries.sort()
+    rows = []
+    for part, run in groupby(entries, itemgetter(0)):
+        _, phrases, numbers = zip(*run, strict=True)
+        joined = b"\v".join(phrases)  # a break, so in no word
+        rows.append((part, pa.compress(joined, CODEC, asbytes=True), len(joined), np.array(numbers, "<i8").tobytes()))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")])
+
+
+COUNTED = "lang string, phrase string, n long, hash long"
+
 
+def merged_runs(least: int):
+    """Runs, those of a prefix partition in a row, to the phrases that occur ``least`` times."""
 
-def sorted_run(keys: list[bytes], counts: list[int], size: int, words: Vocabulary) -> pd.DataFrame:
-    ids = np.frombuffer(b"".join(keys), "<i4").astype(np.int64)
-    name = words.names
-    each = [name[i][1] for i in ids.tolist()]
-    run = pd.DataFrame(
-        {
-            "lang": [name[i][0] for i in ids[::size].tolist()],
-            "head": [b" ".join(each[i : i + min(size, 2)]).decode() for i in range(0, len(each), size)],
-            "tail": [b" ".join(each[i + 2 : i + size]).decode() for i in range(0, len(each), size)],
-            "n": np.array(counts, np.int64),
-            "hash": mixed(words.word_hashes(ids), np.arange(len(keys)) * size, size).view(np.int64),
-        }
-    )
-    return run.sort_values(["lang", "head", "tail"])
+    def read(phrases: bytes, n_bytes: int, counts: bytes) -> Iterator[tuple[bytes, int]]:
+        return zip(bytes(pa.decompress(phrases, n_bytes, CODEC)).split(b"\v"), np.frombuffer(counts, "<i8").tolist(), strict=True)
+
+    def merged(held: list) -> pd.DataFrame:
+        totals = ((phrase, sum(n for _, n in same)) for phrase, same in groupby(heapq.merge(*[read(*run) for run in held]), itemgetter(0)))
+        split = ((*phrase.split(BREAK), n) for phrase, n in totals if n >= least)
+        frequent = [(bytes.fromhex(lang.decode()), phrase, n) for lang, phrase, n in split]
+        flat = [lang + BREAK + word for lang, phrase, _ in frequent for word in phrase.split(b" ")]
+        sizes = np.array([phrase.count(b" ") + 1 for _, phrase, _ in frequent], np.int64)
+        hashed = mixed(hashes(flat), np.cumsum(sizes) - sizes, int(sizes[0])) if frequent else np.zeros(0, np.uint64)
+        rows = [(lang.decode(), phrase.decode(), n) for lang, phrase, n in frequent]
+        return pd.DataFrame(rows, columns=["lang", "phrase", "n"]).assign(hash=hashed.view(np.int64))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = None, []
+        for frame in frames:
+            for found, *packed in frame.itertuples(index=False):
+                if found != part and held:
+                    yield merged(held)
+                    held = []
+                part = found
+                held.append(packed)
+        if held:
+            yield merged(held)
+
+    return run
 
 
-def phrase_counts(tokens: DataFrame, size: int, shorter: Broadcast | None, cells: Broadcast | None) -> DataFrame:
-    """(lang, phrase, n, hash) of the phrases of ``size`` words that pass both bitmaps; runs meet in the partition of their prefix."""
-    each = tokens.mapInPandas(counted(size, shorter, cells), COUNTED).repartition("lang", "head")
-    total = each.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
-    tail = F.when(F.col("tail") == "", F.col("head")).otherwise(F.concat_ws(" ", "head", "tail"))
-    return total.select("lang", tail.alias("phrase"), "n", "hash")
+def phrase_counts(tokens: DataFrame, size: int, least: int, parts: int, shorter: Broadcast | None, cells: Broadcast | None) -> DataFrame:
+    """(lang, phrase, n, hash) of the phrases of ``size`` words that occur ``least`` times and pass both bitmaps."""
+    each = tokens.mapInPandas(counted(size, parts, shorter, cells), RUNS)
+    return each.repartition("part").sortWithinPartitions("part").mapInPandas(merged_runs(least), COUNTED)
 
 
 def bitmap_of(frequent: DataFrame, count: int) -> Broadcast:
@@ -364,12 +398,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     tokens = materialize(texts.mapInPandas(tokenized, TOKENS), "tokens")
     totals = materialize(tokens.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     chars = 6 * (totals.agg(F.sum("n")).first()[0] or 0)
+    parts = max(LEAST_PARTS, chars // CHARS_PER_PART)
     levels: list[DataFrame] = []
     shorter = None
     for size in range(1, longest + 1):
         cells = cells_of(tokens, size, least, chars, shorter) if size <= CELLED else None
-        found = phrase_counts(tokens, size, shorter, cells).where(F.col("n") >= least)
-        levels.append(materialize(found, f"phrases-{size}"))
+        levels.append(materialize(phrase_counts(tokens, size, least, parts, shorter, cells), f"phrases-{size}"))
         for bitmap in filter(None, (shorter, cells)):
             bitmap.unpersist()
         count = levels[-1].count()

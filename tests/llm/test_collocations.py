@@ -53,6 +53,7 @@ ODD = [
     (8, "x\x00y \x1c z x\x00y \x1c z", "en", None),
     (9, "the cat sat on the mat " * 400, "en", None),
     (9, "the cat sat on the mat " * 400, "en", None),
+    (10, "odd names of languages, odd names", "x\n\x0b y", None),
 ]
 
 
@@ -60,7 +61,7 @@ ODD = [
 @pytest.mark.parametrize("least,top", [(2, 2000), (3, 5)])
 def test_against_plain_counting(spark, monkeypatch, least, top, small):
     if small:  # burst, spill and start over all the time
-        for name, value in (("BURST", 2), ("TRIE_ENTRIES", 6), ("TASK_WORDS", 9), ("RUN_ROWS", 3), ("BATCH_CHARS", 30), ("BITS_PER_PHRASE", 1), ("CELL_BLOCK", 8), ("CHARS_PER_CELL", 1000)):
+        for name, value in (("BURST", 2), ("TRIE_ENTRIES", 6), ("TASK_WORDS", 9), ("RUN_ROWS", 3), ("BATCH_CHARS", 30), ("BITS_PER_PHRASE", 1), ("CELL_BLOCK", 8), ("CHARS_PER_CELL", 1000), ("LEAST_PARTS", 3)):
             monkeypatch.setattr(collocations, name, value)
     found = collocations.collocations(frame(spark, ODD), least, 5, top)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
