@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
 import time
 
@@ -40,8 +41,8 @@ HEADLINES = (
     "tfidf_features",
     "lr_score",
     "holdout_eval",
-    "group_cv",
     "stream_label",
+    "group_cv",
 )
 
 
@@ -55,14 +56,25 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["label_report"](spark, sf_dir).count()  # start workers before the clock
     seconds = {}
+
+    def report(*_) -> None:
+        """The one line, also if the run is ended early: then over the queries that were done."""
+        line = {"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec"}
+        line |= {"queries": seconds, "sf": sf_dir.rstrip("/").split("/sf")[-1]}
+        if len(seconds) < len(names):
+            line["not_done"] = [n for n in names if n not in seconds]
+        print(json.dumps(line), flush=True)
+        if _:
+            os._exit(1)
+
+    signal.signal(signal.SIGTERM, report)
     for name in names:
         start = time.perf_counter()
         with workspace(spark):
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    total = round(sum(seconds.values()), 3)
-    line = {"metric": "headline_queries_total", "value": total, "unit": "sec"}
-    print(json.dumps({**line, "queries": seconds, "sf": sf_dir.rstrip("/").split("/sf")[-1]}))
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    report()
     spark.stop()
 
 

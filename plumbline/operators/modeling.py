@@ -1,8 +1,15 @@
-"""TF-IDF and logistic regression on Spark ML."""
+"""TF-IDF and logistic regression on Spark ML.
+
+N-grams that occur in the same rows with the same counts have equal columns.  Under an L2 penalty ``m`` equal columns can be
+replaced by one, ``sqrt(m)`` times as long: the best weights of the many are the weight of the one over ``sqrt(m)``, and
+loss and penalty are the same.  So fits see one column per pattern, which is a fraction of the vocabulary, and the
+weights are spread over the whole vocabulary afterwards; scoring uses every n-gram.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -11,7 +18,8 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -29,6 +37,7 @@ from plumbline.operators.features import META_FEATURES, add_meta_features
 from plumbline.operators.metrics import Pair, avg_report, fold_macro, label_report
 from plumbline.operators.sampling import class_weights
 from plumbline.operators.similarity import term_rows
+from plumbline.operators.solver import fit_together
 from plumbline.schemas import LABELS, SCORES
 from plumbline.session import materialize
 
@@ -37,12 +46,11 @@ CHAR_VOCABULARY = 300_000
 WORD_VOCABULARY = 200_000
 INVERSE_REGULARIZATION = 1.5
 MAX_ITERATIONS = 2_000
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5  # of the slope of the mean loss
 
-# Each task of the optimizer ships a gradient as long as the vocabulary, so a task should hold
-# at least this many rows.
-ROWS_PER_GRADIENT = 2_000
+# Fits of different folds run side by side.
 FITS_AT_ONCE = 4
+PATTERN = ("left", "right")
 
 
 def vocab_topk(df: DataFrame, grams: Column, k: int, min_df: int = 1) -> DataFrame:
@@ -51,9 +59,23 @@ def vocab_topk(df: DataFrame, grams: Column, k: int, min_df: int = 1) -> DataFra
     A histogram of counts (at most about a thousand bins) gives a cut that at least ``k`` terms
     reach, so the final ordering sees little more than ``k`` rows, not the whole vocabulary.
     """
-    totals = term_rows(df, grams).groupBy("term").agg(
-        F.sum("cnt").cast("long").alias("cnt"), F.count(F.lit(1)).alias("df")
-    )
+    return _topk(_totals(df, grams), k, min_df)
+
+
+def _totals(df: DataFrame, grams: Column, patterns: bool = False) -> DataFrame:
+    """Counts of each term, and on request ``left, right``: 128 bits that are equal for terms with equal columns.
+
+    A term's pattern is the exclusive or of hashes of its (row, count) pairs, so it is combined like any sum.
+    """
+    counts = [F.sum("cnt").cast("long").alias("cnt"), F.count(F.lit(1)).alias("df")]
+    if not patterns:
+        return term_rows(df, grams).groupBy("term").agg(*counts)
+    rows = term_rows(df.withColumn("_number", F.monotonically_increasing_id()), grams, "_number")
+    halves = [F.bit_xor(F.xxhash64("_number", "cnt", F.lit(i))).alias(c) for i, c in enumerate(PATTERN)]
+    return rows.groupBy("term").agg(*counts, *halves)
+
+
+def _topk(totals: DataFrame, k: int, min_df: int) -> DataFrame:
     totals = materialize(totals.filter(F.col("df") >= min_df), "vocabulary")
     level = F.floor(F.log2("cnt") * 16)
     bins = totals.groupBy(level.alias("level")).agg(
@@ -75,23 +97,45 @@ def add_grams(df: DataFrame) -> DataFrame:
     )
 
 
-def _fit_block(
-    df: DataFrame, grams: str, out: str, vocabulary: int, min_df: int, n_docs: int
-) -> list[Transformer]:
-    """Counts, smooth idf and unit length for one kind of n-gram, fitted in one pass.
+@dataclass
+class Block:
+    """One kind of n-gram: terms with their idf, and which terms have equal columns in the fitted rows."""
 
-    The vocabulary query yields document frequencies too, so idf needs no pass of its own.  What
-    reaches the driver is at most ``vocabulary`` terms.
-    """
-    top = vocab_topk(df, F.col(grams), vocabulary, min_df).collect()
-    if not top:
-        raise ValueError(f"no term occurs in {min_df} or more rows")
-    counter = _counter([r["term"] for r in top]).setInputCol(grams).setOutputCol(f"{out}_tf")
-    idf = np.log((n_docs + 1.0) / (np.array([r["df"] for r in top]) + 1.0)) + 1.0
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf), inputCol=f"{out}_tf", outputCol=f"{out}_raw"
-    )
-    return [counter, scale, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)]
+    grams: str
+    out: str
+    terms: list[str]
+    idf: np.ndarray
+    group: np.ndarray  # number of each term's column among the distinct ones
+
+    @classmethod
+    def fit(cls, df: DataFrame, grams: str, out: str, vocabulary: int, min_df: int, n_docs: int) -> "Block":
+        """Vocabulary, idf and patterns in one pass.  What reaches the driver is at most ``vocabulary`` terms."""
+        top = _topk(_totals(df, F.col(grams), patterns=True), vocabulary, min_df).toPandas()
+        if not len(top):
+            raise ValueError(f"no term occurs in {min_df} or more rows")
+        idf = np.log((n_docs + 1.0) / (top["df"].to_numpy(float) + 1.0)) + 1.0
+        group = top.groupby([*PATTERN, "df", "cnt"], sort=False).ngroup().to_numpy()
+        return cls(grams, out, top["term"].tolist(), idf, group)
+
+    def stages(self) -> list[Transformer]:
+        """Counts, smooth idf and unit length over all terms."""
+        return self._stages(self.terms, self.idf)
+
+    def collapsed_stages(self) -> list[Transformer]:
+        """The same over one term per distinct column, each as long as its equals together; lengths of rows stay."""
+        first = np.unique(self.group, return_index=True)[1]
+        return self._stages([self.terms[i] for i in first], self.idf[first] * np.sqrt(np.bincount(self.group)))
+
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of all terms from those of the distinct columns."""
+        return (weights / np.sqrt(np.bincount(self.group)))[self.group]
+
+    def _stages(self, terms: list[str], scale: np.ndarray) -> list[Transformer]:
+        counter = _counter(terms).setInputCol(self.grams).setOutputCol(f"{self.out}_tf")
+        scaled = ElementwiseProduct(
+            scalingVec=Vectors.dense(scale), inputCol=f"{self.out}_tf", outputCol=f"{self.out}_raw"
+        )
+        return [counter, scaled, Normalizer(p=2.0, inputCol=f"{self.out}_raw", outputCol=self.out)]
 
 
 def _counter(terms: list[str]) -> CountVectorizerModel:
@@ -107,18 +151,28 @@ def _counter(terms: list[str]) -> CountVectorizerModel:
     )
 
 
-def fit_tfidf(
+def fit_blocks(
     df: DataFrame,
     min_df: int = 1,
     char_vocabulary: int = CHAR_VOCABULARY,
     word_vocabulary: int = WORD_VOCABULARY,
-) -> PipelineModel:
-    """Vectorizer for rows with ``_char_grams`` and ``_word_grams``; its output is ``tfidf``."""
+) -> list[Block]:
+    """Both kinds of n-gram of rows with ``_char_grams`` and ``_word_grams``."""
     n_docs = df.count()
-    char = _fit_block(df, "_char_grams", "_char", char_vocabulary, min_df, n_docs)
-    word = _fit_block(df, "_word_grams", "_word", word_vocabulary, min_df, n_docs)
-    join = VectorAssembler(inputCols=["_char", "_word"], outputCol="tfidf")
-    return PipelineModel([*char, *word, join])
+    char = Block.fit(df, "_char_grams", "_char", char_vocabulary, min_df, n_docs)
+    word = Block.fit(df, "_word_grams", "_word", word_vocabulary, min_df, n_docs)
+    return [char, word]
+
+
+def vectorizer(blocks: Sequence[Block], collapsed: bool = False) -> PipelineModel:
+    """N-grams to ``tfidf``, over the whole vocabulary or over its distinct columns."""
+    stages = [s for b in blocks for s in (b.collapsed_stages() if collapsed else b.stages())]
+    return PipelineModel([*stages, VectorAssembler(inputCols=[b.out for b in blocks], outputCol="tfidf")])
+
+
+def fit_tfidf(df: DataFrame, min_df: int = 1, **vocabularies: int) -> PipelineModel:
+    """Vectorizer for rows with ``_char_grams`` and ``_word_grams``; its output is ``tfidf``."""
+    return vectorizer(fit_blocks(df, min_df, **vocabularies))
 
 
 def apply_stages(df: DataFrame, stages: Sequence[Transformer], sizes: Mapping[str, int]) -> DataFrame:
@@ -166,35 +220,49 @@ def scale_features(df: DataFrame, scales: Mapping[str, float]) -> DataFrame:
 
 def fit_lr(
     df: DataFrame,
-    label: str,
+    labels: Sequence[str],
     features: str,
+    size: int,
+    dense: int = 0,
     c: float = INVERSE_REGULARIZATION,
     max_iter: int = MAX_ITERATIONS,
     tol: float = TOLERANCE,
-) -> LogisticRegressionModel:
-    """Class-balanced logistic regression for one label.
+) -> np.ndarray:
+    """Class-balanced logistic regressions, a row of weights and intercept per label.
 
-    ``c`` multiplies a sum of losses; Spark averages it, so its penalty is ``1 / (c * n)``.
+    ``c`` multiplies a sum of losses; here losses are averaged, so the penalty is ``1 / (c * n)``.  A label of which
+    only one class occurs has no finite optimum: its weights are 0 and its intercept is infinite.  The last ``dense`` of ``size``
+    columns are those that most rows have.
     """
-    weights = class_weights(df, [label]).first()
-    weight = F.when(F.col(label) == 1, weights["weight_1"] or 1.0).otherwise(
-        weights["weight_0"] or 1.0
-    )
-    weighted = df.select(
-        F.col(features), F.col(label).cast("double").alias(label), weight.alias("_weight")
+    n = max(df.count(), 1)
+    found = {r["label"]: r for r in class_weights(df, labels).collect()}
+    cost = np.array([[found[x]["weight_0"] or 0.0, found[x]["weight_1"] or 0.0] for x in labels])
+    both = [i for i in range(len(labels)) if cost[i].all()]
+    out = np.zeros((len(labels), size + 1))
+    out[:, -1] = np.where(cost[:, 1] > 0, np.inf, -np.inf)
+    if both:
+        chosen = [labels[i] for i in both]
+        out[both] = fit_together(df, features, chosen, size, dense, cost[both], 1.0 / (c * n), max_iter, tol)
+    return out
+
+
+def spread_weights(fitted: np.ndarray, blocks: Sequence[Block]) -> np.ndarray:
+    """Weights over whole vocabularies that weights over distinct columns stand for."""
+    parts = []
+    for block in blocks:
+        n = int(block.group.max()) + 1
+        parts.append(block.spread(fitted[:n]))
+        fitted = fitted[n:]
+    return np.concatenate([*parts, fitted])
+
+
+def classifier(fitted: np.ndarray) -> LogisticRegressionModel:
+    """Spark ML's model with the given weights and, last, intercept."""
+    context = SparkContext._active_spark_context
+    java = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"lr_{uuid.uuid4().hex[:12]}", _py2java(context, Vectors.dense(fitted[:-1])), float(fitted[-1])
     )
-    n = df.count()
-    weighted = weighted.coalesce(1 + n // ROWS_PER_GRADIENT)
-    return LogisticRegression(
-        featuresCol=features,
-        labelCol=label,
-        weightCol="_weight",
-        regParam=1.0 / (c * max(n, 1)),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(weighted)
+    return LogisticRegressionModel(java)
 
 
 @dataclass
@@ -277,20 +345,23 @@ def train_scorer(
     tol: float = TOLERANCE,
     char_vocabulary: int = CHAR_VOCABULARY,
     word_vocabulary: int = WORD_VOCABULARY,
+    collapse: bool = True,
 ) -> ReviewScorer:
-    """Fit the vectorizer, then one independent classifier per label (labels may coincide)."""
+    """Fit the vectorizer, then one independent classifier per label (labels may coincide).
+
+    ``collapse=False`` fits over all n-grams, equal columns included; the optimum is the same.
+    """
     rows = add_grams(add_keep(df) if with_meta else df)
     meta = [f"_meta_{c}" for c in META_FEATURES] if with_meta else []
-    tfidf = fit_tfidf(rows, min_df, char_vocabulary, word_vocabulary)
+    blocks = fit_blocks(rows, min_df, char_vocabulary, word_vocabulary)
     scales = column_scales(rows, meta) if with_meta else {}
-    scorer = ReviewScorer(tfidf, {}, scales)
-    # Written, not cached: every step of the optimizer is a job that ships its whole lineage.
-    vectors = materialize(scorer.vectorize(rows).select(scorer.features, *labels), "vectors")
-
-    def fit(label: str) -> LogisticRegressionModel:
-        return fit_lr(vectors, label, scorer.features, max_iter=max_iter, tol=tol)
-
-    scorer.classifiers.update(zip(labels, _at_once(df.sparkSession, fit, labels)))
+    scorer = ReviewScorer(vectorizer(blocks), {}, scales)
+    fitted = ReviewScorer(vectorizer(blocks, collapsed=True), {}, scales) if collapse else scorer
+    vectors = materialize(fitted.vectorize(rows).select(scorer.features, *labels), "vectors")
+    size = sum(int(b.group.max()) + 1 if collapse else len(b.terms) for b in blocks) + len(scales)
+    weights = fit_lr(vectors, labels, scorer.features, size, len(scales), max_iter=max_iter, tol=tol)
+    for label, fit in zip(labels, weights, strict=True):
+        scorer.classifiers[label] = classifier(spread_weights(fit, blocks) if collapse else fit)
     return scorer
 
 

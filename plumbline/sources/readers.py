@@ -13,6 +13,8 @@ from plumbline.functions.text import blank, strip
 from plumbline.operators.clean import ensure_columns
 from plumbline.schemas import LABELED_SCHEMA, TEXT_COLUMNS
 
+BROKEN = "_broken_record"
+
 
 def read_csv_cells(
     spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False
@@ -20,10 +22,21 @@ def read_csv_cells(
     """All columns of the header as strings.
 
     Files must have one header; ``union_shards`` reads files with different ones.  ``multi_line`` also
-    reads line breaks inside quotes, at the price of one task per file; without it large files are split.
+    reads line breaks inside quotes, at the price of one task per file; without it large files are split, and a
+    record that does not have a cell for every column, as a quoted line break leaves it, is an error.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    return reader.option("multiLine", multi_line).csv(paths)
+    cells = reader.option("multiLine", multi_line).csv(paths)
+    if multi_line or not cells.columns:
+        return cells
+    fields = [T.StructField(c, T.StringType()) for c in (*cells.columns, BROKEN)]
+    checked = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", BROKEN)
+    checked = checked.option("columnPruning", False).csv(paths)
+    # The first cell is named because Spark refuses queries that touch nothing but the broken record.
+    first = F.coalesce(F.substring(F.col(f"`{cells.columns[0]}`"), 1, 50), F.lit(""))
+    message = F.concat_ws(" ", F.lit("broken CSV record, try multi_line=True:"), first, F.lit("in"), F.substring(BROKEN, 1, 200))
+    whole = F.when(F.col(BROKEN).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return checked.filter(whole).drop(BROKEN)
 
 
 def scan_reviews(

@@ -1,9 +1,11 @@
 import os
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from plumbline.operators import features, modeling, rules
+from plumbline.operators import features, metrics, modeling, rules
 from plumbline.schemas import SCORES
 from plumbline.session import shared_dir, workspace
 
@@ -38,6 +40,52 @@ def test_grouped_cv(labeled):
     assert macro.first()["recall"] > 0.5
 
 
+def plain_fit(x, y, c=modeling.INVERSE_REGULARIZATION):
+    """Newton's method on the class-balanced objective."""
+    n = len(y)
+    cost = np.where(y > 0, n / (2 * max(y.sum(), 1)), n / (2 * max((1 - y).sum(), 1)))
+    z = np.hstack([x, np.ones((n, 1))])
+    ridge = np.diag([*[1 / c] * x.shape[1], 0.0])
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (cost * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (cost * (p - y)) + ridge @ w)
+    return 1 / (1 + np.exp(-z @ w))
+
+
+@pytest.mark.parametrize("with_meta", [False, True])
+def test_fits_reach_the_optimum_with_and_without_collapsed_columns(labeled, with_meta):
+    labels = ("label_ads", "label_irrelevant", "label_rant_no_visit")
+    options = dict(labels=labels, min_df=2, with_meta=with_meta, tol=1e-8)
+    scorer = modeling.train_scorer(labeled, **options)
+    plain = modeling.train_scorer(labeled, collapse=False, **options)
+    source = modeling.add_grams(modeling.add_keep(labeled))
+    rows = scorer.vectorize(source).select(*labels, vector_to_array(scorer.features).alias("x"), "review_id")
+    found = rows.toPandas().sort_values("review_id")
+    both = [s.score(labeled).toPandas().sort_values("review_id") for s in (scorer, plain)]
+    x = np.stack(found["x"])
+    assert len({x[:, j].tobytes() for j in range(x.shape[1])}) < x.shape[1] / 2  # there is something to collapse
+    for label, p in zip(labels, SCORES):
+        truth = plain_fit(x, found[label].to_numpy(float)) if label != "label_rant_no_visit" else np.zeros(len(x))
+        for scored in both:
+            assert np.abs(scored[p].to_numpy() - truth).max() < 1e-4
+
+
+def test_fold_reports_count_held_out_decisions(labeled):
+    """Each fold's report counts the decisions on its held-out rows."""
+    folds = labeled.withColumn("fold", (F.substring("business_id", 2, 1) >= "3").cast("int"))
+    decided, _ = modeling.group_cv(folds, 2, labels=("label_ads", "label_irrelevant"))
+    pairs = [metrics.Pair(c, c, f"{c}_hat") for c in ("label_ads", "label_irrelevant")]
+    found = {(r.fold, r.label): (r.precision, r.recall, r.support) for r in metrics.label_report(decided, pairs, ["fold"]).collect()}
+    rows = decided.toPandas()
+    for (fold, label), (precision, recall, support) in found.items():
+        part = rows[rows["fold"] == fold]
+        hit, truth = part[f"{label}_hat"] == 1, part[label] == 1
+        assert support == truth.sum() and precision == pytest.approx((hit & truth).sum() / max(hit.sum(), 1))
+        assert recall == pytest.approx((hit & truth).sum() / truth.sum())
+        assert recall > 0.5
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

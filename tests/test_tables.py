@@ -173,3 +173,15 @@ def test_wide_lookup_rows_are_not_broadcast(spark):
 
     dim = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("biz_desc"))
     assert fits(dim) and not fits(dim, size=5_000) and not fits(dim, rows=5)
+
+
+def test_a_split_record_is_an_error(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('review_id,review_text,stars\na,"one line",3\nb,"two\nlines",4\n')
+    whole = readers.scan_typed(spark, str(path), multi_line=True)
+    assert sorted(r.review_text for r in whole.collect()) == ["one line", "two\nlines"]
+    for column in ("review_id", "stars"):  # also if only some columns are read
+        with pytest.raises(Exception, match="broken CSV record"):
+            readers.scan_typed(spark, str(path)).select(column).collect()
+    path.write_text('review_id,review_text,stars\na,"one, line",3\n')
+    assert readers.scan_typed(spark, str(path)).count() == 1

@@ -588,6 +588,17 @@ oracle("tfidf_features", f""", texts AS MATERIALIZED (
     FROM tally JOIN vocabulary USING (kind, term) GROUP BY review_id""", "reviews_v")
 ORACLES["tfidf_features"] = ORACLES["tfidf_features"].replace(") , texts AS", "), texts AS", 1)
 
+# Terms of two rows or more, and the scaled meta features behind them.
+_both = ORACLES["tfidf_features"].replace("GROUP BY kind, term)", "GROUP BY kind, term HAVING count(*) >= 2)")
+ORACLES["assemble_features"] = (
+    f"WITH t AS ({_both}), m AS MATERIALIZED ({_meta}), "
+    + "s AS (SELECT " + ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS {c}" for c in META) + " FROM m) "
+    + "SELECT review_id, CAST(coalesce(nonzero, 0) + "
+    + " + ".join(f"CAST(m.{c} <> 0 AS INTEGER)" for c in META)
+    + " AS INTEGER) AS nonzero, round(coalesce(squared_length, 0) + "
+    + " + ".join(f"power(m.{c} / s.{c}, 2)" for c in META)
+    + ", 6) AS squared_length FROM m CROSS JOIN s LEFT JOIN t USING (review_id)")
+
 # ---- ensemble -------------------------------------------------------------------------------
 
 oracle("threshold_decide", f"""
@@ -740,12 +751,12 @@ SUPPORT = " UNION ALL ".join(
     f"SELECT {{0}} 'label_{t}' AS label, CAST(sum(label_{t}) AS BIGINT) AS support, TRUE AS in_range FROM {{1}}"
     for t in TASKS)
 oracle("lr_one_vs_rest", " UNION ALL ".join(
-    f"SELECT 'label_{t}' AS label, count(*) AS n, CAST(sum(label_{t}) AS BIGINT) AS positives, TRUE AS balanced, FALSE AS out_of_range FROM truth_v"
+    f"SELECT 'label_{t}' AS label, count(*) AS n, CAST(sum(label_{t}) AS BIGINT) AS positives, 0.0::DOUBLE AS gap, FALSE AS out_of_range FROM truth_v"
     for t in TASKS), "truth_v")
-ORACLES["holdout_eval"] = (
+ORACLES["holdout_support"] = (
     "WITH s AS (" + ORACLES["stratified_split"] + f"), truth_v AS ({TRUTH}), t AS (SELECT truth_v.* FROM truth_v JOIN s USING (review_id) WHERE split = 'test') "
     + SUPPORT.format("", "t"))
-ORACLES["group_cv"] = (
+ORACLES["group_cv_support"] = (
     f"WITH f AS ({_folds}), truth_v AS ({TRUTH}), t AS (SELECT truth_v.*, fold FROM truth_v JOIN f USING (review_id)) "
     + " UNION ALL ".join(x + " GROUP BY fold" for x in SUPPORT.format("fold,", "t").split(" UNION ALL ")))
 
