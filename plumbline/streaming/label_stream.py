@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from plumbline.operators.lookup import lookup_join
 from plumbline.operators.rules import render_reasons, rules_label
 from plumbline.policy import DEFAULT_POLICY, Policy
+from plumbline.session import workspace
 
 BUSINESS_COLUMNS = ("biz_name", "biz_cats", "biz_desc")
 
@@ -53,3 +55,28 @@ def write_labels(labels: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     writer = labels.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+def label_batches(
+    reviews: DataFrame,
+    businesses: DataFrame,
+    path: str,
+    checkpoint: str,
+    policy: Policy = DEFAULT_POLICY,
+    keep: tuple[str, ...] = ("review_id", "business_id"),
+) -> StreamingQuery:
+    """Label arriving reviews batch by batch, with a lookup that splits hot businesses.
+
+    Each batch fills one folder ``batch=<id>`` of the table and overwrites it, so a batch that is run again after a
+    failure leaves the same rows once.
+    """
+    facts = businesses.select("business_id", *BUSINESS_COLUMNS)
+
+    def label(batch: DataFrame, number: int) -> None:
+        with workspace(batch.sparkSession):
+            joined = lookup_join(batch, facts, "business_id")
+            labels = label_stream(joined, policy=policy, keep=keep)
+            labels.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = reviews.writeStream.foreachBatch(label).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()

@@ -952,3 +952,18 @@ def stream_label(spark, sf):
     back = spark.read.schema(labels.schema).parquet(out)
     return rounded(back.select("review_id", *TASKS, "cosine_to_business", "reasons"),
                    "cosine_to_business")
+
+
+@query
+def stream_label_batches(spark, sf):
+    r = views.reviews(spark, sf)
+    arriving = r.select("review_id", "business_id", "review_text").repartition(32)
+    source = _stage(arriving, "parquet", "arriving")
+    businesses = materialize(
+        r.select("business_id", *stream.BUSINESS_COLUMNS).distinct(), "businesses")
+    reviews = stream.read_reviews(spark, source, arriving.schema, max_files=16)
+    out = fresh_path(spark, "labels")
+    stream.label_batches(reviews, businesses, out, fresh_path(spark, "stream-checkpoint")).awaitTermination()
+    back = spark.read.parquet(out)
+    return rounded(back.select("review_id", *TASKS, "cosine_to_business", "reasons"),
+                   "cosine_to_business")

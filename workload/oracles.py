@@ -782,3 +782,4 @@ oracle("prob_histogram", """
 oracle("stream_label", """
     SELECT review_id, ads, irrelevant, rant_no_visit, round(cosine, 6) AS cosine_to_business, reasons
     FROM rules_pair_v""", "rules_pair_v")
+ORACLES["stream_label_batches"] = ORACLES["stream_label"]
