@@ -28,14 +28,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
-def word_ngrams(text: Column) -> Column:
-    """All words, then all pairs of neighbours joined by a space."""
+def with_pairs(tokens: Column) -> Column:
+    """An array of words, then all pairs of neighbours joined by a space."""
+    pairs = F.zip_with(tokens, _rest(tokens), lambda a, b: F.concat(a, F.lit(" "), b))
+    # zip_with pads the shorter side with null, so the last pair is null.
+    return F.concat(tokens, F.array_compact(pairs))
 
-    def with_pairs(tokens: Column) -> Column:
-        pairs = F.zip_with(tokens, _rest(tokens), lambda a, b: F.concat(a, F.lit(" "), b))
-        # zip_with pads the shorter side with null, so the last pair is null.
-        return F.concat(tokens, F.array_compact(pairs))
 
+def word_ngrams(text: Column) -> Column:
+    """All words of a text, then all pairs of neighbours joined by a space."""
     return let(words(text), with_pairs)
 
 
@@ -96,8 +97,10 @@ def is_marked(term: Column) -> Column:
     return term.endswith(_MARK)
 
 
-def bare(term: Column) -> Column:
-    return F.when(is_marked(term), F.substring(term, F.lit(1), F.length(term) - 1)).otherwise(term)
+def right_count(terms: Column, counts: Column, i: Column) -> Column:
+    """Count of the same term in the right-hand text, for the bare term at position ``i``: the entry just behind."""
+    same = F.concat(F.get(terms, i), F.lit(_MARK)) == F.get(terms, i + 1)
+    return F.when(same, F.get(counts, i + 1)).otherwise(F.lit(0))
 
 
 def left_count(terms: Column, counts: Column, i: Column) -> Column:

@@ -26,18 +26,19 @@ def lookup_join(
     key: str,
     broadcast_rows: int = BROADCAST_ROWS,
     max_hot_keys: int = MAX_HOT_KEYS,
+    written: bool = False,
 ) -> DataFrame:
     """``facts`` left-joined with ``dim``, whose ``key`` is unique.
 
     A small ``dim`` (rows and bytes are counted, not guessed) is broadcast.  Otherwise ``facts`` is
     written once, as three passes need it, and keys that own more than one part
     in ``max_hot_keys`` of the facts join by broadcast, as at most that many can exist, and
-    only the others are shuffled.
+    only the others are shuffled.  ``written`` says that both sides are tables already.
     """
-    dim = materialize(dim, "lookup")
+    dim = dim if written else materialize(dim, "lookup")
     if fits(dim, broadcast_rows):
         return facts.join(F.broadcast(dim), key, "left")
-    facts = materialize(facts, "facts")
+    facts = facts if written else materialize(facts, "facts")
     counts = materialize(facts.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("n") * max_hot_keys > total).select(key)

@@ -8,13 +8,15 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.ngrams import word_ngrams, words
 from plumbline.functions.patterns import any_phrase, any_regex
 from plumbline.functions.text import blank, norm_rules
-from plumbline.operators.similarity import corpus_cosine, pair_cosine
+from plumbline.operators.similarity import dictionary, dictionary_cosine, pair_cosine, text_key
 from plumbline.policy import DEFAULT_POLICY, Policy
 from plumbline.schemas import LABELS, REVIEW_COLUMNS, TASKS
 from plumbline.session import materialize
 
+BUSINESS_TEXTS = ("biz_name", "biz_cats", "biz_desc")
 RULE_COLUMNS = (*TASKS, "relevant", "cosine_to_business", "offtopic", "reasons")
 
 
@@ -45,6 +47,23 @@ def offtopic_hit(text: Column, cats: Column, policy: Policy = DEFAULT_POLICY) ->
     return reduce(or_, hits) if hits else F.lit(False)
 
 
+def _numbers(hits: list[Column]) -> Column:
+    """Places in a list of conditions that hold, as an array."""
+    return F.array_compact(
+        F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits)]).cast("array<int>")
+    )
+
+
+def foreign_to(text: Column, policy: Policy = DEFAULT_POLICY) -> Column:
+    """Numbers of the policy's categories to which a word of the text is foreign."""
+    return _numbers([any_phrase(text, ws) for ws in policy.off_topic.values()])
+
+
+def kinds_of(cats: Column, policy: Policy = DEFAULT_POLICY) -> Column:
+    """Numbers of the policy's categories that are substrings of ``cats``."""
+    return _numbers([cats.contains(k) for k in policy.off_topic])
+
+
 def irrelevant_hit(cosine: Column, offtopic: Column, policy: Policy = DEFAULT_POLICY) -> Column:
     return (cosine < policy.min_cosine) | offtopic
 
@@ -106,26 +125,52 @@ def rules_label(
     """
     if scope not in ("corpus", "pair"):
         raise ValueError(f"unknown scope: {scope}")
-    clean = normalize_for_rules(df, scope)
-    text = F.col("norm_text")
-    flags = {
-        "ads": ads_hit(text, policy),
-        "rant_no_visit": rant_hit(text, policy),
-        "offtopic": offtopic_hit(text, F.col("norm_cats"), policy),
-    }
-    flag_columns = [hit.alias(name) for name, hit in flags.items()]
     if scope == "pair":
-        cosine = pair_cosine(text, F.col("norm_biz")).alias("cosine_to_business")
-        flagged = clean.select(*keep, *flag_columns, cosine)
-    else:
-        # Cleaning costs far more than writing its result, and three passes need it.
-        number = F.monotonically_increasing_id().alias("_row")
-        table = materialize(
-            clean.select(*keep, *flag_columns, "norm_text", "norm_biz", number), "cleaned"
+        clean = normalize_for_rules(df, scope)
+        text = F.col("norm_text")
+        flagged = clean.select(
+            *keep,
+            ads_hit(text, policy).alias("ads"),
+            rant_hit(text, policy).alias("rant_no_visit"),
+            offtopic_hit(text, F.col("norm_cats"), policy).alias("offtopic"),
+            pair_cosine(text, F.col("norm_biz")).alias("cosine_to_business"),
         )
-        cosine = corpus_cosine(table.select("_row", "norm_text", "norm_biz"), "norm_text", "norm_biz", "_row")
-        flagged = table.drop("norm_text", "norm_biz").join(cosine, "_row", "left").drop("_row")
-    return _finish(flagged, policy, keep)
+        return _finish(flagged, policy, keep)
+
+    # Cleaning and cutting into words cost far more than writing their result, and two passes need it.
+    text = F.col("_text")
+    table = materialize(
+        df.select("*", norm_rules(F.col("review_text")).alias("_text")).select(
+            *keep,
+            ads_hit(text, policy).alias("ads"),
+            rant_hit(text, policy).alias("rant_no_visit"),
+            foreign_to(text, policy).alias("_foreign"),
+            words(text).alias("_words"),
+            *[F.col(c).alias(f"_{c}") for c in BUSINESS_TEXTS],
+            text_key(*BUSINESS_TEXTS).alias("_biz"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "cleaned",
+    )
+    texts = materialize(business_dictionary(table, policy), "dictionary")
+    offtopic = F.coalesce(F.arrays_overlap("_foreign", "_kinds"), F.lit(False))
+    scored = dictionary_cosine(
+        table.select("_row", "_biz", "_words", "_foreign"), texts, "_row", carry={"offtopic": offtopic}
+    )
+    rows = table.select(*keep, "ads", "rant_no_visit", "_row")
+    return _finish(rows.join(scored, "_row", "left").drop("_row"), policy, keep)
+
+
+def business_dictionary(table: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """``(_biz, uses, _terms, _kinds)``: each distinct business text cleaned and cut into terms once."""
+    names = [f"_{c}" for c in BUSINESS_TEXTS]
+    clean = dictionary(table, *names).select(
+        text_key(*names).alias("_biz"), "uses", *[norm_rules(F.col(n)).alias(n) for n in names]
+    )
+    joined = F.trim(F.concat_ws(" ", *names))
+    return clean.select(
+        "_biz", "uses", word_ngrams(joined).alias("_terms"), kinds_of(F.col("_biz_cats"), policy).alias("_kinds")
+    )
 
 
 def _finish(flagged: DataFrame, policy: Policy, keep: tuple[str, ...]) -> DataFrame:

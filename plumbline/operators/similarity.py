@@ -3,11 +3,16 @@
 Weights follow the smooth form: raw term counts, ``idf = ln((1 + n) / (1 + df)) + 1`` and unit-length
 vectors, over words and neighbouring word pairs.
 
+Many reviews share one business text, so each distinct business text is one row of a dictionary with the
+number of reviews that use it: it is cleaned, cut into words and counted once, and its terms enter the
+document frequencies with that number.  Reviews carry only the 128-bit key of their text.
+
 Counting happens inside each row, so a business or source that owns a third of all reviews costs
 nothing extra.  What is shuffled is one document-frequency row per distinct term, and then either
-nothing (the term table is small enough to broadcast, which is checked) or the postings of terms
-that are not hot.  A term is hot when it holds more than one part in ``HOT_TERMS`` of all postings,
-so there can never be more than ``HOT_TERMS`` of them and broadcasting those is always safe.
+nothing (the term table and the dictionary are small enough to broadcast, which is checked) or the
+postings of terms that are not hot, and reviews of businesses that are not hot.  A term is hot when it
+holds more than one part in ``HOT_TERMS`` of all postings, so there can never be more than
+``HOT_TERMS`` of them and broadcasting those is always safe.
 """
 
 from __future__ import annotations
@@ -16,15 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ngrams import (
-    bare,
     is_marked,
-    left_count,
     let,
+    mark_right,
     pair_sums,
+    right_count,
     tally,
     tally_pair,
+    with_pairs,
     word_ngrams,
+    words,
 )
+from plumbline.operators.lookup import BROADCAST_ROWS, MAX_HOT_KEYS, lookup_join
 from plumbline.session import materialize
 
 # Term tables of at most this many rows are broadcast whole (about 100 bytes each).
@@ -44,30 +52,52 @@ def ngram_counts(df: DataFrame, text: str, key: str = "review_id") -> DataFrame:
     return term_rows(df, word_ngrams(F.col(text)), key)
 
 
-def doc_freq(df: DataFrame, *texts: str) -> DataFrame:
-    """In how many documents a term occurs, when each text column of each row is one document."""
-    terms = [F.array_distinct(word_ngrams(F.col(t))) for t in texts]
-    exploded = df.select(F.explode(F.concat(*terms)).alias("term"))
-    return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def text_key(*texts: str) -> Column:
+    """16 bytes that stand for the texts of a row; null is not the empty text."""
+    parts = [F.col(t).cast("string") for t in texts]
+    named = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.unhex(F.md5(F.concat(*named)))
 
 
-def smooth_idf(df: Column, n_docs: Column | int) -> Column:
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    return F.log((n + 1.0) / (df + 1.0)) + 1.0
+def dictionary(df: DataFrame, *texts: str) -> DataFrame:
+    """``(texts..., uses)``: each distinct combination of the texts once, and in how many rows it stands.
 
+    Copies collapse in the task that reads them, so a text that stands in a third of all rows is moved
+    once a task.
+    """
+    return df.groupBy(*texts).agg(F.count(F.lit(1)).alias("uses"))
 
-def idf_weights(df: DataFrame, *texts: str) -> DataFrame:
-    """``(term, df, idf)`` over all documents of the text columns."""
-    n_docs = df.agg((F.count(F.lit(1)) * len(texts)).alias("n"))
-    return doc_freq(df, *texts).withColumn("idf", smooth_idf(F.col("df"), n_docs.scalar()))
 
+def _frequencies(*term_sets: DataFrame) -> DataFrame:
+    """``(term, df)`` over rows ``(terms, uses)``: a set of distinct terms and how many documents it stands for."""
+    rows = [t.select(F.explode(F.array_distinct("terms")).alias("term"), "uses") for t in term_sets]
+    together = rows[0]
+    for more in rows[1:]:
+        together = together.unionByName(more)
+    return together.groupBy("term").agg(F.sum("uses").alias("df"))
 
-def term_table(df: DataFrame, *texts: str) -> DataFrame:
-    """Document frequencies of terms seen twice or more, written once to the shared folder.
 
-    Terms seen once are most of the vocabulary and need no row: a missing term has frequency 1.
+def doc_freq(df: DataFrame, *texts: str, shared: tuple[str, ...] = ()) -> DataFrame:
+    """In how many documents a term occurs, when each text column of each row is one document.
+
+    Columns named in ``shared`` hold few distinct texts; each of these is cut into terms once.
     """
-    return materialize(doc_freq(df, *texts).filter("df >= 2"), "term-table")
+    one = F.lit(1).cast("long").alias("uses")
+    own = [df.select(word_ngrams(F.col(t)).alias("terms"), one) for t in texts]
+    of_shared = [dictionary(df, t).select(word_ngrams(F.col(t)).alias("terms"), "uses") for t in shared]
+    return _frequencies(*own, *of_shared)
+
+
+def smooth_idf(df: Column, n_docs: Column | int) -> Column:
+    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
+    return F.log((n + 1.0) / (df + 1.0)) + 1.0
+
+
+def idf_weights(df: DataFrame, *texts: str, shared: tuple[str, ...] = ()) -> DataFrame:
+    """``(term, df, idf)`` over all documents of the text columns."""
+    n_docs = df.agg((F.count(F.lit(1)) * (len(texts) + len(shared))).alias("n"))
+    frequencies = doc_freq(df, *texts, shared=shared)
+    return frequencies.withColumn("idf", smooth_idf(F.col("df"), n_docs.scalar()))
 
 
 def corpus_cosine(
@@ -79,69 +109,133 @@ def corpus_cosine(
     n_docs: int | None = None,
     broadcast_terms: int = BROADCAST_TERMS,
     hot_terms: int = HOT_TERMS,
+    broadcast_texts: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(key, cosine_to_business)``, with idf fitted on both columns of all rows.
 
-    ``key`` must tell rows apart: postings of equal keys count as one document.
+    ``key`` must tell rows apart: postings of equal keys count as one document.  ``right`` is the column
+    whose texts many rows share.
 
-    Give ``terms`` and ``n_docs`` to score against a frozen term table.  Rows in which either text
-    has no term are absent; their cosine is 0.
+    Give ``terms`` and ``n_docs`` to score against a frozen term table.  Rows in which neither text
+    has a term are absent; with terms in one text only the cosine is 0.
     """
+    table = materialize(
+        df.select(
+            F.col(key),
+            words(F.col(left)).alias("_words"),
+            text_key(right).alias("_biz"),
+            F.col(right).alias("_right"),
+        ),
+        "cleaned",
+    )
+    texts = dictionary(table, "_right").select(
+        text_key("_right").alias("_biz"), "uses", word_ngrams(F.col("_right")).alias("_terms")
+    )
+    has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    scored = dictionary_cosine(
+        table.drop("_right"), materialize(texts, "dictionary"), key, terms, n_docs,
+        broadcast_terms, hot_terms, broadcast_texts,
+        carry={"_any": has("_words") | has("_terms")},
+    )
+    return scored.filter("_any").drop("_any")
+
+
+def dictionary_cosine(
+    reviews: DataFrame,
+    texts: DataFrame,
+    key: str,
+    terms: DataFrame | None = None,
+    n_docs: int | None = None,
+    broadcast_terms: int = BROADCAST_TERMS,
+    hot_terms: int = HOT_TERMS,
+    broadcast_texts: int = BROADCAST_ROWS,
+    max_hot_texts: int = MAX_HOT_KEYS,
+    carry: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``(key, carry..., cosine_to_business)`` for every row of ``reviews``.
+
+    ``reviews`` is a written table with ``key``, ``_words`` and ``_biz``; ``texts`` is the written
+    dictionary ``(_biz, uses, _terms, ...)``.  ``carry`` names expressions over a review and its
+    dictionary row that are returned too.
+
+    Words of a review move at most once, to their dictionary row, and only if the dictionary is too
+    large to broadcast and the business is not hot.
+    """
+    carry = carry or {}
     if terms is None:
-        terms = term_table(df, left, right)
-        n_docs = 2 * df.count()
+        one = F.lit(1).cast("long").alias("uses")
+        own = reviews.select(let(F.col("_words"), with_pairs).alias("terms"), one)
+        fitted = _frequencies(own, texts.select(F.col("_terms").alias("terms"), "uses"))
+        terms = materialize(fitted.filter("df >= 2"), "term-table")
+        n_docs = 2 * (texts.agg(F.sum("uses")).first()[0] or 0)
     elif n_docs is None:
         raise ValueError("a frozen term table needs the number of documents it was fitted on")
 
-    postings = pair_postings(df, left, right, key)
-    if terms.count() <= broadcast_terms:
-        parts = _weigh(postings.join(F.broadcast(terms), "term", "left"), key, n_docs)
-        return _as_cosine(parts, key)
+    bounds = (terms, n_docs, broadcast_terms, hot_terms)
+    counted = term_rows(texts, F.col("_terms"), "_biz").withColumn("shared", F.lit(0))
+    norms = _weighted(counted, "_biz", *bounds).select("_biz", F.col("norm").alias("_rr"))
+    marked = texts.withColumn("_marked", mark_right(F.col("_terms"))).join(norms, "_biz", "left")
+    dim = materialize(marked.drop("uses"), "marked-dictionary")
 
-    total = terms.agg(F.sum("df")).first()[0]
-    hot_from = -(-total // hot_terms)
-    hot = F.broadcast(terms.filter(F.col("df") >= hot_from))
-    cold = terms.filter(F.col("df") < hot_from)
-    on_hot = _weigh(postings.join(hot, "term"), key, n_docs)
-    rest = postings.join(hot, "term", "left_anti").join(cold, "term", "left")
-    on_cold = _weigh(rest, key, n_docs)
-    sums = [F.sum(c).alias(c) for c in ("dot", "ll", "rr")]
-    return _as_cosine(on_hot.unionByName(on_cold).groupBy(key).agg(*sums), key)
-
-
-def pair_postings(df: DataFrame, left: str, right: str, key: str) -> DataFrame:
-    """``(key, term, cl, cr, both)``: one row per term and side, ``both`` being the product of the
-    two counts, on the right-hand row of a shared term."""
-    pair = tally_pair(word_ngrams(F.col(left)), word_ngrams(F.col(right)))
-    rows = df.select(key, pair.alias("t")).select(
-        key, F.col("t.terms").alias("_terms"), F.col("t.counts").alias("_counts"),
-        F.posexplode("t.terms").alias("_i", "_term"),
+    joined = lookup_join(reviews, dim, "_biz", broadcast_texts, max_hot_texts, written=True)
+    none = F.array().cast("array<string>")
+    both = F.concat(
+        F.coalesce(let(F.col("_words"), with_pairs), none), F.coalesce("_marked", none)
     )
-    cnt, right_side = F.get("_counts", "_i"), is_marked(F.col("_term"))
-    other = left_count(F.col("_terms"), F.col("_counts"), F.col("_i"))
-    return rows.select(
-        key,
-        bare(F.col("_term")).alias("term"),
-        F.when(right_side, F.lit(0)).otherwise(cnt).cast("double").alias("cl"),
-        F.when(right_side, cnt).otherwise(F.lit(0)).cast("double").alias("cr"),
-        F.when(right_side, cnt * other).otherwise(F.lit(0)).cast("double").alias("both"),
+    carried = [c.alias(name) for name, c in carry.items()]
+    kept = [key, "_rr", *carry]
+    rows = joined.select(key, "_rr", *carried, tally(both).alias("t")).select(
+        *kept, F.col("t.terms").alias("_all"), F.col("t.counts").alias("_counts"),
+        F.posexplode_outer("t.terms").alias("_i", "term"),
     )
-
-
-def _weigh(postings: DataFrame, key: str, n_docs: int) -> DataFrame:
-    idf = smooth_idf(F.coalesce("df", F.lit(1)), n_docs)
-    weighted = postings.select(key, "cl", "cr", "both", (idf * idf).alias("w"))
-    return weighted.groupBy(key).agg(
-        F.sum(F.col("both") * F.col("w")).alias("dot"),
-        F.sum(F.col("cl") * F.col("cl") * F.col("w")).alias("ll"),
-        F.sum(F.col("cr") * F.col("cr") * F.col("w")).alias("rr"),
+    # The first entry always stays, so that every review comes out.
+    mine = ~F.coalesce(is_marked(F.col("term")), F.lit(True))
+    here, there = F.get("_counts", "_i"), right_count(F.col("_all"), F.col("_counts"), F.col("_i"))
+    postings = rows.filter(mine | F.col("_i").isNull() | (F.col("_i") == 0)).select(
+        *kept, "term",
+        F.when(mine, here).otherwise(F.lit(0)).alias("cnt"),
+        F.when(mine, here * there).otherwise(F.lit(0)).alias("shared"),
     )
+    sums = _weighted(postings, key, *bounds, carry=("_rr", *carry))
+    size = F.sqrt("norm") * F.sqrt(F.coalesce("_rr", F.lit(0.0)))
+    cosine = F.when(size > 0, F.col("shared") / size).otherwise(F.lit(0.0))
+    return sums.select(key, *carry, cosine.alias("cosine_to_business"))
+
+
+def _weighted(
+    postings: DataFrame,
+    key: str,
+    terms: DataFrame,
+    n_docs: int,
+    broadcast_terms: int,
+    hot_terms: int,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(key, shared, norm, carry...)``: sums of ``shared`` and of squared ``cnt`` weighed by squared idf.
+
+    ``carry`` columns are equal in all postings of a key.
+    """
 
+    def weigh(rows: DataFrame) -> DataFrame:
+        idf = smooth_idf(F.coalesce("df", F.lit(1)), n_docs)
+        cnt = F.col("cnt").cast("double")
+        weighed = rows.select(key, *carry, "shared", cnt.alias("cnt"), (idf * idf).alias("w"))
+        return weighed.groupBy(key).agg(
+            F.sum(F.col("shared") * F.col("w")).alias("shared"),
+            F.sum(F.col("cnt") * F.col("cnt") * F.col("w")).alias("norm"),
+            *[F.max(c).alias(c) for c in carry],
+        )
 
-def _as_cosine(parts: DataFrame, key: str) -> DataFrame:
-    norm = F.sqrt(F.col("ll")) * F.sqrt(F.col("rr"))
-    cosine = F.when(norm > 0, F.col("dot") / norm).otherwise(F.lit(0.0))
-    return parts.select(key, cosine.alias("cosine_to_business"))
+    if terms.count() <= broadcast_terms:
+        return weigh(postings.join(F.broadcast(terms), "term", "left"))
+    total = terms.agg(F.sum("df")).first()[0]
+    hot_from = -(-total // hot_terms)
+    hot = F.broadcast(terms.filter(F.col("df") >= hot_from))
+    cold = terms.filter(F.col("df") < hot_from)
+    on_hot = weigh(postings.join(hot, "term"))
+    on_cold = weigh(postings.join(hot, "term", "left_anti").join(cold, "term", "left"))
+    sums = [F.sum(c).alias(c) for c in ("shared", "norm")]
+    return on_hot.unionByName(on_cold).groupBy(key).agg(*sums, *[F.max(c).alias(c) for c in carry])
 
 
 def pair_cosine(left: Column, right: Column) -> Column:

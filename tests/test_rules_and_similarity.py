@@ -3,7 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.functions.ngrams import word_ngrams, words
 from plumbline.operators import rules, similarity
 from plumbline.schemas import TASKS
 
@@ -125,3 +127,71 @@ def test_policy_table(spark, tmp_path):
     }
     path.write_text(json.dumps(doc))
     assert load_policy(str(path)).min_cosine == 0.5
+
+
+def test_small_bounds_give_the_same(reviews):
+    """Hot and cold terms, and a dictionary too large to broadcast."""
+    clean = rules.normalize_for_rules(reviews)
+    plain = similarity.corpus_cosine(clean, "norm_text", "norm_biz").collect()
+    split = similarity.corpus_cosine(
+        clean, "norm_text", "norm_biz", broadcast_terms=0, hot_terms=20, broadcast_texts=0).collect()
+    close(dict(map(tuple, split)), dict(map(tuple, plain)))
+
+
+def test_each_business_text_is_one_row(spark, reviews):
+    """A text many reviews share is one row of the dictionary, null is not empty, and cells do not run together."""
+    schema = "biz_name string, biz_cats string, biz_desc string"
+    rows = [("a", "b", None)] * 50 + [("a", "b", "")] * 3 + [("ab", "", None), ("a", "b:1", None), (None, None, None)]
+    df = spark.createDataFrame(rows, schema).withColumnsRenamed({c: f"_{c}" for c in rules.BUSINESS_TEXTS})
+    found = rules.business_dictionary(df).collect()
+    assert sorted(r["uses"] for r in found) == [1, 1, 1, 3, 50]
+    assert len({bytes(r["_biz"]) for r in found}) == 5
+
+
+def test_shared_texts_count_as_often_as_they_stand(reviews):
+    clean = rules.normalize_for_rules(reviews)
+    plain = dict(map(tuple, similarity.doc_freq(clean, "norm_text", "norm_biz").collect()))
+    assert dict(map(tuple, similarity.doc_freq(clean, "norm_text", shared=("norm_biz",)).collect())) == plain
+
+
+def exchanged_columns(df):
+    """Columns of every exchange in the plan."""
+    import re
+
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+
+
+@pytest.mark.parametrize("bound, most", [(200_000, 0), (0, 1)])
+def test_words_of_reviews_move_at_most_once(spark, reviews, tmp_path, bound, most):
+    """Not at all beside a small dictionary, once beside a large one, and no business text moves with them."""
+    base = reviews.select("review_id", words(F.col("review_text")).alias("_words"), similarity.text_key("biz_name").alias("_biz"))
+    base.write.parquet(str(tmp_path / "r"))
+    shops = similarity.dictionary(reviews, "biz_name").select(
+        similarity.text_key("biz_name").alias("_biz"), "uses", word_ngrams(F.col("biz_name")).alias("_terms"))
+    shops.write.parquet(str(tmp_path / "b"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the tables here are tiny
+    try:
+        scored = similarity.dictionary_cosine(
+            spark.read.parquet(str(tmp_path / "r")), spark.read.parquet(str(tmp_path / "b")), "review_id",
+            broadcast_texts=bound, max_hot_texts=1)
+        moved = exchanged_columns(scored)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved and sum("_words" in columns for columns in moved) == most
+    assert not any("_words" in columns and "_marked" in columns for columns in moved)
+    assert scored.count() == reviews.count()
+
+
+def test_reviews_without_words_are_labeled(spark):
+    """Null and empty texts, one-letter words, null business cells, repeated rows."""
+    rows = [("1", "s", None, "n", "spa", "d"), ("2", "s", "", None, None, None), ("3", "s", "a b", "n", "spa", "d"),
+            ("4", "s", "a gpu", "n", "spa", None), ("4", "s", "a gpu", "n", "spa", None)]
+    df = spark.createDataFrame(rows, "review_id string, business_id string, review_text string, biz_name string, biz_cats string, biz_desc string")
+    found = rules.rules_label(df).collect()
+    assert sorted(r["review_id"] for r in found) == ["1", "2", "3", "4", "4"]
+    assert {r["review_id"] for r in found if r["offtopic"]} == {"4"}
+    assert all(r["cosine_to_business"] == 0.0 for r in found)
+    assert rules.rules_label(df.limit(0)).count() == 0

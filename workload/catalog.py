@@ -545,12 +545,12 @@ def word_ngrams(spark, sf):
 
 @query
 def doc_freq(spark, sf):
-    return similarity.doc_freq(_norm(spark, sf), "norm_text", "norm_biz")
+    return similarity.doc_freq(_norm(spark, sf), "norm_text", shared=("norm_biz",))
 
 
 @query
 def idf_weights(spark, sf):
-    return rounded(similarity.idf_weights(_norm(spark, sf), "norm_text", "norm_biz"), "idf")
+    return rounded(similarity.idf_weights(_norm(spark, sf), "norm_text", shared=("norm_biz",)), "idf")
 
 
 @query
