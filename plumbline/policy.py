@@ -75,8 +75,32 @@ DEFAULT_POLICY = Policy.from_dict(
 )
 
 
+def policy_from_table(table: DataFrame, most: int = 10_000) -> Policy:
+    """The inverse of ``Policy.to_table``, for a table wherever Spark can read one.
+
+    At most ``most`` rows come to the driver; beyond that, ``operators.phrases`` uses the table itself.
+    """
+    rows = table.select("kind", "category", "pattern").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: match the phrases with operators.phrases")
+    of = lambda kind: tuple(sorted(r["pattern"] for r in rows if r["kind"] == kind and r["pattern"]))
+    bounds = of("min_cosine")
+    if len(bounds) != 1:
+        raise ValueError("a policy table has one row of kind min_cosine")
+    off_topic: dict[str, list[str]] = {}
+    for r in sorted((r for r in rows if r["kind"] == "off_topic" and r["pattern"]), key=lambda r: r["pattern"]):
+        off_topic.setdefault((r["category"] or "").lower(), []).append(r["pattern"])
+    return Policy(
+        of("url_regex"), of("phone_regex"), of("keyword"), float(bounds[0]),
+        {k: tuple(v) for k, v in sorted(off_topic.items())}, of("cue"),
+    )
+
+
 def load_policy(path: str) -> Policy:
-    """Read a policy file: JSON always, YAML where a YAML reader is installed."""
+    """Read a policy file of the driver: JSON always, YAML where a YAML reader is installed.
+
+    A policy on shared storage is a table: ``policy_from_table(spark.read.parquet(path))``.
+    """
     with open(path, encoding="utf-8") as handle:
         if path.endswith(".json"):
             return Policy.from_dict(json.load(handle))

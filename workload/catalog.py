@@ -11,7 +11,7 @@ from plumbline.functions import cells, ngrams
 from plumbline.functions import text as tx
 from plumbline.operators import clean, ensemble, evaluate, ingest, metrics, rules, sampling
 from plumbline.operators import features as feats
-from plumbline.operators import modeling, similarity, thresholds, views as result_views
+from plumbline.operators import modeling, phrases, similarity, thresholds, views as result_views
 from plumbline.plans import jobs
 from plumbline.schemas import (
     BUSINESS_ALIASES,
@@ -502,6 +502,37 @@ def rules_label_duplicates(spark, sf):
     return rounded(out.select("review_id", "row_name", *TASKS, "cosine_to_business"), "cosine_to_business")
 
 
+def _large_policy(spark, sf):
+    """Every run of two to eight words between punctuation in ``benchmark``: over 10,000 phrases at sf0.01."""
+    text = F.regexp_replace(F.lower("text"), r"([^\p{L}\p{N}_ ])", " | ")
+    tokens = views.table(spark, sf, "benchmark").select(F.split(text, " ").alias("w"))
+    starts = tokens.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    runs = starts.select("i", "w", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("n"))
+    runs = runs.filter("i + n - 1 <= size(w)").select("n", F.slice("w", F.col("i"), F.col("n")).alias("run"))
+    runs = runs.filter(F.forall("run", lambda t: ~t.isin("", "|")))
+    pattern = F.array_join("run", " ")
+    kind = F.expr("elt(1 + length(pattern) % 3, 'keyword', 'cue', 'off_topic')")
+    category = F.expr("elt(1 + n % 4, 'restaurant', 'spa', 'electronics', 'park')")
+    return runs.select("n", pattern.alias("pattern")).select(
+        kind.alias("kind"), category.alias("category"), "pattern"
+    )
+
+
+@query
+def phrase_policy(spark, sf):
+    """A policy of thousands of phrases, as a table."""
+    return phrases.phrase_counts(_texts(spark, sf), _large_policy(spark, sf))
+
+
+@query
+def phrase_policy_default(spark, sf):
+    """The default policy as a table: the counts decide as the rules do."""
+    policy = rules.DEFAULT_POLICY.to_table(spark)
+    found = phrases.phrase_counts(_texts(spark, sf), policy)
+    return found.select("review_id", *[
+        (F.col(f"{c}_phrases") > 0).cast("int").alias("hit_" + c) for c in ("ads", "rant", "offtopic")])
+
+
 @query
 def rules_label_pair(spark, sf):
     r = rules.rules_label(views.reviews(spark, sf), scope="pair")

@@ -393,6 +393,32 @@ for name, hit in {
     "offtopic_hit": f"({OFFTOPIC})",
 }.items():
     oracle(name, f"SELECT review_id, CAST({hit} AS INTEGER) AS hit FROM norm_v", "norm_v")
+
+
+def word_runs(text: str, source: str, *carry: str) -> str:
+    """Runs of two to eight words with single spaces between them."""
+    cols = "".join(f"{c}, " for c in carry)
+    spaced = f"string_split(regexp_replace({text}, '([^\\p{{L}}\\p{{N}}_ ])', ' | ', 'g'), ' ')"
+    return f"""SELECT DISTINCT {cols}n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (
+        SELECT {cols}w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (
+          SELECT {cols}w, unnest(range(2, 9)) AS n FROM (SELECT {cols}{spaced} AS w FROM {source})))
+      WHERE NOT list_has_any(w[i:i + n - 1], ['', '|'])"""
+
+
+oracle("phrase_policy", f"""
+    SELECT review_id, count(*) FILTER (kind = 0 AND p IS NOT NULL) AS ads_phrases,
+           count(*) FILTER (kind = 1) AS rant_phrases,
+           count(*) FILTER (kind = 2 AND contains(
+             cats, (['restaurant', 'spa', 'electronics', 'park'])[1 + n % 4])) AS offtopic_phrases
+    FROM norm_v LEFT JOIN (
+      SELECT r.review_id, r.n, r.p, length(r.p) % 3 AS kind
+      FROM ({word_runs("t", "norm_v", "review_id")}) r
+      SEMI JOIN ({word_runs("lower(text)", "benchmark")}) b ON r.p = b.p) USING (review_id)
+    GROUP BY review_id""", "norm_v")
+oracle("phrase_policy_default", f"""
+    SELECT review_id, CAST({whole_words("t", DEFAULT_POLICY.keywords)} AS INTEGER) AS hit_ads,
+           CAST({RANT} AS INTEGER) AS hit_rant, CAST(({OFFTOPIC}) AS INTEGER) AS hit_offtopic
+    FROM norm_v""", "norm_v")
 oracle("irrelevant_label", "SELECT review_id, irrelevant, offtopic FROM rules_v", "rules_v")
 for name, view in (("rules_label", "rules_v"), ("rules_label_pair", "rules_pair_v")):
     oracle(name, f"""
