@@ -25,14 +25,18 @@ PHRASE_KINDS = ("keyword", "cue", "off_topic")
 MAX_WORDLESS = 200
 
 
-def folded_words(text: Column) -> Column:
-    """Distinct words, equal whenever a match in any letter case could make them equal.
+def folded(text: Column) -> Column:
+    """A text in which letters are equal whenever a match in any letter case could make them equal.
 
     Letters such as long s only meet their fellows in upper case, sharp s only in lower case.  The empty
     text between both keeps the optimizer from taking one of them for idle.
     """
-    lower = F.concat(F.lower(F.translate(text, "İ", "i")), F.lit(""))
-    return F.array_distinct(F.regexp_extract_all(F.upper(lower), F.lit(WORD + "+"), F.lit(0)))
+    return F.upper(F.concat(F.lower(F.translate(text, "İ", "i")), F.lit("")))
+
+
+def folded_words(text: Column) -> Column:
+    """Distinct words of the folded text."""
+    return F.array_distinct(F.regexp_extract_all(folded(text), F.lit(WORD + "+"), F.lit(0)))
 
 
 def whole_words(pattern: Column) -> Column:
@@ -50,7 +54,7 @@ def phrase_rows(policy: DataFrame) -> DataFrame:
 
 
 def phrase_dictionary(held: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(word, patterns)``: each phrase under the one of its words that fewest rows of ``held`` have.
+    """``(word, patterns)``: each phrase, as it is and folded, under the one of its words that fewest rows of ``held`` have.
 
     ``held`` has one row ``(row, word)`` per row and distinct word.  Ties go to the first word.
     """
@@ -62,7 +66,9 @@ def phrase_dictionary(held: DataFrame, patterns: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word")).alias("best")
     )
     found = rarest.filter("best.texts > 0")  # a phrase whose word no text holds is nowhere
-    return found.groupBy(F.col("best.word").alias("word")).agg(F.collect_list("pattern").alias("patterns"))
+    return found.groupBy(F.col("best.word").alias("word")).agg(
+        F.collect_list(F.struct("pattern", folded(F.col("pattern")).alias("folded"))).alias("patterns")
+    )
 
 
 def phrase_matches(
@@ -90,9 +96,11 @@ def phrase_matches(
     candidates = met.filter("patterns is not null").groupBy(key).agg(
         F.flatten(F.collect_list("patterns")).alias("_patterns")
     )
-    whole = table.select(key, text).join(candidates, key)
-    exact = F.filter("_patterns", lambda p: F.rlike(F.col(text), whole_words(p)))
-    found = whole.select(key, exact.alias("matched"))
+    whole = table.select(key, text, folded(F.col(text)).alias("_folded")).join(candidates, key)
+    # The substring test is cheap and spares nearly all regular expressions, which are compiled one by one.
+    near = whole.select(key, text, F.filter("_patterns", lambda p: F.contains("_folded", p["folded"])).alias("near"))
+    exact = F.filter("near", lambda p: F.rlike(F.col(text), whole_words(p["pattern"])))
+    found = near.select(key, F.transform(exact, lambda p: p["pattern"]).alias("matched"))
     if wordless:
         tests = [F.when(any_phrase(F.col(text), [r[0]]), F.lit(r[0])) for r in wordless]
         found = found.unionByName(table.select(key, F.array_compact(F.array(*tests)).alias("matched")))

@@ -48,7 +48,7 @@ def test_matches_are_those_of_every_phrase_on_every_text(spark, table, broadcast
 def test_rarest_word_is_the_key(spark):
     held = spark.createDataFrame([(i, "THE") for i in range(9)] + [(1, "END"), (2, "END"), (3, "X")], "row long, word string")
     rows = spark.createDataFrame([("the end",), ("the",), ("the x end",), ("nothing else",)], "pattern string")
-    found = {r["word"]: sorted(r["patterns"]) for r in phrases.phrase_dictionary(held, rows).collect()}
+    found = {r["word"]: sorted(p["pattern"] for p in r["patterns"]) for r in phrases.phrase_dictionary(held, rows).collect()}
     assert found == {"END": ["the end"], "THE": ["the"], "X": ["the x end"]}
 
 

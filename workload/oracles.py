@@ -395,14 +395,22 @@ for name, hit in {
     oracle(name, f"SELECT review_id, CAST({hit} AS INTEGER) AS hit FROM norm_v", "norm_v")
 
 
-def word_runs(text: str, source: str, *carry: str) -> str:
+def word_runs(text: str, source: str, key: str) -> str:
     """Runs of two to eight words with single spaces between them."""
-    cols = "".join(f"{c}, " for c in carry)
     spaced = f"string_split(regexp_replace({text}, '([^\\p{{L}}\\p{{N}}_ ])', ' | ', 'g'), ' ')"
-    return f"""SELECT DISTINCT {cols}n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (
-        SELECT {cols}w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (
-          SELECT {cols}w, unnest(range(2, 9)) AS n FROM (SELECT {cols}{spaced} AS w FROM {source})))
-      WHERE NOT list_has_any(w[i:i + n - 1], ['', '|'])"""
+    runs, run = [], "x"
+    for n in range(2, 9):
+        run += f" || ' ' || lead(x, {n - 1}) OVER o"
+        runs.append(f"{run} AS r{n}")
+    pick = "[" + ", ".join(f"{{'n': {n}, 'p': r{n}}}" for n in range(2, 9)) + "]"
+    return f"""SELECT DISTINCT {key}, u.n AS n, u.p AS p FROM (
+        SELECT {key}, unnest({pick}) AS u FROM (
+          SELECT {key}, {", ".join(runs)} FROM (
+            SELECT {key}, i, CASE WHEN x NOT IN ('', '|') THEN x END AS x FROM (
+              SELECT {key}, unnest(w) AS x, unnest(range(len(w))) AS i
+              FROM (SELECT {key}, {spaced} AS w FROM {source})))
+          WINDOW o AS (PARTITION BY {key} ORDER BY i)))
+      WHERE u.p IS NOT NULL"""
 
 
 oracle("phrase_policy", f"""
@@ -413,7 +421,7 @@ oracle("phrase_policy", f"""
     FROM norm_v LEFT JOIN (
       SELECT r.review_id, r.n, r.p, length(r.p) % 3 AS kind
       FROM ({word_runs("t", "norm_v", "review_id")}) r
-      SEMI JOIN ({word_runs("lower(text)", "benchmark")}) b ON r.p = b.p) USING (review_id)
+      SEMI JOIN ({word_runs("lower(text)", "benchmark", "item_id")}) b ON r.p = b.p) USING (review_id)
     GROUP BY review_id""", "norm_v")
 oracle("phrase_policy_default", f"""
     SELECT review_id, CAST({whole_words("t", DEFAULT_POLICY.keywords)} AS INTEGER) AS hit_ads,
