@@ -119,14 +119,15 @@ class LanguageFilters:
         """The language with the largest corrected share of places, its score and that share.
 
         Score: the winner's share over the sum of all languages' shares.  Ties go to the first language by
-        code point.  No letter at all, or no n-gram that any language holds, gives ``und`` with score 0.
+        code point.  A text without a letter is ``und``; one without any n-gram that a language holds goes to the first
+        language by code point with score 0.
         """
         if not text or not self.languages or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0, 0.0
         share = self.corrected(*self.counts(text))
         best = int(np.argmax(share))
         if not share[best]:
-            return UNKNOWN, 0.0, 0.0
+            return self.languages[best], 0.0, 0.0
         return self.languages[best], float(share[best] / share.sum()), float(share[best])
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -288,7 +289,7 @@ def predictor(filters: LanguageFilters):
 def language_of(spark, filters: LanguageFilters, text: Column) -> Column:
     """struct<lang_pred, score, share> from a whole text alone.
 
-    Null texts, texts without a letter and texts without a known n-gram give ``und`` and 0.  The filters' size is fixed by their
+    Null texts and texts without a letter give ``und`` and 0, texts without a known n-gram the first language and 0.  The filters' size is fixed by their
     parameters (slots times languages bits), so they are broadcast.
     """
     shared = spark.sparkContext.broadcast(filters)
@@ -314,7 +315,8 @@ def identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 def known_language(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = SAMPLE_DOCS, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> DataFrame:
     """``docs`` without those whose text is of no learned language; all columns stay.
 
-    A text goes if its best language's corrected share of n-gram places lies under ``share_bounds``.
+    A text goes if its best language's corrected share of n-gram places is zero or lies under ``share_bounds``.  Null
+    and letterless texts go, empty tables stay empty, and each of repeated rows is judged by itself.
     """
     training = training_rows(docs, folds, held)
     model = left_out(top_grams(training, per_language, top), slots)
@@ -324,4 +326,4 @@ def known_language(docs: DataFrame, folds: int = 4, held: int = 2, per_language:
         least = F.when(F.col("found.lang_pred") == lang, float(bound)).otherwise(least)
     whole = docs.select(F.struct("*").alias("doc"))
     rows = whole.select("doc", language_of(docs.sparkSession, model.filters, F.col("doc.text")).alias("found"))
-    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.share") >= least)).select("doc.*")
+    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.share") > 0) & (F.col("found.share") >= least)).select("doc.*")

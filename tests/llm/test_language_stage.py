@@ -30,6 +30,6 @@ def test_texts_of_a_language_left_out_go(spark):
     assert all(got[x] == n[x] for x in n if x != "fr")
 
 
-def test_no_known_gram_is_unknown():
+def test_no_known_gram_is_the_first_language_with_no_score():
     filters = langid.filled({"de": langid.grams(langid.letters("der die das")), "en": langid.grams(langid.letters("the of"))}, 1 << 12)
-    assert filters.predict("日本語") == ("und", 0.0) and filters.predict("die")[0] == "de"
+    assert filters.judge("日本語") == ("de", 0.0, 0.0) and filters.predict("12 !") == ("und", 0.0) and filters.predict("die")[0] == "de"
