@@ -2,8 +2,8 @@
 
 ``rules.any_phrase`` tries every phrase on every text, which suits a policy of a few dozen.  Here each
 phrase is keyed by the one of its words that fewest texts hold, so a text meets only phrases whose rarest
-word it has, and the cost a text follows its own words, not the policy.  An exact test of the whole phrase
-follows, with the meaning of ``any_phrase``: whole words, any letter case.
+word it has, so its cost follows the phrases under its words; where phrases share few frequent words these are many.  An
+exact test of the whole phrase follows, with the meaning of ``any_phrase``: whole words, any letter case.
 
 The dictionary has one row a word and is joined by ``lookup_join``: broadcast if its counted rows and bytes
 allow, else shuffled with frequent words split off.  Only row numbers and words move; a text moves once, and only
