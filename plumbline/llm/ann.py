@@ -173,13 +173,16 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def grouped(df: DataFrame, k: int) -> DataFrame:
-    """(rep, vec, ids): equal vectors as one, with their k + 1 smallest ids, which is all a top k can use."""
+    """(rep, vec, ids): equal vectors as one, with a number of its own and their k + 1 smallest ids, all a top k can use.
+
+    An id may own several vectors, so no id names one.  The number is fixed once the table is written.
+    """
     salt = F.pmod(F.xxhash64("id"), F.lit(GROUP_SALTS))
     rows = df.distinct().withColumn("salt", salt)
     for keys in (["vec", "salt"], ["vec"]):
         rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("turn") <= k + 1)
     ids = rows.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return ids.select(F.get("ids", F.lit(0)).alias("rep"), "vec", "ids")
+    return ids.select(F.monotonically_increasing_id().alias("rep"), "vec", "ids")
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -204,9 +207,10 @@ def placer(shared, columns: list[str], probing: tuple[float, float] | None):
 def nearest_in_cell(k: int):
     def nearest(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(vectors):
-            return pd.DataFrame({"qrep": [], "rep": [], "score": [], "ids": []})
+            return pd.DataFrame({"qrep": [], "rep": [], "score": [], "equal": [], "ids": []})
         q, v = matrix(queries["vec"]), matrix(vectors["vec"])
         rep = vectors["rep"].to_numpy()
+        first = np.fromiter((x[0] for x in vectors["ids"]), np.int64, len(vectors))
         out = []
         for begin in range(0, len(q), 512):
             part = q[begin : begin + 512]
@@ -217,11 +221,13 @@ def nearest_in_cell(k: int):
             edge = np.take_along_axis(rough, top, 1).min(1)
             row, col = np.nonzero(rough >= (edge - 1e-9 * np.abs(edge))[:, None])
             exact = (part[row] * v[col]).sum(1)
-            order = np.lexsort((rep[col], -exact, row))
+            order = np.lexsort((rep[col], first[col], -exact, row))
             row, col, exact = row[order], col[order], exact[order]
             turn = np.arange(len(row)) - np.searchsorted(row, row)
             row, col, exact = (a[turn <= k] for a in (row, col, exact))
-            out.append(pd.DataFrame({"qrep": queries["rep"].to_numpy()[begin + row], "rep": rep[col], "score": exact, "ids": vectors["ids"].to_numpy()[col]}))
+            equal = (part[row] == v[col]).all(1)
+            found = {"qrep": queries["rep"].to_numpy()[begin + row], "rep": rep[col], "score": exact, "equal": equal}
+            out.append(pd.DataFrame({**found, "ids": vectors["ids"].to_numpy()[col]}))
         return pd.concat(out)
 
     return nearest
@@ -231,7 +237,7 @@ def fit_lists(vectors: DataFrame, n: int, sample: int = SAMPLE) -> Lists:
     """Fit on at most about ``sample`` distinct vectors; all are indexed later."""
     reach = vectors.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
     drawn = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
-    x = drawn.orderBy("rep").select("vec").toPandas()["vec"]
+    x = drawn.orderBy(F.xxhash64("vec"), "vec").select("vec").toPandas()["vec"]
     x = matrix(x) if len(x) else matrix(vectors.limit(1).toPandas()["vec"])
     clusters = int(min(MAX_CENTROIDS, len(x), max(1, 2 * n**0.5)))
     rest = np.sqrt(np.maximum(reach - (x * x).sum(1), 0))
@@ -244,7 +250,8 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of ``base`` with the largest inner product found.
 
-    A query never finds rows with its own id.  Scores are sums of products in double precision over the original
+    Every distinct (id, vector) of ``queries`` is a query, so an id with two vectors has two lists of ranks.  A query does
+    not find its own row; a row that shares its id but not its vector, or its vector but not its id, it does.  Scores are sums of products in double precision over the original
     vectors; ties go to smaller ids.  Rows with null id, and vectors that are null, empty, zero, or hold a null or
     non-finite component, take no part; nor do vectors of another length than most.  Repeated rows count once.
     With fewer than k other rows all are returned; without usable rows, none.  Other columns are ignored.
@@ -268,7 +275,7 @@ def nearest_neighbours(
     postings = materialize(postings, "postings")
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == d).distinct()
     asked = materialize(asked.withColumn("qkey", F.xxhash64("vec")), "asked")
-    reps = asked.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    reps = asked.groupBy("vec").agg(F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id())
     reps = materialize(reps, "query-vectors")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     probes = reps.select("rep", "vec").repartition(tasks).mapInPandas(placer(shared, ["rep", "vec"], (ratio, share)), f"cluster int, rep long, vec {kind}")
@@ -282,18 +289,18 @@ def nearest_neighbours(
     right = postings.join(cells, "cluster").withColumn("vpart", split("rep", "vparts")).withColumn("qpart", every("qparts"))
     key = ["cluster", "qpart", "vpart"]
     met = left.select(*key, "rep", "vec").groupBy(*key).cogroup(right.select(*key, "rep", "vec", "ids").groupBy(*key))
-    found = met.applyInPandas(nearest_in_cell(k), "qrep long, rep long, score double, ids array<long>")
+    found = met.applyInPandas(nearest_in_cell(k), "qrep long, rep long, score double, equal boolean, ids array<long>")
     best = lambda *by: F.row_number().over(Window.partitionBy("qrep").orderBy(F.desc("score"), *by))
-    found = found.dropDuplicates(["qrep", "rep"]).withColumn("turn", best("rep")).where(F.col("turn") <= k + 1)
-    named = found.select("qrep", "score", F.explode("ids").alias("vec_id"))
+    found = found.dropDuplicates(["qrep", "rep"]).withColumn("turn", best(F.get("ids", F.lit(0)), "rep")).where(F.col("turn") <= k + 1)
+    named = found.select("qrep", "score", "equal", F.explode("ids").alias("vec_id"))
     named = named.withColumn("turn", best("vec_id")).where(F.col("turn") <= k + 1)
-    answer = named.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct("turn", "vec_id", "score"))).alias("answer"))
+    answer = named.groupBy("qrep").agg(F.sort_array(F.collect_list(F.struct("turn", "vec_id", "score", "equal"))).alias("answer"))
 
     salts = F.ceil(F.col("n") / QUERIES_PER_SALT).cast("int")
     answer = reps.select(F.col("rep").alias("qrep"), "vec", salts.alias("salts")).join(answer, "qrep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     sizes = reps.select(F.col("vec").alias("v"), salts.alias("s"))
     ids = asked.join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("s") - 1))), (F.col("vec") == F.col("v")) & (F.pmod(F.xxhash64("id"), F.col("s")) == F.col("salt")))
     ids = ids.select(F.col("id").alias("query_id"), "vec", "salt")
-    others = F.slice(F.filter("answer", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.slice(F.filter("answer", lambda x: ~x["equal"] | (x["vec_id"] != F.col("query_id"))), 1, k)
     out = ids.join(answer, ["vec", "salt"]).select("query_id", F.posexplode(others).alias("place", "hit"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,21 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(base.limit(0), base.limit(0)).count() == 0
 
 
+def test_neighbours_of_an_id_with_many_vectors(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.1, 0.9]), (3, [0.8, 0.2]), (3, [0.8, 0.2])]
+    vectors += [(int(i), [float(x) for x in rng.integers(-3, 4, 2)]) for i in rng.integers(1, 12, 60)]
+    vectors += [(7, [float(i), float(-i)]) for i in range(1, 40)]
+    base = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    rows = sorted({(i, tuple(v)) for i, v in vectors if any(v)})
+    expected = []
+    for i, v in rows:
+        others = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for j, w in rows if (j, w) != (i, v))
+        expected += [(i, rank, j, -score) for rank, (score, j) in enumerate(others[:5], 1)]
+    got = ann.nearest_neighbours(base, base, k=5)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
 def test_stages(spark, odd, empty, tmp_path, bench):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     for start in (odd, empty):
