@@ -34,9 +34,10 @@ from plumbline.session import fresh_path, materialize
 
 MASK_DELTA = 0xA282EAD8
 CACHED_PIECES = 500_000
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 500_000
 BULK = 1_000
 LINE_END = re.compile(r"\n|\s$")
+CUT = re.compile(r"[!-~] ")
 READ_BYTES = 8 << 20
 SHARDS = "shard long, path string, n_docs long, n_tokens long"
 
@@ -127,6 +128,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.piecewise:
             return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(texts) == 1 and len(texts[0]) > BATCH_CHARS:
+            return [np.concatenate([self.gathered([part])[0] for part in parts(texts[0], BATCH_CHARS)])]
+        return self.gathered(texts)
+
+    def gathered(self, texts: list[str]) -> list[np.ndarray]:
         raw = [x.encode() for x in texts]
         data = b"".join(raw)
         starts = np.cumsum([0, *map(len, raw)])
@@ -161,6 +167,18 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def parts(text: str, size: int) -> Iterator[str]:
+    """A long text in parts of ``size`` characters or a little more, so that no array grows with it.
+
+    Cuts stand before a space that follows a visible ASCII character, where a piece begins anyway.
+    """
+    begin = 0
+    while len(text) - begin > size and (cut := CUT.search(text, begin + size - 1)):
+        yield text[begin : cut.start() + 1]
+        begin = cut.start() + 1
+    yield text[begin:]
+
+
 def piece_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of each piece, whether its first character is its own).  ``starts`` has the place of each text, and the end.
 
@@ -297,7 +315,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, sha
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     order = ["doc_id", "digest", "row"]
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"))
     dealt = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
