@@ -9,7 +9,8 @@ In a bucket all members are first compared with one pivot.  Groups of near copie
 linear cost.  A bucket whose members are then in several components is searched with a signature tree:
 its nodes hold the union of their members' token bitmaps and the range of their sizes, and pairs
 of nodes are followed only while the greatest overlap they allow is enough and their members are not
-yet all in one component.
+yet all in one component.  Pairs of leaves are verified on the spot by their exact sets, and each link found joins two
+components of the bucket, so a bucket gives fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ BATCH_CHARS = 1_500_000
 LEAF = 16
 FANOUT = 8
 BLOCK = 1_000
+BLOCK_TOKENS = 2_000_000
 PIVOTS = 3
 CLASS_SALTS = 8
 PARTNERS_PER_CELL = 2_000
@@ -157,9 +159,21 @@ class SignatureTree:
         inside = set(self.components[begin:end].tolist()) if not parts else set().union(*[p.components for p in parts])
         return Node(int(self.sizes[begin]), int(self.sizes[end - 1]), bits, inside, begin, end, parts)
 
-    def pairs(self, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def links(self, sets: dict, percent: int) -> Iterator[tuple[int, int]]:
+        """Classes that link by their exact sets and join two components that no link before has joined."""
+        for i, j in self.pairs(percent):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if self.components[x] == self.components[y]:
+                    continue
+                a, b = int(self.classes[x]), int(self.classes[y])
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    self.components[self.components == self.components[y]] = self.components[x]
+                    yield min(a, b), max(a, b)
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs that may link and are in different components, by dual traversal from the root."""
-        found, todo = [], [(self.root, self.root)]
+        todo = [(self.root, self.root)]
         while todo:
             a, b = todo.pop()
             if len(a.components) == 1 and a.components == b.components:
@@ -172,14 +186,13 @@ class SignatureTree:
             if common + spare < least_overlap(a.low, b.low, percent):
                 continue
             if not a.parts and not b.parts:
-                found.append(self.leaf_pairs(a, b, percent))
+                yield self.leaf_pairs(a, b, percent)
             elif a is b:
                 todo += [(a.parts[i], a.parts[j]) for i in range(len(a.parts)) for j in range(i, len(a.parts))]
             elif not b.parts or (a.parts and a.end - a.begin >= b.end - b.begin):
                 todo += [(p, b) for p in a.parts]
             else:
                 todo += [(a, p) for p in b.parts]
-        return found
 
     def least_bits(self, a: Node) -> int:
         return np.bitwise_count(self.bits[a.begin : a.end]).sum(1).min()
@@ -201,8 +214,8 @@ def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (only_x <= n - least) & (only_y <= m - least)
 
 
-def tree_pairs(percent: int):
-    """Over rows sorted by bucket: the pairs each bucket's tree lets through, many small buckets to a frame."""
+def tree_links(percent: int):
+    """Over rows sorted by bucket: the links each bucket's tree finds, many small buckets to a frame."""
     columns = ["token", "band", "i", "j"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,17 +233,16 @@ def tree_pairs(percent: int):
 
     def found(frame: pd.DataFrame, begins: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
         cls, component, n = (frame[c].to_numpy() for c in ("cls", "component", "n"))
-        sig = frame["sig"].to_numpy()
+        sig, tokens = frame["sig"].to_numpy(), frame["tokens"].to_numpy()
+        out = []
         for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
             if end - begin < 2:
                 continue
             at = begin + np.unique(cls[begin:end], return_index=True)[1]
             tree = SignatureTree(cls[at], component[at], n[at], sig[at])
-            pairs = tree.pairs(percent)
-            if pairs:
-                a, b = tree.classes[np.concatenate([x for x, _ in pairs])], tree.classes[np.concatenate([y for _, y in pairs])]
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            out += tree.links(dict(zip(cls[at].tolist(), tokens[at], strict=True)), percent)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
 
     return search
 
@@ -317,14 +329,17 @@ class Join:
         side = lambda c: self.classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(filter_pairs(self.percent), "a long, b long")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cls, tokens) of the classes in ``wanted`` (cls), each from one document that has it."""
+        chosen = materialize(wanted.join(self.classes, "cls").select("cls", F.col("first.doc_id").alias("d"), F.col("first.digest").alias("g")), "chosen")
+        same = self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["digest"] == F.col("g"))
+        texts = self.docs.join(hinted(chosen, 1_000_000), same).select("cls", "text")
+        return materialize(texts.mapInPandas(member_sets(self.size), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs that link, by exact intersection.  One set a pair is shuffled; hubs' sets go once to each cell."""
         pairs = materialize(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        chosen = materialize(ends.join(self.classes, "cls").select("cls", F.col("first.doc_id").alias("d"), F.col("first.digest").alias("g")), "chosen")
-        same = self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["digest"] == F.col("g"))
-        texts = self.docs.join(hinted(chosen, 1_000_000), same).select("cls", "text")
-        sets = materialize(texts.mapInPandas(member_sets(self.size), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+        sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
         cells = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_PER_CELL).cast("int").alias("cells"))
         cells = materialize(cells, "cells")
         sized = pairs.join(cells, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int"))
@@ -334,31 +349,33 @@ class Join:
         found = hubs.groupBy("hub_id", "hub_cell").cogroup(others.groupBy("a", "cell")).applyInPandas(verified(self.percent), "a long, b long")
         return materialize(found, "links")
 
-    def open_pairs(self, buckets: DataFrame, components: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of different components that the signature trees of unsettled buckets let through."""
+    def open_links(self, buckets: DataFrame, components: DataFrame) -> DataFrame:
+        """Links between different components that the signature trees of unsettled buckets find."""
         own = components.select(F.col("node").alias("cls"), "component")
         named = buckets.select("token", "band", "cls", "n").join(own, "cls", "left")
         named = materialize(named.withColumn("component", F.coalesce("component", "cls")), "named")
         alike = [F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cls")).alias("p"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("q")]
-        sizes = named.groupBy("token", "band").agg(*alike, F.min("component").alias("x"), F.max("component").alias("y")).where("members > 2 and x <> y")
+        sizes = named.groupBy("token", "band").agg(*alike, F.sum("n").alias("tokens"), F.min("component").alias("x"), F.max("component").alias("y")).where("members > 2 and x <> y")
         # Near copies share many tokens: buckets with the same members are searched once.
-        once = sizes.groupBy("members", "p", "q").agg(F.min(F.struct("token", "band")).alias("bucket"))
-        unsettled = once.select("bucket.token", "bucket.band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-        rows = named.join(unsettled, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        once = sizes.groupBy("members", "p", "q", "tokens").agg(F.min(F.struct("token", "band")).alias("bucket"))
+        blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+        unsettled = once.select("bucket.token", "bucket.band", blocks.alias("blocks"))
+        searched = materialize(named.join(unsettled, ["token", "band"]), "searched")
+        sets = self.sets(searched.select("cls").distinct())
+        rows = searched.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        rows = rows.join(self.classes.select("cls", "sig"), "cls").select("token", "band", "i", "j", "cls", "component", "n", "sig")
+        known = self.classes.select("cls", "sig").join(sets, "cls")
+        rows = rows.join(known, "cls").select("token", "band", "i", "j", "cls", "component", "n", "sig", "tokens")
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(tasks, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
-        found = materialize(dealt.mapInPandas(tree_pairs(self.percent), "a long, b long").distinct(), "tree-pairs")
-        return found.join(done, ["a", "b"], "left_anti")
+        return materialize(dealt.mapInPandas(tree_links(self.percent), "a long, b long").distinct(), "tree-links")
 
     def components(self) -> DataFrame:
         """(cls, component): the smallest doc_id of the component of every class that is not alone."""
         buckets = self.buckets()
-        first = materialize(self.signed(self.star_pairs(buckets)), "star-pairs")
-        near = connected_components(self.links(first))
-        more = self.links(self.open_pairs(buckets, near, first))
+        near = connected_components(self.links(self.signed(self.star_pairs(buckets))))
+        more = self.open_links(buckets, near)
         # Later links count once between two components, however many members they join.
         own = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
         parts = more.join(own("a"), "a", "left").join(own("b"), "b", "left")

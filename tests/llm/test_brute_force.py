@@ -294,3 +294,24 @@ def test_pipeline(spark, docs):
     out = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in out) == sorted(i for i, c in copies.items() for _ in range(c))
     assert [r.start for r in sorted(out, key=lambda r: r.start)][0] == 0
+
+def test_tree_links_join_what_brute_force_joins():
+    """Trees alone, without pivots: the components of a bucket are those of all its pairs, from fewer links than members."""
+    rng = np.random.default_rng(3)
+    sets = {}
+    for cls in range(150):
+        own = rng.choice(sets[int(rng.integers(0, cls))], 40, replace=False) if cls and rng.random() < 0.6 else []
+        more = rng.integers(1, 1 << 60, int(rng.integers(2, 6)) if len(own) else 44)
+        sets[cls] = np.unique(np.concatenate([np.asarray(own, np.int64), more]))
+    cls, sizes = np.arange(150), np.array([len(sets[c]) for c in range(150)])
+    token = np.concatenate([sets[c].view(np.uint64) for c in range(150)])
+    for percent in (80, 85, 95):
+        tree = jaccard.SignatureTree(cls, cls.copy(), sizes, jaccard.bitmaps(token, sizes))
+        found = list(tree.links(sets, percent))
+        linked = [(a, b) for a in sets for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        whole, mine = cls.copy(), cls.copy()
+        for groups, pairs in ((whole, linked), (mine, found)):
+            for a, b in pairs:
+                groups[groups == groups[a]] = groups[b]
+        same = lambda g: {frozenset(np.flatnonzero(g == x).tolist()) for x in g}
+        assert same(whole) == same(mine) and len(found) == 150 - len(same(whole))
