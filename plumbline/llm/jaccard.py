@@ -9,8 +9,9 @@ In a bucket all members are first compared with one pivot.  Groups of near copie
 linear cost.  A bucket whose members are then in several components is searched with a signature tree:
 its nodes hold the union of their members' token bitmaps and the range of their sizes, and pairs
 of nodes are followed only while the greatest overlap they allow is enough and their members are not
-yet all in one component.  Pairs of leaves are verified on the spot by their exact sets, and each link found joins two
-components of the bucket, so a bucket gives fewer links than it has members.
+yet all in one component.  A bucket gives its pairs to be verified while they are no more than its members.  One with more is
+searched again with the members' exact sets at hand: a pair is verified on the spot, and each link found joins
+two components of the bucket, so it gives fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -214,8 +215,23 @@ def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (only_x <= n - least) & (only_y <= m - least)
 
 
-def tree_links(percent: int):
-    """Over rows sorted by bucket: the links each bucket's tree finds, many small buckets to a frame."""
+def few_pairs(tree: SignatureTree, percent: int) -> list[tuple[int, int]] | None:
+    """The pairs that a tree lets through, or None as soon as they outnumber its members."""
+    out = []
+    for i, j in tree.pairs(percent):
+        if len(out) + len(i) > len(tree.classes):
+            return None
+        a, b = tree.classes[i], tree.classes[j]
+        out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
+    return out
+
+
+def tree_search(percent: int, exact: bool):
+    """Over rows sorted by bucket, many small buckets to a frame: (dense, x, y, i, j).
+
+    Without sets: pairs (x, y) to verify, or a dense row with token x, band y and block (i, j) for a bucket of too many.
+    With sets: the links (x, y) of each bucket.
+    """
     columns = ["token", "band", "i", "j"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,16 +249,23 @@ def tree_links(percent: int):
 
     def found(frame: pd.DataFrame, begins: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
         cls, component, n = (frame[c].to_numpy() for c in ("cls", "component", "n"))
-        sig, tokens = frame["sig"].to_numpy(), frame["tokens"].to_numpy()
+        sig, where = frame["sig"].to_numpy(), frame[columns].to_numpy()
         out = []
         for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
             if end - begin < 2:
                 continue
             at = begin + np.unique(cls[begin:end], return_index=True)[1]
             tree = SignatureTree(cls[at], component[at], n[at], sig[at])
-            out += tree.links(dict(zip(cls[at].tolist(), tokens[at], strict=True)), percent)
+            if exact:
+                pairs = tree.links(dict(zip(cls[at].tolist(), frame["tokens"].to_numpy()[at], strict=True)), percent)
+            else:
+                pairs = few_pairs(tree, percent)
+            if pairs is None:
+                out.append((True, *where[begin].tolist()))
+            else:
+                out += [(False, a, b, 0, 0) for a, b in pairs]
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["dense", "x", "y", "i", "j"])
 
     return search
 
@@ -349,7 +372,7 @@ class Join:
         found = hubs.groupBy("hub_id", "hub_cell").cogroup(others.groupBy("a", "cell")).applyInPandas(verified(self.percent), "a long, b long")
         return materialize(found, "links")
 
-    def open_links(self, buckets: DataFrame, components: DataFrame) -> DataFrame:
+    def open_links(self, buckets: DataFrame, components: DataFrame, done: DataFrame) -> DataFrame:
         """Links between different components that the signature trees of unsettled buckets find."""
         own = components.select(F.col("node").alias("cls"), "component")
         named = buckets.select("token", "band", "cls", "n").join(own, "cls", "left")
@@ -360,22 +383,34 @@ class Join:
         once = sizes.groupBy("members", "p", "q", "tokens").agg(F.min(F.struct("token", "band")).alias("bucket"))
         blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
         unsettled = once.select("bucket.token", "bucket.band", blocks.alias("blocks"))
-        searched = materialize(named.join(unsettled, ["token", "band"]), "searched")
-        sets = self.sets(searched.select("cls").distinct())
-        rows = searched.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        rows = named.join(unsettled, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        known = self.classes.select("cls", "sig").join(sets, "cls")
-        rows = rows.join(known, "cls").select("token", "band", "i", "j", "cls", "component", "n", "sig", "tokens")
+        rows = materialize(rows.select("token", "band", "i", "j", "cls", "component", "n"), "searched")
+        signatures = self.classes.select("cls", "sig")
+        found = materialize(self.searched(rows.join(signatures, "cls"), False), "tree-pairs")
+        pairs = found.where("not dense").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        links = self.links(pairs.join(done, ["a", "b"], "left_anti"))
+        dense = found.where("dense").select(F.col("x").alias("token"), F.col("y").cast("int").alias("band"), "i", "j")
+        if not dense.limit(1).count():
+            return links
+        crowded = materialize(rows.join(hinted(materialize(dense, "dense")), ["token", "band", "i", "j"]), "crowded")
+        sets = self.sets(crowded.select("cls").distinct())
+        more = self.searched(crowded.join(signatures.join(sets, "cls"), "cls"), True)
+        return links.unionByName(materialize(more.select(F.col("x").alias("a"), F.col("y").alias("b")), "tree-links")).distinct()
+
+    def searched(self, rows: DataFrame, exact: bool) -> DataFrame:
+        key = ["token", "band", "i", "j"]
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(tasks, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
-        return materialize(dealt.mapInPandas(tree_links(self.percent), "a long, b long").distinct(), "tree-links")
+        dealt = rows.select(*key, "cls", "component", "n", "sig", *["tokens"] * exact).repartition(tasks, *key).sortWithinPartitions(*key)
+        return dealt.mapInPandas(tree_search(self.percent, exact), "dense boolean, x long, y long, i int, j int")
 
     def components(self) -> DataFrame:
         """(cls, component): the smallest doc_id of the component of every class that is not alone."""
         buckets = self.buckets()
-        near = connected_components(self.links(self.signed(self.star_pairs(buckets))))
-        more = self.open_links(buckets, near)
+        first = materialize(self.signed(self.star_pairs(buckets)), "star-pairs")
+        near = connected_components(self.links(first))
+        more = self.open_links(buckets, near, first)
         # Later links count once between two components, however many members they join.
         own = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
         parts = more.join(own("a"), "a", "left").join(own("b"), "b", "left")
