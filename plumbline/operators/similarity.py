@@ -7,31 +7,28 @@ Many reviews share one business text, so each distinct business text is one row
 number of reviews that use it: it is cleaned, cut into words and counted once, and its terms enter the
 document frequencies with that number.  Reviews carry only the 128-bit key of their text.
 
-Counting happens inside each row, so a business or source that owns a third of all reviews costs
-nothing extra.  What is shuffled is one document-frequency row per distinct term, and then either
-nothing (the term table and the dictionary are small enough to broadcast, which is checked) or the
-postings of terms that are not hot, and reviews of businesses that are not hot.  A term is hot when it
-holds more than one part in ``HOT_TERMS`` of all postings, so there can never be more than
-``HOT_TERMS`` of them and broadcasting those is always safe.
+Terms are 64-bit numbers (``functions/counting.py``), counted over batches of rows inside tasks, so a business or
+source that owns a third of all reviews costs nothing extra.  What is shuffled is one document-frequency row per
+distinct term of a batch, and then either nothing (the term table and the dictionary are small enough to broadcast,
+which is checked) or the postings of terms that are not hot, and reviews of businesses that are not hot.  A term is hot
+when it holds more than one part in ``HOT_TERMS`` of all postings, so there can never be more than ``HOT_TERMS`` of
+them and broadcasting those is always safe.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from plumbline.functions.ngrams import (
-    is_marked,
-    let,
-    mark_right,
-    pair_sums,
-    right_count,
-    tally,
-    tally_pair,
-    with_pairs,
-    word_ngrams,
-    words,
-)
+from plumbline.functions.counting import frequencies, term_number, weighed_sums, word_numbers
+from plumbline.functions.ngrams import let, pair_sums, tally, tally_pair, word_ngrams, words
 from plumbline.operators.lookup import BROADCAST_ROWS, MAX_HOT_KEYS, lookup_join
 from plumbline.session import materialize
 
@@ -128,14 +125,14 @@ def corpus_cosine(
         ),
         "cleaned",
     )
+    has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     texts = dictionary(table, "_right").select(
         text_key("_right").alias("_biz"), "uses", word_ngrams(F.col("_right")).alias("_terms")
-    )
-    has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    ).withColumn("_holds", has("_terms"))
     scored = dictionary_cosine(
         table.drop("_right"), materialize(texts, "dictionary"), key, terms, n_docs,
         broadcast_terms, hot_terms, broadcast_texts,
-        carry={"_any": has("_words") | has("_terms")},
+        carry={"_any": has("_words") | F.coalesce("_holds", F.lit(False))},
     )
     return scored.filter("_any").drop("_any")
 
@@ -162,80 +159,76 @@ def dictionary_cosine(
     large to broadcast and the business is not hot.
     """
     carry = carry or {}
+    own = reviews.select(word_numbers(F.col("_words")).alias("_ids"), F.lit(1).cast("long").alias("uses"))
+    theirs = F.transform("_terms", term_number)
     if terms is None:
-        one = F.lit(1).cast("long").alias("uses")
-        own = reviews.select(let(F.col("_words"), with_pairs).alias("terms"), one)
-        fitted = _frequencies(own, texts.select(F.col("_terms").alias("terms"), "uses"))
-        terms = materialize(fitted.filter("df >= 2"), "term-table")
+        counted = [_numbered_frequencies(own, True), _numbered_frequencies(texts.select(theirs.alias("_ids"), "uses"), False)]
+        fitted = counted[0].unionByName(counted[1]).groupBy("id").agg(F.sum("df").alias("df"))
+        weights = materialize(fitted.filter("df >= 2"), "term-table")
         n_docs = 2 * (texts.agg(F.sum("uses")).first()[0] or 0)
     elif n_docs is None:
         raise ValueError("a frozen term table needs the number of documents it was fitted on")
+    else:
+        weights = materialize(terms.select(term_number(F.col("term")).alias("id"), "df"), "term-table")
 
-    bounds = (terms, n_docs, broadcast_terms, hot_terms)
-    counted = term_rows(texts, F.col("_terms"), "_biz").withColumn("shared", F.lit(0))
-    norms = _weighted(counted, "_biz", *bounds).select("_biz", F.col("norm").alias("_rr"))
-    marked = texts.withColumn("_marked", mark_right(F.col("_terms"))).join(norms, "_biz", "left")
-    dim = materialize(marked.drop("uses"), "marked-dictionary")
+    table = TermWeights.of(weights, n_docs, broadcast_terms, hot_terms)
+    none = F.lit(None).cast("array<bigint>").alias("_other")
+    norms = table.sums(texts.select("_biz", theirs.alias("_ids"), none), "_biz", False)
+    dim = texts.withColumn("_other", theirs).drop("uses", "_terms").join(
+        norms.select("_biz", F.col("norm").alias("_rr")), "_biz", "left")
+    dim = materialize(dim, "numbered-dictionary")
 
     joined = lookup_join(reviews, dim, "_biz", broadcast_texts, max_hot_texts, written=True)
-    none = F.array().cast("array<string>")
-    both = F.concat(
-        F.coalesce(let(F.col("_words"), with_pairs), none), F.coalesce("_marked", none)
-    )
-    carried = [c.alias(name) for name, c in carry.items()]
-    kept = [key, "_rr", *carry]
-    rows = joined.select(key, "_rr", *carried, tally(both).alias("t")).select(
-        *kept, F.col("t.terms").alias("_all"), F.col("t.counts").alias("_counts"),
-        F.posexplode_outer("t.terms").alias("_i", "term"),
-    )
-    # The first entry always stays, so that every review comes out.
-    mine = ~F.coalesce(is_marked(F.col("term")), F.lit(True))
-    here, there = F.get("_counts", "_i"), right_count(F.col("_all"), F.col("_counts"), F.col("_i"))
-    postings = rows.filter(mine | F.col("_i").isNull() | (F.col("_i") == 0)).select(
-        *kept, "term",
-        F.when(mine, here).otherwise(F.lit(0)).alias("cnt"),
-        F.when(mine, here * there).otherwise(F.lit(0)).alias("shared"),
-    )
-    sums = _weighted(postings, key, *bounds, carry=("_rr", *carry))
+    rows = joined.select(
+        key, "_rr", *[c.alias(name) for name, c in carry.items()], word_numbers(F.col("_words")).alias("_ids"), "_other")
+    sums = table.sums(rows, key, True, "_rr", *carry)
     size = F.sqrt("norm") * F.sqrt(F.coalesce("_rr", F.lit(0.0)))
     cosine = F.when(size > 0, F.col("shared") / size).otherwise(F.lit(0.0))
     return sums.select(key, *carry, cosine.alias("cosine_to_business"))
 
 
-def _weighted(
-    postings: DataFrame,
-    key: str,
-    terms: DataFrame,
-    n_docs: int,
-    broadcast_terms: int,
-    hot_terms: int,
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """``(key, shared, norm, carry...)``: sums of ``shared`` and of squared ``cnt`` weighed by squared idf.
-
-    ``carry`` columns are equal in all postings of a key.
-    """
-
-    def weigh(rows: DataFrame) -> DataFrame:
-        idf = smooth_idf(F.coalesce("df", F.lit(1)), n_docs)
-        cnt = F.col("cnt").cast("double")
-        weighed = rows.select(key, *carry, "shared", cnt.alias("cnt"), (idf * idf).alias("w"))
-        return weighed.groupBy(key).agg(
-            F.sum(F.col("shared") * F.col("w")).alias("shared"),
-            F.sum(F.col("cnt") * F.col("cnt") * F.col("w")).alias("norm"),
-            *[F.max(c).alias(c) for c in carry],
-        )
-
-    if terms.count() <= broadcast_terms:
-        return weigh(postings.join(F.broadcast(terms), "term", "left"))
-    total = terms.agg(F.sum("df")).first()[0]
-    hot_from = -(-total // hot_terms)
-    hot = F.broadcast(terms.filter(F.col("df") >= hot_from))
-    cold = terms.filter(F.col("df") < hot_from)
-    on_hot = weigh(postings.join(hot, "term"))
-    on_cold = weigh(postings.join(hot, "term", "left_anti").join(cold, "term", "left"))
-    sums = [F.sum(c).alias(c) for c in ("shared", "norm")]
-    return on_hot.unionByName(on_cold).groupBy(key).agg(*sums, *[F.max(c).alias(c) for c in carry])
+def _numbered_frequencies(rows: DataFrame, pairs: bool) -> DataFrame:
+    """``(id, df)`` over rows ``(_ids, uses)``, one row a term and part of a task."""
+    return rows.mapInArrow(frequencies(pairs), "id long, df long")
+
+
+@dataclass
+class TermWeights:
+    """Squared idf of terms: at hand for the whole table if it is small, else for hot terms, the rest by a join."""
+
+    terms: DataFrame
+    n_docs: int
+    known: Broadcast
+    whole: bool
+
+    @classmethod
+    def of(cls, terms: DataFrame, n_docs: int, broadcast_terms: int, hot_terms: int) -> "TermWeights":
+        """``terms`` is a written table ``(id, df)``; what reaches the driver is at most one of the two bounds."""
+        n, total = terms.agg(F.count(F.lit(1)), F.sum("df")).first()
+        whole = n <= broadcast_terms
+        hot = (terms if whole else terms.filter(F.col("df") >= -(-total // hot_terms))).toPandas()
+        weights = (np.log((n_docs + 1.0) / (hot["df"].to_numpy(float) + 1.0)) + 1.0) ** 2
+        context = terms.sparkSession.sparkContext
+        return cls(terms, n_docs, context.broadcast((hot["id"].to_numpy(np.int64), weights)), whole)
+
+    def sums(self, rows: DataFrame, key: str, pairs: bool, *carry: str) -> DataFrame:
+        """``(key, shared, norm, carry...)``: weighed sums over the terms of each key; ``carry`` is equal in rows of a key.
+
+        ``rows`` holds ``_ids``, with ``pairs`` words in order, else terms, and ``_other``, terms to be met.
+        """
+        once = (math.log((self.n_docs + 1.0) / 2.0) + 1.0) ** 2 if self.whole else None
+        kept = rows.select(key, *carry).schema
+        schema = StructType([StructField(f.name, f.dataType) for f in kept]).add("id", "long").add("shared", "double").add("norm", "double")
+        run = weighed_sums(pairs, [key, *carry], self.known, once, to_arrow_schema(schema))
+        found = rows.mapInArrow(run, schema)
+        if not self.whole:  # read twice, and counting costs more than writing
+            found = materialize(found, "postings")
+            w = smooth_idf(F.coalesce("df", F.lit(1)), self.n_docs)
+            cold = found.filter("id is not null").join(self.terms, "id", "left").withColumn("_w", w * w)
+            cold = cold.withColumns({c: F.col(c) * F.col("_w") for c in ("shared", "norm")}).drop("_w", "df")
+            found = found.filter("id is null").unionByName(cold)
+        return found.groupBy(key).agg(
+            F.sum("shared").alias("shared"), F.sum("norm").alias("norm"), *[F.max(c).alias(c) for c in carry])
 
 
 def pair_cosine(left: Column, right: Column) -> Column:

@@ -195,3 +195,36 @@ def test_reviews_without_words_are_labeled(spark):
     assert {r["review_id"] for r in found if r["offtopic"]} == {"4"}
     assert all(r["cosine_to_business"] == 0.0 for r in found)
     assert rules.rules_label(df.limit(0)).count() == 0
+
+
+def test_terms_are_counted_as_numbers_not_row_by_row(spark, reviews):
+    """Numbers made in tasks are those Spark gives the terms; a row's terms are not sorted as strings."""
+    import numpy as np
+
+    from plumbline.functions import counting
+
+    text = spark.createDataFrame([("été gpu",), ("gpu",)], "t string")
+    a, b = (r[0] for r in text.select(counting.word_numbers(F.split("t", " "))).collect())
+    pair, word = (r[0] for r in text.select(counting.term_number(F.col("t"))).collect())
+    assert word == b[0] == a[1] and pair == counting.pair_numbers(np.array(a[:1]), np.array(a[1:]))[0]
+
+    table = rules.normalize_for_rules(reviews)
+    plan = similarity.corpus_cosine(table, "norm_text", "norm_biz")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sort_array" not in plan
+
+
+def test_a_long_row_is_one_part_and_others_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.functions import counting
+
+    monkeypatch.setattr(counting, "PART", 4)
+    rows = [[1, 1], None, [2, 3, 2, 3, 2, 3], [], [1, 2], [1, 2]]
+    batch = pa.RecordBatch.from_pydict({"_ids": pa.array(rows, pa.list_(pa.int64())), "uses": pa.array([1, 1, 1, 1, 1, 5])})
+    got = [b["_ids"].to_pylist() for b in counting.parts([batch], "_ids")]
+    assert len(got) > 1 and sum(got, []) == rows
+    df = {}
+    for b in counting.frequencies(False)([batch]):
+        for i, n in zip(b["id"].to_pylist(), b["df"].to_pylist(), strict=True):
+            df[i] = df.get(i, 0) + n
+    assert df == {1: 7, 2: 7, 3: 1}
