@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.base import MIX, batches, fold, scramble
 
-SAMPLE_DOCS = 3_000
 GRAMS_PER_LANGUAGE = 6_000
 SIZES = (2, 3, 4)
 SLOTS = 1 << 18
 PROBES = 2
 CHUNK = 1 << 20
 UNKNOWN = "und"
-BOUND_DOCS = 1_000
+SHARE_STEPS = 1_000_000  # shares are counted in so many bins
 
 
 def letter_table() -> np.ndarray:
@@ -134,21 +133,6 @@ class LanguageFilters:
         return self.judge(text)[:2]
 
 
-def sampled(docs: DataFrame, per_language: int) -> DataFrame:
-    """Up to about ``per_language`` labelled rows of each language, drawn by the md5 of id and text.
-
-    The id only spreads copies of one text over the draw; nothing is learned from it.
-    """
-    labelled = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return labelled.limit(0)
-    name = F.concat_ws("|", F.col("doc_id").cast("string"), "text")
-    draw = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
-    return labelled.where(draw < rate[F.col("lang")])
-
-
 def gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, gram, n) combined per batch."""
     for frame in batches(frames, 500, 2_000_000):
@@ -158,16 +142,16 @@ def gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": np.asarray(n, np.int64)})
 
 
-def top_grams(docs: DataFrame, per_language: int, top: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Each language's ``top`` n-grams and their shares, from a bounded sample of labelled rows.
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.where("lang is not null and text is not null").select("lang", "text")
 
-    Only whole labelled texts are read, at most about ``per_language`` a language.
-    """
-    taken = sampled(docs.select("doc_id", "text", "lang"), per_language)
-    counts = taken.select("lang", "text").mapInPandas(gram_counts, "lang string, gram long, n long")
+
+def top_grams(docs: DataFrame, top: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each language's ``top`` n-grams and their shares, counted over the whole texts of all labelled rows."""
+    counts = labelled(docs).mapInPandas(gram_counts, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = {}
-    languages = sorted(r["lang"] for r in docs.where("lang is not null and text is not null").select("lang").distinct().collect())
+    languages = sorted(r["lang"] for r in labelled(docs).select("lang").distinct().collect())
     counts = counts.where("n > 1").persist()
     for lang in languages:  # a heap per task, then ``top`` rows: bounded by the parameter
         rows = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).select("gram", "n").toPandas()
@@ -203,9 +187,9 @@ def strong_filters(kept: dict[str, tuple[np.ndarray, np.ndarray]], slots: int) -
     return filled({lang: gram[share * 5 >= np.array([largest[g][0] for g in gram.tolist()])] for lang, (gram, share) in kept.items()}, slots)
 
 
-def fit_filters(docs: DataFrame, per_language: int = SAMPLE_DOCS, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> LanguageFilters:
-    """Filters over each language's ``top`` n-grams, from a bounded sample of labelled rows."""
-    return strong_filters(top_grams(docs, per_language, top), slots)
+def fit_filters(docs: DataFrame, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> LanguageFilters:
+    """Filters over each language's ``top`` n-grams, from all labelled rows."""
+    return strong_filters(top_grams(docs, top), slots)
 
 
 @dataclass(frozen=True)
@@ -251,12 +235,13 @@ def left_out(kept: dict[str, tuple[np.ndarray, np.ndarray]], slots: int) -> Left
     return LeftOut(strong_filters(kept, slots), filled(owner, slots), filled(extra, slots))
 
 
-def share_bounds(docs: DataFrame, model: LeftOut, per_language: int = BOUND_DOCS) -> dict[str, float]:
-    """The least corrected share a text of each language must have, from a bounded sample of labelled rows.
+def share_bounds(docs: DataFrame, model: LeftOut) -> dict[str, float]:
+    """The least corrected share a text of each language must have, from all labelled rows.
 
     Stray n-grams are what texts of a learned language give when it is left out, and what their letters give in
     random order.  The bound lies a quarter of the way from the 99th percentile of strays to the first percentile of
-    the language's own texts, but not above the share of all but a thousandth of these, and not below the median of strays.
+    the language's own texts, but not above the share of all but a thousandth of these, and not below the median of strays.  Shares are
+    counted in bins of a millionth, by their lower ends, so what is held for a language does not grow with its rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -267,13 +252,24 @@ def share_bounds(docs: DataFrame, model: LeftOut, per_language: int = BOUND_DOCS
             own, other, mixed = np.array(found).reshape(-1, 3).T
             yield pd.DataFrame({"lang": frame["lang"].to_numpy(), "own": own, "other": other, "mixed": mixed})
 
-    taken = sampled(docs.select("doc_id", "text", "lang"), per_language).select("text", "lang")
-    rows = taken.mapInPandas(measure, "lang string, own double, other double, mixed double").toPandas().groupby("lang")
-    if not len(rows):
+    rows = labelled(docs).mapInPandas(measure, "lang string, own double, other double, mixed double")
+    kinds = [F.struct(F.lit(c).alias("kind"), F.floor(F.col(c) * SHARE_STEPS).alias("bin")) for c in ("own", "other", "mixed")]
+    bins = rows.select("lang", F.explode(F.array(*kinds)).alias("x")).groupBy("lang", "x.kind", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = bins.persist()
+    at = F.expr("percentile(bin, array(0.001, 0.01, 0.5, 0.99), n)").alias("at")
+    found = {(r["lang"], r["kind"]): np.array(r["at"]) / SHARE_STEPS for r in bins.groupBy("lang", "kind").agg(at).collect()}
+    if not found:
+        bins.unpersist()
         return {}
-    stray = [max(rows["other"].quantile(q).mean(), rows["mixed"].quantile(q).mean()) for q in (0.5, 0.99)]
-    own, least = rows["own"].quantile(0.01), rows["own"].quantile(0.001, interpolation="lower")
-    return {lang: max(stray[0], min(stray[1] + (own[lang] - stray[1]) / 4, least[lang])) for lang in own.index}
+    languages = sorted({lang for lang, _ in found})
+    cut = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(found[lang, "own"][0] * SHARE_STEPS))])
+    # Of the two shares between which the thousandth lies, the lower.
+    low = bins.where((F.col("kind") == "own") & (F.col("bin") <= cut[F.col("lang")] + 1e-6)).groupBy("lang").agg(F.max("bin").alias("bin"))
+    least = {r["lang"]: r["bin"] / SHARE_STEPS for r in low.collect()}
+    bins.unpersist()
+    stray = [max(np.mean([found[lang, kind][i] for lang in languages]) for kind in ("other", "mixed")) for i in (2, 3)]
+    own = {lang: found[lang, "own"][1] for lang in languages}
+    return {lang: float(max(stray[0], min(stray[1] + (own[lang] - stray[1]) / 4, least[lang]))) for lang in languages}
 
 
 def predictor(filters: LanguageFilters):
@@ -312,14 +308,14 @@ def identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def known_language(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = SAMPLE_DOCS, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> DataFrame:
+def known_language(docs: DataFrame, folds: int = 4, held: int = 2, top: int = GRAMS_PER_LANGUAGE, slots: int = SLOTS) -> DataFrame:
     """``docs`` without those whose text is of no learned language; all columns stay.
 
     A text goes if its best language's corrected share of n-gram places is zero or lies under ``share_bounds``.  Null
     and letterless texts go, empty tables stay empty, and each of repeated rows is judged by itself.
     """
     training = training_rows(docs, folds, held)
-    model = left_out(top_grams(training, per_language, top), slots)
+    model = left_out(top_grams(training, top), slots)
     bounds = share_bounds(training, model)
     least = F.lit(None).cast("double")
     for lang, bound in bounds.items():
