@@ -1,26 +1,34 @@
 """Policies of any size: phrases as a table, met by words.
 
 ``rules.any_phrase`` tries every phrase on every text, which suits a policy of a few dozen.  Here each
-phrase is keyed by the one of its words that fewest texts hold, so a text meets only phrases whose rarest
-word it has, so its cost follows the phrases under its words; where phrases share few frequent words these are many.  An
+phrase is keyed by the one of its pairs of neighbouring words that fewest texts hold (a phrase of one word by
+that word), so a text meets only phrases whose rarest pair it has, however frequent their words are.  An
 exact test of the whole phrase follows, with the meaning of ``any_phrase``: whole words, any letter case.
 
-The dictionary has one row a word and is joined by ``lookup_join``: broadcast if its counted rows and bytes
-allow, else shuffled with frequent words split off.  Only row numbers and words move; a text moves once, and only
-if it has a candidate.
+Keys are 64-bit numbers; two of one number only give candidates in vain.  The dictionary has one row a key and is
+joined by ``lookup_join``: broadcast if its counted rows and bytes allow, else shuffled with frequent keys split off.
+Only row numbers and keys move, and if the policy's keys may be broadcast only those of the policy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.ngrams import let
 from plumbline.functions.patterns import WORD, any_phrase, ignore_case
-from plumbline.functions.text import norm_rules
-from plumbline.operators.lookup import BROADCAST_ROWS, MAX_HOT_KEYS, lookup_join
+from plumbline.functions.text import is_ascii, norm_rules
+from plumbline.operators.lookup import BROADCAST_ROWS, MAX_HOT_KEYS, fits, lookup_join
 from plumbline.session import materialize
 
 PHRASE_KINDS = ("keyword", "cue", "off_topic")
+# Put where a word begins and ends, so that a phrase of whole words is a substring.
+BEGIN, END = "\x01", "\x02"
+# Where upper and lower case of text functions and of regular expressions may follow different releases of Unicode, and a
+# mark (U+0345) whose upper case is a letter.
+UNEVEN_LETTERS = r"[\x{19B}\x{264}\x{345}\x{1C80}-\x{1C8F}\x{2C2F}\x{2C5F}\x{A7C0}-\x{A7FF}\x{10000}-\x{1EFFF}]"
 # Phrases without any word cannot be keyed and are tried on every text.
 MAX_WORDLESS = 200
 
@@ -36,7 +44,48 @@ def folded(text: Column) -> Column:
 
 def folded_words(text: Column) -> Column:
     """Distinct words of the folded text."""
-    return F.array_distinct(F.regexp_extract_all(folded(text), F.lit(WORD + "+"), F.lit(0)))
+    return F.array_distinct(_in_order(text))
+
+
+def _in_order(text: Column) -> Column:
+    return F.regexp_extract_all(folded(text), F.lit(WORD + "+"), F.lit(0))
+
+
+def _pair_numbers(words: Column) -> Column:
+    pairs = F.zip_with(
+        words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.array_compact(pairs)
+
+
+def text_keys(text: Column, lone: bool) -> Column:
+    """Distinct numbers of the pairs of neighbouring words of a text and, with ``lone``, of its words."""
+    numbers = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    return let(_in_order(text), lambda w: F.array_distinct(
+        F.concat(_pair_numbers(w), numbers(w)) if lone else _pair_numbers(w)))
+
+
+def phrase_keys(pattern: Column) -> Column:
+    """Numbers of a phrase's pairs of neighbouring words, or of its only word."""
+    return let(_in_order(pattern), lambda w: F.when(
+        F.size(w) > 1, F.array_distinct(_pair_numbers(w))).otherwise(F.transform(w, lambda x: F.xxhash64(x))))
+
+
+def is_plain(text: Column) -> Column:
+    """Folding has put one character in each one's place, none of them turning into a letter, so equal folded is equal in any letter case."""
+    marks = text.contains(BEGIN) | text.contains(END)
+    return ~marks & (is_ascii(text) | (F.length(folded(text)) == F.length(text)) & ~text.rlike(UNEVEN_LETTERS))
+
+
+def marked_words(text: Column) -> Column:
+    """The folded text with marks where words begin and end."""
+    return F.regexp_replace(folded(text), f"({WORD}+)", f"{BEGIN}$1{END}")
+
+
+def marked_phrase(pattern: Column) -> Column:
+    """What a marked text holds if and only if it holds the phrase: before and behind other characters stands a word."""
+    before = F.when(pattern.rlike(f"^{WORD}"), F.lit("")).otherwise(F.lit(END))
+    after = F.when(pattern.rlike(f"{WORD}$"), F.lit("")).otherwise(F.lit(BEGIN))
+    return F.concat(before, marked_words(pattern), after)
 
 
 def whole_words(pattern: Column) -> Column:
@@ -53,12 +102,15 @@ def phrase_rows(policy: DataFrame) -> DataFrame:
     return rows.select("kind", F.lower("category").alias("category"), "pattern").distinct()
 
 
-def phrase_dictionary(held: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(word, patterns)``: each phrase, as it is and folded, under the one of its words that fewest rows of ``held`` have.
+def phrase_dictionary(
+    held: DataFrame, patterns: DataFrame, keys: Callable[[Column], Column] = folded_words
+) -> DataFrame:
+    """``(word, patterns)``: each phrase under the one of its ``keys`` that fewest rows of ``held`` have.
 
-    ``held`` has one row ``(row, word)`` per row and distinct word.  Ties go to the first word.
+    With each phrase comes whether it is plain, and its marked form if it is, else its folded one.
+    ``held`` has one row ``(row, word)`` per row and distinct key.  Ties go to the first key.
     """
-    by_word = patterns.select("pattern", F.explode(folded_words(F.col("pattern"))).alias("word"))
+    by_word = patterns.select("pattern", F.explode(keys(F.col("pattern"))).alias("word"))
     # Combined in the task that reads the words, so a frequent word sends one row a task.
     counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
     rated = by_word.join(counts, "word", "left")
@@ -66,8 +118,10 @@ def phrase_dictionary(held: DataFrame, patterns: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word")).alias("best")
     )
     found = rarest.filter("best.texts > 0")  # a phrase whose word no text holds is nowhere
-    return found.groupBy(F.col("best.word").alias("word")).agg(
-        F.collect_list(F.struct("pattern", folded(F.col("pattern")).alias("folded"))).alias("patterns")
+    form = F.when(F.col("plain"), marked_phrase(F.col("pattern"))).otherwise(folded(F.col("pattern")))
+    formed = found.withColumn("plain", is_plain(F.col("pattern"))).withColumn("form", form)
+    return formed.groupBy(F.col("best.word").alias("word")).agg(
+        F.collect_list(F.struct("pattern", "plain", "form")).alias("patterns")
     )
 
 
@@ -89,18 +143,29 @@ def phrase_matches(
     if len(wordless) > MAX_WORDLESS:
         raise ValueError(f"more than {MAX_WORDLESS} phrases hold no word")
 
-    held = materialize(table.select(key, F.explode(folded_words(F.col(text))).alias("word")), "held-words")
-    words = materialize(phrase_dictionary(held, patterns), "phrase-words")
+    numbers = materialize(patterns.select(F.explode(phrase_keys(F.col("pattern"))).alias("word")).distinct(), "phrase-keys")
+    lone = not patterns.filter(F.size(_in_order(F.col("pattern"))) == 1).isEmpty()
+    held = table.select(key, F.explode(text_keys(F.col(text), lone)).alias("word"))
+    if fits(numbers, broadcast_words):
+        held = held.join(F.broadcast(numbers), "word", "left_semi")
+    held = materialize(held.select(key, "word"), "held-keys")
+    words = materialize(phrase_dictionary(held, patterns, phrase_keys), "phrase-words")
     met = lookup_join(held, words, "word", broadcast_words, max_hot_words, written=True)
-    # A phrase has one word, so it comes once a row; a row has at most every phrase of the policy.
+    # A phrase has one key, so it comes once a row; a row has at most every phrase of the policy.
     candidates = met.filter("patterns is not null").groupBy(key).agg(
         F.flatten(F.collect_list("patterns")).alias("_patterns")
     )
-    whole = table.select(key, text, folded(F.col(text)).alias("_folded")).join(candidates, key)
-    # The substring test is cheap and spares nearly all regular expressions, which are compiled one by one.
-    near = whole.select(key, text, F.filter("_patterns", lambda p: F.contains("_folded", p["folded"])).alias("near"))
-    exact = F.filter("near", lambda p: F.rlike(F.col(text), whole_words(p["pattern"])))
-    found = near.select(key, F.transform(exact, lambda p: p["pattern"]).alias("matched"))
+    whole = table.select(key, text).join(candidates, key)
+
+    def holds(t: Column, p: Column) -> Column:
+        """Substrings decide between plain texts and phrases; else they spare regular expressions, which are compiled one by one."""
+        bare = F.when(p["plain"], F.translate(p["form"], BEGIN + END, "")).otherwise(p["form"])
+        tried = F.contains(t["folded"], bare) & F.rlike(F.col(text), whole_words(p["pattern"]))
+        return F.when(t["plain"] & p["plain"], F.contains(t["marked"], p["form"])).otherwise(tried)
+
+    forms = F.struct(folded(F.col(text)).alias("folded"), marked_words(F.col(text)).alias("marked"), is_plain(F.col(text)).alias("plain"))
+    exact = let(forms, lambda t: F.filter("_patterns", lambda p: holds(t, p)))
+    found = whole.select(key, F.transform(exact, lambda p: p["pattern"]).alias("matched"))
     if wordless:
         tests = [F.when(any_phrase(F.col(text), [r[0]]), F.lit(r[0])) for r in wordless]
         found = found.unionByName(table.select(key, F.array_compact(F.array(*tests)).alias("matched")))

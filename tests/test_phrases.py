@@ -92,3 +92,31 @@ def test_policy_from_table(spark):
     df = spark.createDataFrame([("1", "call now", "Spa")], "review_id string, review_text string, biz_cats string")
     hit = rules.ads_hit(F.col("review_text"), back)
     assert df.select(hit).first()[0]
+
+
+def test_key_is_the_rarest_pair(spark, table, monkeypatch):
+    """Words that all texts hold give no candidates where their pairs are rare."""
+    rows = [(i, f"one two three {i}" if i else "three two one") for i in range(50)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    met = []
+    join = phrases.lookup_join
+
+    def seen(held, words, *args, **options):
+        met.append(join(held, words, *args, **options).filter("patterns is not null").count())
+        return join(held, words, *args, **options)
+
+    monkeypatch.setattr(phrases, "lookup_join", seen)
+    found = phrases.phrase_matches(texts, policy(spark, ["three two", "two one", "three two one"]), "text", "id")
+    assert [tuple(r) for r in found.collect()] == [(0, ["three two", "three two one", "two one"])]
+    assert met[0] <= 2
+
+
+def test_marks_are_the_boundaries_of_words(spark):
+    texts = ["a, b", "aa, b", "a, bb", ", b", "x a, b y", "a\x01, b", "İa, b", "ﬁ, b", "A, ß", "a, ƛ", "über, ÉTÉ", "ͅa, b"]
+    wanted = ["a, b", ", b", "a,", " b", "A, B", "fi, b", "a, ss", "a, ß", "a, Ƛ", "ÜBER, été", "\x01, b", "b"]
+    rows = spark.createDataFrame([(t, p) for t in texts for p in wanted], "t string, p string")
+    marked = phrases.marked_words(F.col("t")).contains(phrases.marked_phrase(F.col("p")))
+    plain = phrases.is_plain(F.col("t")) & phrases.is_plain(F.col("p"))
+    tried = rows.select("t", "p", marked.alias("m"), F.rlike("t", phrases.whole_words(F.col("p"))).alias("r"), plain.alias("plain")).collect()
+    assert [(x["t"], x["p"]) for x in tried if x["plain"] and x["m"] != x["r"]] == []
+    assert sum(x["plain"] for x in tried) > 60 and not any(x["plain"] for x in tried if x["t"] in ("A, ß", "a, ƛ", "a\x01, b"))
