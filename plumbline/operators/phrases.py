@@ -26,6 +26,7 @@ from plumbline.session import materialize
 PHRASE_KINDS = ("keyword", "cue", "off_topic")
 # Put where a word begins and ends, so that a phrase of whole words is a substring.
 BEGIN, END = "\x01", "\x02"
+SHARP_S = "ƻ"
 # Where upper and lower case of text functions and of regular expressions may follow different releases of Unicode, and a
 # mark (U+0345) whose upper case is a letter.
 UNEVEN_LETTERS = r"[\x{19B}\x{264}\x{345}\x{1C80}-\x{1C8F}\x{2C2F}\x{2C5F}\x{A7C0}-\x{A7FF}\x{10000}-\x{1EFFF}]"
@@ -70,15 +71,21 @@ def phrase_keys(pattern: Column) -> Column:
         F.size(w) > 1, F.array_distinct(_pair_numbers(w))).otherwise(F.transform(w, lambda x: F.xxhash64(x))))
 
 
+def _single(text: Column) -> Column:
+    """Sharp s, which folding would make two letters, as one letter without case that stands for it."""
+    return F.translate(text, "ßẞ", SHARP_S * 2)
+
+
 def is_plain(text: Column) -> Column:
     """Folding has put one character in each one's place, none of them turning into a letter, so equal folded is equal in any letter case."""
-    marks = text.contains(BEGIN) | text.contains(END)
-    return ~marks & (is_ascii(text) | (F.length(folded(text)) == F.length(text)) & ~text.rlike(UNEVEN_LETTERS))
+    taken = text.contains(BEGIN) | text.contains(END)
+    even = (F.length(folded(_single(text))) == F.length(text)) & ~text.contains(SHARP_S) & ~text.rlike(UNEVEN_LETTERS)
+    return ~taken & (is_ascii(text) | even)
 
 
 def marked_words(text: Column) -> Column:
     """The folded text with marks where words begin and end."""
-    return F.regexp_replace(folded(text), f"({WORD}+)", f"{BEGIN}$1{END}")
+    return F.regexp_replace(folded(_single(text)), f"({WORD}+)", f"{BEGIN}$1{END}")
 
 
 def marked_phrase(pattern: Column) -> Column:
@@ -159,13 +166,16 @@ def phrase_matches(
 
     def holds(t: Column, p: Column) -> Column:
         """Substrings decide between plain texts and phrases; else they spare regular expressions, which are compiled one by one."""
-        bare = F.when(p["plain"], F.translate(p["form"], BEGIN + END, "")).otherwise(p["form"])
-        tried = F.contains(t["folded"], bare) & F.rlike(F.col(text), whole_words(p["pattern"]))
-        return F.when(t["plain"] & p["plain"], F.contains(t["marked"], p["form"])).otherwise(tried)
+        bare = F.when(p["plain"], F.replace(F.translate(p["form"], BEGIN + END, ""), F.lit(SHARP_S), F.lit("SS"))).otherwise(p["form"])
+        full = F.when(t["plain"], folded(F.col(text))).otherwise(t["form"])
+        tried = F.contains(full, bare) & F.rlike(F.col(text), whole_words(p["pattern"]))
+        return F.when(t["plain"] & p["plain"], F.contains(t["form"], p["form"])).otherwise(tried)
 
-    forms = F.struct(folded(F.col(text)).alias("folded"), marked_words(F.col(text)).alias("marked"), is_plain(F.col(text)).alias("plain"))
+    forms = let(is_plain(F.col(text)), lambda plain: F.struct(
+        plain.alias("plain"), F.when(plain, marked_words(F.col(text))).otherwise(folded(F.col(text))).alias("form")))
     exact = let(forms, lambda t: F.filter("_patterns", lambda p: holds(t, p)))
     found = whole.select(key, F.transform(exact, lambda p: p["pattern"]).alias("matched"))
+    found = materialize(found, "matched")  # a filter on what was found would find it twice
     if wordless:
         tests = [F.when(any_phrase(F.col(text), [r[0]]), F.lit(r[0])) for r in wordless]
         found = found.unionByName(table.select(key, F.array_compact(F.array(*tests)).alias("matched")))
