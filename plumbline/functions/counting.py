@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +53,9 @@ def pair_numbers(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _hashed(right.view(np.uint64), _hashed(left.view(np.uint64), np.uint64(42))).view(np.int64)
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str, size: int = PART) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that lists of ``column`` hold about ``size`` entries together."""
+def parts(batches: Iterator[pa.RecordBatch], column: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that lists of ``column`` hold about ``size`` entries together, by default ``PART``."""
+    size = size or PART
     for batch in batches:
         sizes = pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes) // size
@@ -103,11 +104,89 @@ def frequencies(pairs: bool):
     return run
 
 
-def weighed_sums(pairs: bool, carry: list[str], known, other: float | None, schema: pa.Schema):
-    """Per row one row with its sums over terms of known weight, and a row ``id, shared, norm`` per term of unknown weight.
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each number; it never falls as numbers without sign rise."""
+    return ((ids.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _cuts(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets that numbers in order (without sign) fall into, and where."""
+    there = bucket_of(ids, buckets)
+    ends = [*np.flatnonzero(np.diff(there, prepend=-1)).tolist(), len(there)]
+    for begin, end in zip(ends[:-1], ends[1:], strict=True):
+        yield int(there[begin]), slice(begin, end)
+
+
+def _unpacked(table: pa.Table, column: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), kind) for v in table[column]]
+
+
+# Frequencies of the terms of a bucket: numbers in order without sign, how often each occurs, their number and the sum.
+FREQUENCIES = "bucket int, ids binary, df binary, n long, total long"
+
+
+def _frequencies_row(bucket: int, ids: np.ndarray, df: np.ndarray) -> tuple:
+    return bucket, ids.astype("<i8").tobytes(), df.astype("<i8").tobytes(), len(ids), int(df.sum())
+
+
+def _frequencies_table(rows: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+
+
+def packed_frequencies(counted, buckets: int):
+    """``FREQUENCIES`` of what ``counted`` gives for a task, a row for a bucket of each of its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in counted(batches):
+            ids = batch["id"].to_numpy(zero_copy_only=False)
+            df = pc.fill_null(batch["df"], 1).to_numpy(zero_copy_only=False)
+            order = np.argsort(ids.view(np.uint64))
+            ids, df = ids[order], df[order]
+            rows = [_frequencies_row(bucket, ids[at], df[at]) for bucket, at in _cuts(ids, buckets)]
+            yield pa.RecordBatch.from_arrays(_frequencies_table(rows), names=["bucket", "ids", "df", "n", "total"])
+
+    return run
+
+
+def summed_frequencies(least: int):
+    """One row of ``FREQUENCIES`` for a bucket: terms that occur ``least`` times or more, over all its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, df = (np.concatenate(_unpacked(table, c, "<i8")) for c in ("ids", "df"))
+        order = np.argsort(ids.view(np.uint64))
+        ids, df = ids[order], df[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+        ids, df = ids[new], np.add.reduceat(df, new) if len(new) else df
+        ids, df = ids[df >= least], df[df >= least]
+        row = _frequencies_row(table["bucket"][0].as_py(), ids, df)
+        return pa.Table.from_arrays(_frequencies_table([row]), names=["bucket", "ids", "df", "n", "total"])
+
+    return run
+
+
+def frequent(least: int):
+    """``(id, df)`` of terms of ``FREQUENCIES`` that occur ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, df = (np.frombuffer(batch[c][i].as_buffer(), "<i8") for c in ("ids", "df"))
+                kept = df >= least
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[kept]), "df": pa.array(df[kept])})
+
+    return run
+
+
+# Postings of a part's terms in a bucket, in order: number, row in the part, count; and of those that ``_other`` holds: place, product.
+POSTINGS = {"part": "long", "row": "integer", "bucket": "integer", "ids": "binary", "rows": "binary", "cnt": "binary", "at": "binary", "met": "binary"}
+
+
+def weighed_sums(pairs: bool, carry: list[str], known, other: float | None, schema: pa.Schema, buckets: int):
+    """Per row one row with its sums over terms of known weight, and ``POSTINGS`` of terms of unknown weight, a row for a bucket of a part.
 
     ``known`` is a broadcast of term numbers and weights.  ``other`` is the weight of all other terms, or none if it is not
-    known.  ``shared`` is the count times that in ``_other``, ``norm`` the squared count.
+    known.  ``shared`` is the count times that in ``_other``, ``norm`` the squared count.  A row is found by ``part`` and ``row``.
     """
     index = []
 
@@ -115,7 +194,8 @@ def weighed_sums(pairs: bool, carry: list[str], known, other: float | None, sche
         if not index:
             index.append(pd.Index(known.value[0]))
         weights = np.append(known.value[1], np.nan if other is None else other)
-        for batch in parts(batches, "_ids"):
+        task = TaskContext.get().partitionId() << 32
+        for part, batch in enumerate(parts(batches, "_ids"), task):
             ids, row = numbered(batch["_ids"], pairs)
             there, row_there = entries(batch["_other"])
             code, names = pd.factorize(np.concatenate([ids, there]))
@@ -133,10 +213,71 @@ def weighed_sums(pairs: bool, carry: list[str], known, other: float | None, sche
             w[cold] = 0.0
             n = batch.num_rows
             sums = {"shared": np.bincount(rows, shared * w, n), "norm": np.bincount(rows, norm * w, n)}
-            yield _filled(schema, n, {c: batch[c] for c in carry} | {c: pa.array(v) for c, v in sums.items()})
+            place = {"part": pa.array(np.full(n, part)), "row": pa.array(np.arange(n))}
+            yield _filled(schema, n, {c: batch[c] for c in carry} | {c: pa.array(v) for c, v in sums.items()} | place)
             if len(cold):
-                found = {carry[0]: batch[carry[0]].take(pa.array(rows[cold])), "id": pa.array(names[held[cold]])}
-                yield _filled(schema, len(cold), found | {"shared": pa.array(shared[cold]), "norm": pa.array(norm[cold])})
+                found = names[held[cold]]
+                order = np.argsort(found.view(np.uint64))
+                found, cold = found[order], cold[order]
+                yield _postings(schema, part, buckets, found, rows[cold], cnt[cold], shared[cold])
+
+    return run
+
+
+def _postings(schema: pa.Schema, part: int, buckets: int, ids, rows, cnt, shared) -> pa.RecordBatch:
+    columns: dict[str, list] = {c: [] for c in ("bucket", "ids", "rows", "cnt", "at", "met")}
+    for bucket, cut in _cuts(ids, buckets):
+        met = np.flatnonzero(shared[cut])
+        arrays = (ids[cut].astype("<i8"), rows[cut].astype("<i4"), cnt[cut].astype("<i4"), met.astype("<i4"), shared[cut][met].astype("<f8"))
+        for name, cell in zip(columns, (bucket, *[a.tobytes() for a in arrays]), strict=True):
+            columns[name].append(cell)
+    n = len(columns["bucket"])
+    return _filled(schema, n, {"part": pa.array(np.full(n, part))} | {c: pa.array(v) for c, v in columns.items()})
+
+
+# Sums of the rows of a part over the terms of a bucket: rows and their norms, rows and their shared sums.
+SUMS = "part long, rows binary, norm binary, sharing binary, shared binary"
+
+
+def weighed_postings(n_docs: int):
+    """``SUMS`` of each part that has ``POSTINGS`` in a bucket; a term without a frequency occurs once."""
+
+    def run(postings: pa.Table, frequencies: pa.Table) -> pa.Table:
+        known, df = (np.concatenate([np.zeros(0, np.int64), *_unpacked(frequencies, c, "<i8")]) for c in ("ids", "df"))
+        known = known.view(np.uint64)
+        columns = {c: _unpacked(postings, c, kind) for c, kind in (("ids", "<u8"), ("rows", "<i4"), ("cnt", "<i4"), ("at", "<i4"), ("met", "<f8"))}
+        out: dict[str, list] = {c: [] for c in ("rows", "norm", "sharing", "shared")}
+        for ids, rows, cnt, at, met in zip(*columns.values(), strict=True):
+            found = np.ones(len(ids))
+            if len(known):
+                place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                found = np.where(known[place] == ids, df[place], 1.0)
+            w = (np.log((n_docs + 1.0) / (found + 1.0)) + 1.0) ** 2
+            norm, shared = np.bincount(rows, cnt.astype(float) ** 2 * w), np.bincount(rows[at], met * w[at])
+            # Only rows with terms in the bucket, so what moves on grows no faster than the postings.
+            own, sharing = np.flatnonzero(norm), np.flatnonzero(shared)
+            arrays = (own.astype("<i4"), norm[own], sharing.astype("<i4"), shared[sharing])
+            for name, cell in zip(out, arrays, strict=True):
+                out[name].append(cell.tobytes())
+        names = ["part", *out]
+        return pa.Table.from_arrays([postings["part"], *[pa.array(v, pa.binary()) for v in out.values()]], names=names)
+
+    return run
+
+
+def added_sums(schema: pa.Schema):
+    """Rows of a part with ``SUMS`` of all buckets added to those they bring."""
+
+    def run(rows: pa.Table, sums: pa.Table) -> pa.Table:
+        at = rows["row"].to_numpy()
+        place = np.zeros(len(at), np.int64)
+        place[at] = np.arange(len(at))
+        total = {c: rows[c].to_numpy().copy() for c in ("shared", "norm")}
+        for name, named in (("norm", "rows"), ("shared", "sharing")):
+            for where, values in zip(_unpacked(sums, named, "<i4"), _unpacked(sums, name, "<f8"), strict=True):
+                total[name][place[where]] += values
+        columns = [pa.chunked_array([pa.array(total[f.name])]) if f.name in total else rows[f.name] for f in schema]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 

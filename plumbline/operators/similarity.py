@@ -10,7 +10,8 @@ document frequencies with that number.  Reviews carry only the 128-bit key of th
 Terms are 64-bit numbers (``functions/counting.py``), counted over batches of rows inside tasks, so a business or
 source that owns a third of all reviews costs nothing extra.  What is shuffled is one document-frequency row per
 distinct term of a batch, and then either nothing (the term table and the dictionary are small enough to broadcast,
-which is checked) or the postings of terms that are not hot, and reviews of businesses that are not hot.  A term is hot
+which is checked) or the postings of terms that are not hot, and reviews of businesses that are not hot.  Frequencies and
+postings move packed, as binary arrays of a bucket of terms, and never as rows of their own.  A term is hot
 when it holds more than one part in ``HOT_TERMS`` of all postings, so there can never be more than ``HOT_TERMS`` of
 them and broadcasting those is always safe.
 """
@@ -27,7 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.functions.counting import frequencies, term_number, weighed_sums, word_numbers
+from plumbline.functions.counting import (
+    FREQUENCIES,
+    POSTINGS,
+    SUMS,
+    added_sums,
+    frequencies,
+    frequent,
+    packed_frequencies,
+    summed_frequencies,
+    term_number,
+    weighed_postings,
+    weighed_sums,
+    word_numbers,
+)
 from plumbline.functions.ngrams import let, pair_sums, tally, tally_pair, word_ngrams, words
 from plumbline.operators.lookup import BROADCAST_ROWS, MAX_HOT_KEYS, lookup_join
 from plumbline.session import materialize
@@ -35,6 +49,8 @@ from plumbline.session import materialize
 # Term tables of at most this many rows are broadcast whole (about 100 bytes each).
 BROADCAST_TERMS = 1_000_000
 HOT_TERMS = 100_000
+# Postings of a bucket of terms, about; a task holds a bucket.  There are fewer where tasks would be idle.
+BUCKET_POSTINGS, LEAST_POSTINGS = 1 << 23, 1 << 17
 
 
 def term_rows(df: DataFrame, terms: Column, *carry: str) -> DataFrame:
@@ -161,17 +177,23 @@ def dictionary_cosine(
     carry = carry or {}
     own = reviews.select(word_numbers(F.col("_words")).alias("_ids"), F.lit(1).cast("long").alias("uses"))
     theirs = F.transform("_terms", term_number)
+    buckets = _buckets(reviews)
     if terms is None:
-        counted = [_numbered_frequencies(own, True), _numbered_frequencies(texts.select(theirs.alias("_ids"), "uses"), False)]
-        fitted = counted[0].unionByName(counted[1]).groupBy("id").agg(F.sum("df").alias("df"))
-        weights = materialize(fitted.filter("df >= 2"), "term-table")
+        shared = texts.select(theirs.alias("_ids"), "uses")
+        counted = [
+            rows.mapInArrow(packed_frequencies(frequencies(pairs), buckets), FREQUENCIES)
+            for rows, pairs in ((own, True), (shared, False))
+        ]
+        fitted, least = counted[0].unionByName(counted[1]), 2
         n_docs = 2 * (texts.agg(F.sum("uses")).first()[0] or 0)
     elif n_docs is None:
         raise ValueError("a frozen term table needs the number of documents it was fitted on")
     else:
-        weights = materialize(terms.select(term_number(F.col("term")).alias("id"), "df"), "term-table")
+        numbers = terms.select(term_number(F.col("term")).alias("id"), F.col("df").cast("long").alias("df"))
+        fitted, least = numbers.mapInArrow(packed_frequencies(iter, buckets), FREQUENCIES), 0
+    weights = materialize(fitted.groupBy("bucket").applyInArrow(summed_frequencies(least), FREQUENCIES), "term-table")
 
-    table = TermWeights.of(weights, n_docs, broadcast_terms, hot_terms)
+    table = TermWeights.of(weights, n_docs, broadcast_terms, hot_terms, buckets)
     none = F.lit(None).cast("array<bigint>").alias("_other")
     norms = table.sums(texts.select("_biz", theirs.alias("_ids"), none), "_biz", False)
     dim = texts.withColumn("_other", theirs).drop("uses", "_terms").join(
@@ -187,29 +209,36 @@ def dictionary_cosine(
     return sums.select(key, *carry, cosine.alias("cosine_to_business"))
 
 
-def _numbered_frequencies(rows: DataFrame, pairs: bool) -> DataFrame:
-    """``(id, df)`` over rows ``(_ids, uses)``, one row a term and part of a task."""
-    return rows.mapInArrow(frequencies(pairs), "id long, df long")
+def _buckets(reviews: DataFrame) -> int:
+    """How many buckets the terms of rows with ``_words`` are dealt to."""
+    postings = 2 * (reviews.agg(F.sum(F.size("_words"))).first()[0] or 0)
+    cores = reviews.sparkSession.sparkContext.defaultParallelism
+    return max(1 + postings // BUCKET_POSTINGS, min(2 * cores, 1 + postings // LEAST_POSTINGS))
 
 
 @dataclass
 class TermWeights:
-    """Squared idf of terms: at hand for the whole table if it is small, else for hot terms, the rest by a join."""
+    """Squared idf of terms: at hand for the whole table if it is small, else for hot terms, the rest bucket by bucket.
+
+    What is left of a part of rows is packed, a row for a bucket, and meets the frequencies of its bucket in one task; the
+    sums of each row come back packed too.
+    """
 
     terms: DataFrame
     n_docs: int
     known: Broadcast
     whole: bool
+    buckets: int
 
     @classmethod
-    def of(cls, terms: DataFrame, n_docs: int, broadcast_terms: int, hot_terms: int) -> "TermWeights":
-        """``terms`` is a written table ``(id, df)``; what reaches the driver is at most one of the two bounds."""
-        n, total = terms.agg(F.count(F.lit(1)), F.sum("df")).first()
+    def of(cls, terms: DataFrame, n_docs: int, broadcast_terms: int, hot_terms: int, buckets: int) -> "TermWeights":
+        """``terms`` is a written table of ``FREQUENCIES``; what reaches the driver is at most one of the two bounds."""
+        n, total = terms.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
         whole = n <= broadcast_terms
-        hot = (terms if whole else terms.filter(F.col("df") >= -(-total // hot_terms))).toPandas()
+        hot = terms.mapInArrow(frequent(0 if whole else -(-total // hot_terms)), "id long, df long").toPandas()
         weights = (np.log((n_docs + 1.0) / (hot["df"].to_numpy(float) + 1.0)) + 1.0) ** 2
         context = terms.sparkSession.sparkContext
-        return cls(terms, n_docs, context.broadcast((hot["id"].to_numpy(np.int64), weights)), whole)
+        return cls(terms, n_docs, context.broadcast((hot["id"].to_numpy(np.int64), weights)), whole, buckets)
 
     def sums(self, rows: DataFrame, key: str, pairs: bool, *carry: str) -> DataFrame:
         """``(key, shared, norm, carry...)``: weighed sums over the terms of each key; ``carry`` is equal in rows of a key.
@@ -218,15 +247,22 @@ class TermWeights:
         """
         once = (math.log((self.n_docs + 1.0) / 2.0) + 1.0) ** 2 if self.whole else None
         kept = rows.select(key, *carry).schema
-        schema = StructType([StructField(f.name, f.dataType) for f in kept]).add("id", "long").add("shared", "double").add("norm", "double")
-        run = weighed_sums(pairs, [key, *carry], self.known, once, to_arrow_schema(schema))
+        own = StructType([StructField(f.name, f.dataType) for f in kept]).add("shared", "double").add("norm", "double")
+        schema = StructType(list(own.fields))
+        for name, kind in POSTINGS.items():
+            schema = schema.add(name, kind)
+        run = weighed_sums(pairs, [key, *carry], self.known, once, to_arrow_schema(schema), self.buckets)
         found = rows.mapInArrow(run, schema)
-        if not self.whole:  # read twice, and counting costs more than writing
+        if self.whole:
+            found = found.select(*own.names)
+        else:  # read twice, and counting costs more than writing
             found = materialize(found, "postings")
-            w = smooth_idf(F.coalesce("df", F.lit(1)), self.n_docs)
-            cold = found.filter("id is not null").join(self.terms, "id", "left").withColumn("_w", w * w)
-            cold = cold.withColumns({c: F.col(c) * F.col("_w") for c in ("shared", "norm")}).drop("_w", "df")
-            found = found.filter("id is null").unionByName(cold)
+            postings = found.filter("bucket is not null").select("part", "bucket", "ids", "rows", "cnt", "at", "met")
+            sums = postings.groupBy("bucket").cogroup(self.terms.select("bucket", "ids", "df").groupBy("bucket"))
+            sums = sums.applyInArrow(weighed_postings(self.n_docs), SUMS)
+            counted = found.filter("bucket is null").select("part", "row", *own.names)
+            both = counted.groupBy("part").cogroup(sums.groupBy("part"))
+            found = both.applyInArrow(added_sums(to_arrow_schema(own)), own)
         return found.groupBy(key).agg(
             F.sum("shared").alias("shared"), F.sum("norm").alias("norm"), *[F.max(c).alias(c) for c in carry])
 

@@ -228,3 +228,34 @@ def test_a_long_row_is_one_part_and_others_are_cut(monkeypatch):
         for i, n in zip(b["id"].to_pylist(), b["df"].to_pylist(), strict=True):
             df[i] = df.get(i, 0) + n
     assert df == {1: 7, 2: 7, 3: 1}
+
+
+def test_postings_and_frequencies_move_packed(reviews, monkeypatch):
+    """Terms over many buckets give what one bucket gives, and no term is a row of its own that joins its weight."""
+    clean = rules.normalize_for_rules(reviews)
+    plain = similarity.corpus_cosine(clean, "norm_text", "norm_biz").collect()
+    written, materialize = {}, similarity.materialize
+
+    def noted(df, name):
+        written[name] = table = materialize(df, name)
+        return table
+
+    monkeypatch.setattr(similarity, "materialize", noted)
+    monkeypatch.setattr(similarity, "LEAST_POSTINGS", 20)
+    split = similarity.corpus_cosine(clean, "norm_text", "norm_biz", broadcast_terms=0, hot_terms=1)
+    close(dict(map(tuple, split.collect())), dict(map(tuple, plain)))
+    buckets = written["term-table"].agg(F.count_distinct("bucket"), F.count("bucket"), F.sum("n")).first()
+    assert 1 < buckets[0] == buckets[1] < buckets[2]
+    assert not any(re.search(r"\bid#", columns) for columns in exchanged_columns(split))
+
+
+def test_reviews_under_one_key_are_summed_over_buckets(reviews, monkeypatch):
+    """Rows of one key count as one document, wherever their terms lie; unknown terms of a frozen table count as rare."""
+    clean = rules.normalize_for_rules(reviews.unionByName(reviews.filter("review_id < '5'")))
+    frozen = dict(terms=similarity.doc_freq(clean, "norm_text", "norm_biz").filter("df > 1"), n_docs=28)
+    monkeypatch.setattr(similarity, "LEAST_POSTINGS", 20)
+    for given in ({}, frozen):
+        plain = similarity.corpus_cosine(clean, "norm_text", "norm_biz", **given).collect()
+        split = similarity.corpus_cosine(clean, "norm_text", "norm_biz", broadcast_terms=0, hot_terms=5, **given).collect()
+        assert len(split) == len(plain) > 0
+        close(dict(map(tuple, split)), dict(map(tuple, plain)))
