@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import cells, ngrams
+from plumbline.functions import cells, gramcounts, ngrams
 from plumbline.functions import text as tx
 from plumbline.operators import clean, ensemble, evaluate, ingest, metrics, rules, sampling
 from plumbline.operators import features as feats
@@ -599,9 +599,7 @@ def pair_cosine(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    rows = similarity.term_rows(_norm(spark, sf), ngrams.char_ngrams(F.col("norm_text")))
-    return rows.groupBy("term").agg(
-        F.sum("cnt").cast("long").alias("cnt"), F.count("*").alias("df"))
+    return modeling.gram_counts(_norm(spark, sf), ngrams.spaced_words(F.col("norm_text")), gramcounts.CHARS)
 
 
 @query
