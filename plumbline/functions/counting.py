@@ -178,8 +178,24 @@ def frequent(least: int):
     return run
 
 
-# Postings of a part's terms in a bucket, in order: number, row in the part, count; and of those that ``_other`` holds: place, product.
-POSTINGS = {"part": "long", "row": "integer", "bucket": "integer", "ids": "binary", "rows": "binary", "cnt": "binary", "at": "binary", "met": "binary"}
+# Postings of a part's terms in a bucket, in order: steps from one term's number to the next, rows of each term, row in the part, count;
+# and of those that ``_other`` holds: place, product.  Whole numbers take as few bytes as the largest needs.
+POSTINGS = {"part": "long", "row": "integer", "bucket": "integer", "ids": "binary", "times": "binary", "rows": "binary", "cnt": "binary", "at": "binary", "met": "binary"}
+
+
+def small(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, which the first one tells."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    cut = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + cut.tobytes()
+
+
+def whole(cell: pa.Scalar, begin: int = 0) -> np.ndarray:
+    """What ``small`` made and stands from ``begin`` on, as numbers without sign."""
+    data = np.frombuffer(cell.as_buffer(), np.uint8)[begin:]
+    out = np.zeros(((len(data) - 1) // int(data[0]), 8), np.uint8)
+    out[:, : data[0]] = data[1:].reshape(-1, data[0])
+    return out.view("<u8").ravel()
 
 
 def weighed_sums(pairs: bool, carry: list[str], known, other: float | None, schema: pa.Schema, buckets: int):
@@ -225,11 +241,16 @@ def weighed_sums(pairs: bool, carry: list[str], known, other: float | None, sche
 
 
 def _postings(schema: pa.Schema, part: int, buckets: int, ids, rows, cnt, shared) -> pa.RecordBatch:
-    columns: dict[str, list] = {c: [] for c in ("bucket", "ids", "rows", "cnt", "at", "met")}
+    columns: dict[str, list] = {c: [] for c in ("bucket", "ids", "times", "rows", "cnt", "at", "met")}
     for bucket, cut in _cuts(ids, buckets):
         met = np.flatnonzero(shared[cut])
-        arrays = (ids[cut].astype("<i8"), rows[cut].astype("<i4"), cnt[cut].astype("<i4"), met.astype("<i4"), shared[cut][met].astype("<f8"))
-        for name, cell in zip(columns, (bucket, *[a.tobytes() for a in arrays]), strict=True):
+        found = ids[cut].view(np.uint64)
+        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        steps, times = np.diff(found[new], prepend=np.uint64(0)), np.diff(np.append(new, len(found)))
+        # The first step, from 0, would widen all others.
+        ids_cell = int(steps[0]).to_bytes(8, "little") + small(steps[1:])
+        cells = (ids_cell, *[small(a) for a in (times, rows[cut], cnt[cut], met)], shared[cut][met].astype("<f8").tobytes())
+        for name, cell in zip(columns, (bucket, *cells), strict=True):
             columns[name].append(cell)
     n = len(columns["bucket"])
     return _filled(schema, n, {"part": pa.array(np.full(n, part))} | {c: pa.array(v) for c, v in columns.items()})
@@ -245,14 +266,17 @@ def weighed_postings(n_docs: int):
     def run(postings: pa.Table, frequencies: pa.Table) -> pa.Table:
         known, df = (np.concatenate([np.zeros(0, np.int64), *_unpacked(frequencies, c, "<i8")]) for c in ("ids", "df"))
         known = known.view(np.uint64)
-        columns = {c: _unpacked(postings, c, kind) for c, kind in (("ids", "<u8"), ("rows", "<i4"), ("cnt", "<i4"), ("at", "<i4"), ("met", "<f8"))}
         out: dict[str, list] = {c: [] for c in ("rows", "norm", "sharing", "shared")}
-        for ids, rows, cnt, at, met in zip(*columns.values(), strict=True):
+        for cell, *cells, met in zip(*[postings[c] for c in ("ids", "times", "rows", "cnt", "at", "met")], strict=True):
+            times, rows, cnt, at = (whole(c).astype(np.int64) for c in cells)
+            met = np.frombuffer(met.as_buffer(), "<f8")
+            first = np.frombuffer(cell.as_buffer(), "<u8", 1)
+            ids = np.cumsum(np.concatenate([first, whole(cell, 8)]), dtype=np.uint64)
             found = np.ones(len(ids))
             if len(known):
                 place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 found = np.where(known[place] == ids, df[place], 1.0)
-            w = (np.log((n_docs + 1.0) / (found + 1.0)) + 1.0) ** 2
+            w = np.repeat((np.log((n_docs + 1.0) / (found + 1.0)) + 1.0) ** 2, times)
             norm, shared = np.bincount(rows, cnt.astype(float) ** 2 * w), np.bincount(rows[at], met * w[at])
             # Only rows with terms in the bucket, so what moves on grows no faster than the postings.
             own, sharing = np.flatnonzero(norm), np.flatnonzero(shared)

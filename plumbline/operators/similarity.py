@@ -257,7 +257,7 @@ class TermWeights:
             found = found.select(*own.names)
         else:  # read twice, and counting costs more than writing
             found = materialize(found, "postings")
-            postings = found.filter("bucket is not null").select("part", "bucket", "ids", "rows", "cnt", "at", "met")
+            postings = found.filter("bucket is not null").select("part", "bucket", "ids", "times", "rows", "cnt", "at", "met")
             sums = postings.groupBy("bucket").cogroup(self.terms.select("bucket", "ids", "df").groupBy("bucket"))
             sums = sums.applyInArrow(weighed_postings(self.n_docs), SUMS)
             counted = found.filter("bucket is null").select("part", "row", *own.names)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 
-from plumbline.functions import gramcounts, ngrams
+from plumbline.functions import counting, gramcounts, ngrams
 from plumbline.operators import modeling, similarity, solver
 from pyspark.sql import functions as F
 
@@ -91,6 +91,27 @@ def test_folds_are_scored_one_after_the_other(rows, monkeypatch):
     done, trained, written = [], modeling.train_scorer, modeling.materialize
     monkeypatch.setattr(modeling, "train_scorer", lambda *a, **b: (done.append("fit"), trained(*a, **b))[1])
     monkeypatch.setattr(modeling, "materialize", lambda df, name, **b: (name == "held-out" and done.append(name), written(df, name, **b))[1])
-    folds = rows.filter("review_id < 60").select("review_id", "review_text", "biz_name", "biz_cats", "biz_desc", F.col("label").alias("label_ads"), (F.col("review_id") % 2).alias("fold"))
-    modeling.group_cv(folds, 2, labels=("label_ads",), max_iter=3)
+    folds = rows.filter("review_id < 60").select("review_id", "review_text", "biz_name", "biz_cats", "biz_desc", *[F.col("label").alias(c) for c in modeling.LABELS], (F.col("review_id") % 2).alias("fold"))
+    modeling.group_cv(folds, 2, max_iter=3)
     assert done == ["fit", "held-out"] * 2
+
+
+@pytest.mark.parametrize("width", [1, 3, 6, 8])
+def test_postings_take_as_few_bytes_as_they_need(width):
+    values = np.random.default_rng(width).integers(0, 1 << (8 * width - 1), 50, dtype=np.uint64)
+    values[0] = 1 << (8 * width - 1)
+    cell = counting.small(values)
+    assert len(cell) == 1 + 50 * width and (counting.whole(pa.scalar(cell, pa.binary())) == values).all()
+    assert not len(counting.whole(pa.scalar(counting.small(values[:0]), pa.binary())))
+
+
+def test_postings_name_a_term_once():
+    ids = np.repeat(np.array([3, 1 << 40, 5 << 60], np.uint64), [4, 1, 3]).view(np.int64)
+    batch = counting._postings(pa.schema([(n, {"long": pa.int64(), "integer": pa.int32(), "binary": pa.binary()}[k]) for n, k in counting.POSTINGS.items()]),
+                               7, 1, ids, np.arange(8), np.ones(8, np.int64), np.array([0, 2.0, 0, 0, 0, 0, 0, 1.0]))
+    assert sum(len(batch[c][0].as_py()) for c in ("ids", "times", "rows", "cnt", "at")) < 8 * 8
+    sums = counting.weighed_postings(9)(pa.Table.from_batches([batch]), pa.table({"ids": pa.array([], pa.binary()), "df": pa.array([], pa.binary())}))
+    once = (np.log(10 / 2) + 1) ** 2
+    np.testing.assert_allclose(np.frombuffer(sums["norm"][0].as_py()), np.full(8, once))
+    assert np.frombuffer(sums["sharing"][0].as_py(), "<i4").tolist() == [1, 7]
+    np.testing.assert_allclose(np.frombuffer(sums["shared"][0].as_py()), [2 * once, once])
